@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 # Fixed values -----------------------------------------------------------------------------------
@@ -62,6 +63,19 @@ ENTITIES = (
 # End of fixed values ----------------------------------------------------------------------------
 
 
+def ascii_class(member: Callable[[str], bool], negate: bool = False) -> str:
+    """A regex class naming every ASCII character for which ``member`` holds, one by one.
+
+    Java answers such a class from a bit table; ranges and Unicode properties are tested one after another.
+    Only equal to the property it stands for in ASCII text.
+    """
+    return "[" + ("^" if negate else "") + "".join(f"\\x{i:02X}" for i in range(128) if member(chr(i))) + "]"
+
+
+def is_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
+
+
 def entity_codes() -> list[tuple[str, str]]:
     """``(code, literal)`` pairs in the order they are applied."""
     pairs = []

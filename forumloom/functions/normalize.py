@@ -6,22 +6,37 @@ Patterns are Java regular expressions. ``(?d)`` makes ``.`` and ``$`` treat only
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from forumloom.functions import charsets as cs
 
-# One rewriting rule is a (pattern, replacement) pair; a group of them is applied by ``rewrite``.
-CODE_BLOCK = (r"(?dm)(^|\n)(\t| {4,})+.+?$", "")
-HYPERLINK = (rf"(http|www)[^{cs.SPACE}]+", "")
-INLINE_CODE = (r"(?d)`+.+?`+", "")
-QUOTED_LINE = (r"(?d)(^|\n) {0,3}(&gt;|>).*?\n", "")
-HYPHEN_RUN = (rf"[{cs.HYPHENS}]+", "-")
-PUNCTUATION = (rf"[^{cs.WORD}{cs.SPACE}'\-/]", " ")
-WHITESPACE_RUN = (rf"[{cs.COLLAPSIBLE}]+", " ")
-APOSTROPHE = (rf"[{cs.APOSTROPHES}]", "'")
-QUOTATION_MARK = (rf"[{cs.QUOTATION_MARKS}]", '"')
+
+
+class Rule(NamedTuple):
+    """A pattern and its replacement. ``needs`` lists texts of which every match contains at least one:
+    rows without any of them skip the regex after a plain byte search."""
+
+    pattern: str
+    replacement: str
+    needs: tuple[str, ...] = ()
+
+
+CODE_BLOCK = Rule(r"(?dm)(^|\n)(\t| {4,})+.+?$", "", ("\t", "    "))
+HYPERLINK = Rule(rf"(http|www)[^{cs.SPACE}]+", "", ("http", "www"))
+INLINE_CODE = Rule(r"(?d)`+.+?`+", "", ("`",))
+QUOTED_LINE = Rule(r"(?d)(^|\n) {0,3}(&gt;|>).*?\n", "", (">", "&gt;"))
+HYPHEN_RUN = Rule(rf"[{cs.HYPHENS}]+", "-", tuple(cs.HYPHENS))
+PUNCTUATION = Rule(rf"[^{cs.WORD}{cs.SPACE}'\-/]", " ")
+WHITESPACE_RUN = Rule(rf"[{cs.COLLAPSIBLE}]+", " ")
+
+# The same two classes for ASCII rows.
+ASCII_PUNCTUATION_TO_BLANK = Rule(
+    cs.ascii_class(lambda c: not (cs.is_word(c) or c.isspace() or c in "'-/")), PUNCTUATION.replacement
+)
+ASCII_WHITESPACE_RUN = Rule(cs.ascii_class(lambda c: c in "\n\t\v\b\r\f\a ") + "+", WHITESPACE_RUN.replacement)
 
 
 def is_ascii(text: Column) -> Column:
@@ -29,9 +44,17 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
 
-def replace_pattern(text: Column, rule: tuple[str, str]) -> Column:
-    pattern, replacement = rule
-    return F.regexp_replace(text, pattern, replacement)
+def may_match(text: Column, rule: Rule) -> Column | None:
+    """A cheap condition that holds for every row the rule can change; ``None`` when there is none."""
+    if not rule.needs:
+        return None
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(need)) for need in rule.needs])
+
+
+def replace_pattern(text: Column, rule: Rule) -> Column:
+    replaced = F.regexp_replace(text, rule.pattern, rule.replacement)
+    gate = may_match(text, rule)
+    return replaced if gate is None else F.when(gate, replaced).otherwise(text)
 
 
 def map_characters(text: Column, sources: str, target: str) -> Column:
@@ -61,13 +84,15 @@ def remove_accents(text: Column) -> Column:
     single, several = cs.ascii_foldings()
     sources = "".join(single)
     folded = F.translate(text, sources, "".join(single.values()))
-    expansions = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    # one string literal, folded to a map once per plan
+    expansions = F.str_to_map(F.lit("\n".join(f"{c}\t{kept}" for c, kept in several.items())), F.lit("\n"), F.lit("\t"))
 
     def expand(char: Column) -> Column:
         return F.when(char < "\u0080", char).otherwise(F.coalesce(F.try_element_at(expansions, char), F.lit("")))
 
     def finish(once: Column) -> Column:
-        has_expansion = once.rlike("[" + "".join(several) + "]")
+        # deleting the characters tells whether there were any; a class of hundreds of characters is slow
+        has_expansion = F.translate(once, "".join(several), "") != once
         expanded = F.array_join(F.transform(F.split(once, ""), expand), "")
         return F.when(is_ascii(once), once).otherwise(
             F.when(has_expansion, expanded).otherwise(F.regexp_replace(once, r"[^\x00-\x7F]+", ""))
@@ -79,11 +104,14 @@ def remove_accents(text: Column) -> Column:
 
 
 def normalize_apostrophes(text: Column) -> Column:
-    return map_characters(text, cs.APOSTROPHES, "'")
+    """In ASCII rows only a backtick can change."""
+    unchanged = is_ascii(text) & ~F.contains(text, F.lit("`"))
+    return F.when(unchanged, text).otherwise(map_characters(text, cs.APOSTROPHES, "'"))
 
 
 def normalize_quotation_marks(text: Column) -> Column:
-    return map_characters(text, cs.QUOTATION_MARKS, '"')
+    """ASCII rows are as they should be already."""
+    return F.when(is_ascii(text), text).otherwise(map_characters(text, cs.QUOTATION_MARKS, '"'))
 
 
 def normalize_hyphens(text: Column) -> Column:
@@ -106,12 +134,21 @@ def remove_quoted_lines(text: Column) -> Column:
     return replace_pattern(text, QUOTED_LINE)
 
 
+def by_alphabet(text: Column, in_ascii: Column, otherwise: Column) -> Column:
+    """Choose between two forms of the same operation by whether the row is ASCII."""
+    return F.when(is_ascii(text), in_ascii).otherwise(otherwise)
+
+
 def blank_punctuation(text: Column) -> Column:
-    return replace_pattern(text, PUNCTUATION)
+    return by_alphabet(
+        text, replace_pattern(text, ASCII_PUNCTUATION_TO_BLANK), replace_pattern(text, PUNCTUATION)
+    )
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return replace_pattern(text, WHITESPACE_RUN)
+    return by_alphabet(
+        text, replace_pattern(text, ASCII_WHITESPACE_RUN), replace_pattern(text, WHITESPACE_RUN)
+    )
 
 
 def convert_entities(text: Column) -> Column:
@@ -130,11 +167,18 @@ def convert_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), reduce(step, cs.entity_codes(), text)).otherwise(text)
 
 
-def rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
+def original_matches(text: Column, rule: Rule) -> Column:
+    gate = may_match(text, rule)
+    matches = text.rlike(rule.pattern)
+    return matches if gate is None else gate & matches
+
+
+def rewrite(text: Column, rules: list[Rule]) -> Column:
     """Apply several rules in order, each only where the *original* text matches its pattern."""
 
-    def step(current: Column, rule: tuple[str, str]) -> Column:
-        matched = text.rlike(rule[0])
+    def step(current: Column, rule: Rule) -> Column:
+        matched = original_matches(text, rule)
+        # the one-element array binds the running value once
         return F.get(
             F.transform(F.array(current), lambda x: F.when(matched, replace_pattern(x, rule)).otherwise(x)), F.lit(0)
         )
@@ -147,8 +191,8 @@ def rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 # Variants timed against each other -----------------------------------------------------------------
 
-SPAN_BETWEEN_BACKTICKS = (r"(?d)`.+?`", "")
-ASCII_PUNCTUATION = (r"""[!"#$%&'()*+,\-./:;<=>?@\[\]^_`{|}~]""", "")
+SPAN_BETWEEN_BACKTICKS = Rule(r"(?d)`.+?`", "", ("`",))
+ASCII_PUNCTUATION = Rule(r"""[!"#$%&'()*+,\-./:;<=>?@\[\]^_`{|}~]""", "")
 
 
 def remove_backtick_spans(text: Column) -> Column:
@@ -182,5 +226,6 @@ def drop_quote_characters(text: Column) -> Column:
     return F.translate(text, cs.CLEANED_QUOTES, "")
 
 
-def empty_to_null(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
+def has_more_than_quotes(text: Column) -> Column:
+    """Whether anything is left once the quote characters are gone; stops at the first such character."""
+    return text.rlike(f"[^{cs.CLEANED_QUOTES}]")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from forumloom.functions import charsets as cs
-from forumloom.functions.normalize import remove_accents, strip
+from forumloom.functions.normalize import by_alphabet, remove_accents
 
 # Two or more word characters: the default token pattern of the count-based extractors.
 DEFAULT_TOKEN_PATTERN = rf"[{cs.WORD}]{{2,}}"
@@ -14,7 +14,8 @@ DEFAULT_TOKEN_PATTERN = rf"[{cs.WORD}]{{2,}}"
 
 def whitespace_tokens(text: Column) -> Column:
     """Split at Unicode white space; empty text has no tokens."""
-    pieces = F.split(text, rf"[{cs.SPACE}]+")
+    in_ascii = F.split(text, cs.ascii_class(str.isspace) + "+")
+    pieces = by_alphabet(text, in_ascii, F.split(text, rf"[{cs.SPACE}]+"))
     return F.filter(pieces, lambda t: t != "")
 
 
@@ -48,6 +49,9 @@ def word_tokens(
     source = F.lower(text) if lowercase else text
     source = remove_accents(source) if strip_accents else source
     tokens = F.regexp_extract_all(source, F.lit(token_pattern), F.lit(0))
+    if token_pattern == DEFAULT_TOKEN_PATTERN:
+        in_ascii = F.regexp_extract_all(source, F.lit(cs.ascii_class(cs.is_word) + "{2,}"), F.lit(0))
+        tokens = by_alphabet(source, in_ascii, tokens)
     if stop_words:
         tokens = F.filter(tokens, lambda t: ~t.isin(sorted(set(stop_words))))
     return tokens
@@ -120,7 +124,6 @@ __all__ = [
     "char_ngrams",
     "join_tokens",
     "regex_stem",
-    "strip",
     "whitespace_tokens",
     "without_words",
     "word_bounded_char_ngrams",

@@ -24,14 +24,17 @@ def drop_quote_characters(comments: DataFrame, text: str = TEXT) -> DataFrame:
 
 def drop_empty(comments: DataFrame, text: str = TEXT) -> DataFrame:
     """Empty text counts as missing; drop rows without text."""
-    return comments.withColumn(text, N.empty_to_null(F.col(text))).dropna(subset=[text])
+    return comments.where(F.col(text) != "")
 
 
 def clean(comments: DataFrame, text: str = TEXT) -> DataFrame:
-    """Deleted rows, then quote characters, then empty rows: a marker inside quotes survives."""
-    return (
-        comments.transform(drop_deleted, text).transform(drop_quote_characters, text).transform(drop_empty, text)
-    )
+    """Drop deleted rows, then quote characters, then empty rows: a marker inside quotes survives.
+
+    Whether a row will be empty is decided on its first character that is not a quote, so the quotes are
+    removed once, in the projection, and not again in the filter.
+    """
+    kept = comments.where(~N.is_deletion_marker(F.col(text)) & N.has_more_than_quotes(F.col(text)))
+    return kept.transform(drop_quote_characters, text)
 
 
 def keep_first(df: DataFrame, key: str = KEY, order: Sequence[Column] = ()) -> DataFrame:

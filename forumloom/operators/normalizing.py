@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumloom.functions import normalize as N
+from forumloom.functions.normalize import Rule
 from forumloom.schema import TEXT
 
 Step = Callable[[DataFrame, str], DataFrame]
-Rule = tuple[str, str]
 
 
 def column_step(function: Callable[[Column], Column]) -> Step:
@@ -28,15 +28,17 @@ remove_accents: Step = column_step(N.remove_accents)
 passthrough: Step = column_step(N.passthrough)
 
 
-def check_rules(rules: Sequence[Rule]) -> list[Rule]:
+def check_rules(rules: Sequence[tuple]) -> list[Rule]:
     """Reject rules that are not pairs of strings."""
+    checked = []
     for rule in rules:
-        if not (isinstance(rule, tuple) and len(rule) == 2 and all(isinstance(part, str) for part in rule)):
+        if not (isinstance(rule, tuple) and len(rule) >= 2 and all(isinstance(part, str) for part in rule[:2])):
             raise TypeError("a rewriting rule must be a (pattern, replacement) pair of strings")
-    return list(rules)
+        checked.append(Rule(*rule))
+    return checked
 
 
-def rewrite_group(*rules: Rule) -> Step:
+def rewrite_group(*rules: tuple) -> Step:
     """Apply rules one after another, each only to rows whose text *before the group* matches it; then strip.
 
     Each rule is its own projection that reads the original text and the running text, so no expression
@@ -50,7 +52,8 @@ def rewrite_group(*rules: Rule) -> Step:
         for position, rule in enumerate(checked):
             rewritten = N.replace_pattern(F.col("_now"), rule)
             if position:  # before the first rule the running text is the original
-                rewritten = F.when(F.col(text).rlike(rule[0]), rewritten).otherwise(F.col("_now"))
+                matched = N.original_matches(F.col(text), rule)
+                rewritten = F.when(matched, rewritten).otherwise(F.col("_now"))
             current = current.withColumn("_now", rewritten)
         return current.withColumn(text, N.strip(F.col("_now"))).select(*columns)
 
@@ -61,10 +64,9 @@ def character_group(*functions: Callable[[Column], Column]) -> Step:
     """Like ``rewrite_group`` for functions whose results cannot create new matches for each other."""
 
     def step(df: DataFrame, text: str = TEXT) -> DataFrame:
-        value = F.col(text)
         for function in functions:
-            value = function(value)
-        return df.withColumn(text, N.strip(value))
+            df = df.withColumn(text, function(F.col(text)))
+        return df.withColumn(text, N.strip(F.col(text)))
 
     return step
 

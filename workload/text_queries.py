@@ -205,21 +205,22 @@ def _stop_list() -> str:
 
 
 STOPS = f"stops AS (SELECT lower(w) AS word FROM (VALUES {_stop_list()}) AS x(w))"
-_KEPT = f"list_filter({t.sql_tokens('text')}, lambda x: NOT list_contains((SELECT list(word) FROM stops), lower(x)))"
+_KEPT = f"list_filter({t.sql_tokens('text')}, lambda x: NOT list_contains(words, lower(x)))"
+_LISTED = "(SELECT list(word) AS words FROM stops)"
 
 
 def _stop_table(spark):
     return spark.sql(f"SELECT * FROM VALUES {_stop_list()} AS x(word)")
 
 
-@query("k3_stop_words", f"{WITH}, {STOPS} SELECT comment_id, array_to_string({_KEPT}, ' ') AS text FROM comments")
+@query("k3_stop_words", f"{WITH}, {STOPS} SELECT comment_id, array_to_string({_KEPT}, ' ') AS text FROM comments, {_LISTED}")
 def k3(spark, folder):
     return tokens.remove_stop_words(t.comments(spark, folder).select("comment_id", "text"), _stop_table(spark))
 
 
 @query(
     "k3_stop_words_by_join",
-    f"{WITH}, {STOPS} SELECT comment_id, array_to_string({_KEPT}, ' ') AS text FROM comments",
+    f"{WITH}, {STOPS} SELECT comment_id, array_to_string({_KEPT}, ' ') AS text FROM comments, {_LISTED}",
 )
 def k3_join(spark, folder):
     docs = t.comments(spark, folder).select("comment_id", "text")
@@ -321,7 +322,7 @@ def k10_approximate(spark, folder):
 
 @query(
     "n18_full_normalization_with_stop_words_and_lemmas",
-    f"""{WITH_NORMAL}, {STOPS}, ts AS (SELECT comment_id, {_KEPT} AS ts FROM normal)
+    f"""{WITH_NORMAL}, {STOPS}, ts AS (SELECT comment_id, {_KEPT} AS ts FROM normal, {_LISTED})
     SELECT comment_id, array_to_string(list_transform(ts, lambda x: CASE WHEN ends_with(x, 's') THEN x[:-2] ELSE x END), ' ')
       AS text FROM ts""",
 )
