@@ -57,42 +57,35 @@ def word_tokens(
     return tokens
 
 
+def _runs(items: Column, n: int, separator: str) -> Column:
+    """All runs of ``n`` neighbouring items, joined. Items are fetched one by one: ``slice`` and ``substring``
+    would walk the whole text again for each run."""
+    runs = F.transform(
+        F.sequence(F.lit(0), F.size(items) - n),
+        lambda i: F.concat_ws(separator, *[F.get(items, i + offset) for offset in range(n)]),
+    )
+    return F.when(F.size(items) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
 def word_ngrams(tokens: Column, low: int, high: int) -> Column:
-    """Word n-grams of every length from ``low`` to ``high``, joined by one blank."""
+    """Word n-grams of every length from ``low`` to ``high``, joined by one blank; ``tokens`` is a plain column."""
     if (low, high) == (1, 1):
         return tokens
-    sizes = [
-        F.when(
-            F.size(tokens) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-        if n > 1
-        else tokens
-        for n in range(low, high + 1)
-    ]
-    return F.concat(*sizes)
+    return F.concat(*[_runs(tokens, n, " ") if n > 1 else tokens for n in range(low, high + 1)])
 
 
-def _windows(text: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+def _folded(text: Column, lowercase: bool, strip_accents: bool) -> Column:
+    source = F.lower(text) if lowercase else text
+    return remove_accents(source) if strip_accents else source
 
 
 def char_ngrams(text: Column, low: int, high: int, lowercase: bool = True, strip_accents: bool = False) -> Column:
     """Character n-grams over the text with runs of two or more blanks collapsed to one."""
-    source = F.lower(text) if lowercase else text
-    source = remove_accents(source) if strip_accents else source
-    source = F.regexp_replace(source, rf"[{cs.SPACE}]{{2,}}", " ")
-    return F.flatten(
-        F.transform(
-            F.array(source),
-            lambda s: F.concat(
-                *[
-                    F.when(F.char_length(s) >= n, _windows(s, n)).otherwise(F.array().cast("array<string>"))
-                    for n in range(low, high + 1)
-                ]
-            ),
-        )
+    source = F.regexp_replace(_folded(text, lowercase, strip_accents), rf"[{cs.SPACE}]{{2,}}", " ")
+    grams = F.transform(
+        F.array(F.split(source, "")), lambda chars: F.concat(*[_runs(chars, n, "") for n in range(low, high + 1)])
     )
+    return F.flatten(grams)
 
 
 def word_bounded_char_ngrams(
@@ -100,23 +93,21 @@ def word_bounded_char_ngrams(
 ) -> Column:
     """Character n-grams inside words padded with one blank on each side.
 
-    A padded word shorter than ``n`` is emitted whole, once, for the smallest such ``n``.
+    A padded word shorter than the smallest ``n`` is emitted whole, once.
     """
-    source = F.lower(text) if lowercase else text
-    source = remove_accents(source) if strip_accents else source
-    padded = F.transform(whitespace_tokens(source), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    words = whitespace_tokens(_folded(text, lowercase, strip_accents))
 
     def grams(word: Column) -> Column:
-        parts = []
-        for n in range(low, high + 1):
-            fits = F.char_length(word) >= n
-            if n == low:
-                parts.append(F.when(fits, _windows(word, n)).otherwise(F.array(word)))
-            else:
-                parts.append(F.when(fits, _windows(word, n)).otherwise(F.array().cast("array<string>")))
-        return F.concat(*parts)
-
-    return F.flatten(F.transform(padded, grams))
+        padded = F.concat(F.lit(" "), word, F.lit(" "))
+        bound = F.transform(
+            F.array(F.split(padded, "")),
+            lambda chars: F.when(F.size(chars) < low, F.array(F.array_join(chars, ""))).otherwise(
+                F.concat(*[_runs(chars, n, "") for n in range(low, high + 1)])
+            ),
+        )
+        return F.flatten(bound)
+
+    return F.flatten(F.transform(words, grams))
 
 
 __all__ = [

@@ -76,16 +76,17 @@ def _term_arrays(docs: DataFrame, terms: Terms, key: str, text: str) -> DataFram
 def _run_starts(values: Column, same: Column | None = None) -> Column:
     """Indexes at which a new run begins in a sorted array; ``same`` maps an element to its run key."""
     part = same or (lambda x: x)
-    return F.filter(
+    starts = F.filter(
         F.sequence(F.lit(0), F.size(values) - 1),
         lambda i: (i == 0) | (part(F.get(values, i)) != part(F.get(values, i - 1))),
     )
+    return F.when(F.size(values) > 0, starts).otherwise(F.array().cast("array<int>"))
 
 
 def term_bags(docs: DataFrame, terms: Terms = Terms(), key: str = KEY, text: str = TEXT) -> DataFrame:
     """``(key, bag)``: the distinct terms of each document with their counts, as one array per row."""
     arrays = _term_arrays(docs, terms, key, text).select(key, F.sort_array("_terms").alias("_s"))
-    starts = arrays.where(F.size("_s") > 0).select(key, "_s", _run_starts(F.col("_s")).alias("_starts"))
+    starts = arrays.select(key, "_s", _run_starts(F.col("_s")).alias("_starts"))
     end = lambda j: F.coalesce(F.get("_starts", j + 1), F.size("_s"))
     count = (lambda i, j: F.lit(1)) if terms.binary else (lambda i, j: end(j) - i)
     bag = F.transform(
@@ -96,7 +97,9 @@ def term_bags(docs: DataFrame, terms: Terms = Terms(), key: str = KEY, text: str
 
 def term_counts(docs: DataFrame, terms: Terms = Terms(), key: str = KEY, text: str = TEXT) -> DataFrame:
     """``(key, term, n)`` over all terms of every document, without a shuffle."""
-    return term_bags(docs, terms, key, text).select(key, F.inline("bag"))
+    # the outer form: a plain ``inline`` (or a filter on the array's size) makes the optimizer push a filter
+    # below the projections, which repeats the counting for every element
+    return term_bags(docs, terms, key, text).select(key, F.inline_outer("bag")).where(F.col("term").isNotNull())
 
 
 def _bound(limit: int | float, n_docs: int) -> float:
@@ -112,7 +115,7 @@ def fit_vocabulary(docs: DataFrame, terms: Terms = Terms(), key: str = KEY, text
     if terms.vocabulary:
         fixed = sorted(set(terms.vocabulary))
         table = docs.sparkSession.createDataFrame(list(zip(fixed, range(len(fixed)))), "term string, term_idx long")
-        frequencies = term_bags(docs, terms, key, text).select(F.explode("bag.term").alias("term"))
+        frequencies = term_counts(docs, terms, key, text)
         frequencies = frequencies.where(F.col("term").isin(fixed)).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
         table = table.join(frequencies, "term", "left").fillna(0, ["doc_freq"])
         return Vocabulary(table, n_docs)
@@ -274,7 +277,7 @@ def hashed_vectors(
             "_v", lambda c: F.struct(c["term_idx"].alias("term_idx"), (c["value"] / F.col("_length")).alias("value"))
         )
         summed = summed.select(key, scaled.alias("_v"))
-    return summed.select(key, F.inline("_v"))
+    return summed.select(key, F.inline_outer("_v")).where(F.col("term_idx").isNotNull())
 
 
 # Embeddings ------------------------------------------------------------------------------------------
@@ -294,7 +297,7 @@ def document_vectors(docs: DataFrame, vectors: DataFrame, key: str = KEY, text:
 
     Tokens are counted per document before the join, and vectors are summed per task before the shuffle.
     """
-    whitespace = docs.select(key, F.sort_array(K.whitespace_tokens(F.col(text))).alias("_s")).where(F.size("_s") > 0)
+    whitespace = docs.select(key, F.sort_array(K.whitespace_tokens(F.col(text))).alias("_s"))
     runs = whitespace.select(key, "_s", _run_starts(F.col("_s")).alias("_starts"))
     counts = runs.select(
         key,

@@ -1,0 +1,51 @@
+"""Queries over streams: each runs to the end of the available files and reads its output back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from forumloom.operators import clean
+from forumloom.session import staging_path
+from forumloom.sources import readers
+from forumloom.streaming import incremental
+from workload import tables as t
+from workload.registry import query
+from workload.text_queries import NORMAL
+
+
+def _files(spark, folder, build=t.raw_comments):
+    """Comments in several files, as a crawler would leave them."""
+    path = staging_path(spark, "arriving")
+    build(spark, folder).repartition(3).write.parquet(path)
+    return path
+
+
+@query(
+    "st1_incremental_preprocessing",
+    f"""{t.WITH_COMMENTS}, normal AS ({NORMAL})
+    SELECT comment_id, post_id, subreddit, normal.text AS text, upvotes FROM comments JOIN normal USING (comment_id)""",
+)
+def st1(spark, folder):
+    target, progress = staging_path(spark, "stream"), staging_path(spark, "progress")
+    stream = incremental.comment_stream(spark, _files(spark, folder), 1)
+    incremental.preprocess_stream(stream, target, progress).awaitTermination()
+    return readers.read_comments(spark, target)
+
+
+@query("st2_stream_distinct_ids", f"{t.WITH_COMMENTS} SELECT DISTINCT comment_id FROM comments")
+def st2(spark, folder):
+    def twice(spark, folder):
+        return t.comments(spark, folder).unionByName(t.refetched(spark, folder))
+
+    target, progress = staging_path(spark, "stream"), staging_path(spark, "progress")
+    stream = incremental.comment_stream(spark, _files(spark, folder, twice), 1)
+    incremental.write_stream(incremental.distinct_comments(stream), target, progress).awaitTermination()
+    return spark.read.parquet(target).select("comment_id")
+
+
+@query("st3_running_tally", f"{t.WITH_COMMENTS} SELECT subreddit, count(*) AS n FROM comments GROUP BY subreddit")
+def st3(spark, folder):
+    target, progress = staging_path(spark, "stream"), staging_path(spark, "progress")
+    stream = clean.clean(incremental.comment_stream(spark, _files(spark, folder), 1))
+    incremental.running_tally(stream, target, progress).awaitTermination()
+    return spark.read.parquet(target).select("subreddit", F.col("n"))
