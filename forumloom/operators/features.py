@@ -261,8 +261,8 @@ def hashed_vectors(
     starts = hashed.select(key, "_h", _run_starts(F.col("_h"), lambda x: x["i"]).alias("_starts"))
 
     def cell(i: Column, j: Column) -> Column:
-        run = F.slice("_h", i + 1, F.coalesce(F.get("_starts", j + 1), F.size("_h")) - i)
-        total = F.aggregate(run, F.lit(0.0), lambda acc, x: acc + x["v"])
+        last = F.coalesce(F.get("_starts", j + 1), F.size("_h")) - 1
+        total = F.aggregate(F.sequence(i, last), F.lit(0.0), lambda acc, k: acc + F.get("_h", k)["v"])
         return F.struct(F.get("_h", i)["i"].alias("term_idx"), total.alias("value"))
 
     summed = starts.select(key, F.filter(F.transform("_starts", cell), lambda c: c["value"] != 0).alias("_v"))
@@ -272,11 +272,15 @@ def hashed_vectors(
     if norm is not None:
         part = {"l2": lambda x: x["value"] * x["value"], "l1": lambda x: F.abs(x["value"])}[norm]
         size = F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + part(x))
-        summed = summed.select(key, "_v", (F.sqrt(size) if norm == "l2" else size).alias("_length"))
-        scaled = F.transform(
-            "_v", lambda c: F.struct(c["term_idx"].alias("term_idx"), (c["value"] / F.col("_length")).alias("value"))
-        )
-        summed = summed.select(key, scaled.alias("_v"))
+        length = F.sqrt(size) if norm == "l2" else size
+
+        def scale(by: Column) -> Column:
+            return F.transform(
+                "_v", lambda c: F.struct(c["term_idx"].alias("term_idx"), (c["value"] / by).alias("value"))
+            )
+
+        # bound in a one-element array: the optimizer would move a column into the lambda and sum per element
+        summed = summed.select(key, F.get(F.transform(F.array(length), scale), F.lit(0)).alias("_v"))
     return summed.select(key, F.inline_outer("_v")).where(F.col("term_idx").isNotNull())
 
 
