@@ -20,6 +20,7 @@ def _table(spark: SparkSession, base: str, paths: Sequence[str]) -> DataFrame:
         .option("basePath", base)
         .option("pathGlobFilter", PARQUET_FILES)
         .parquet(*paths)
+        .select(*COMMENT_SCHEMA.names)
     )
 
 
