@@ -150,8 +150,10 @@ def compile_rules(patterns: tuple[str, ...]) -> Automaton:
     moves = np.array(steps)
     accepts = np.array([sum(1 << i for s, i in ends.items() if subset >> s & 1) for subset in subsets])
     groups = np.unique(accepts, return_inverse=True)[1]
-    while True:
-        finer = np.unique(np.column_stack([groups, groups[moves]]), axis=0, return_inverse=True)[1].ravel()
+    factors = np.random.default_rng(1).integers(1, 1 << 63, classes + 1, dtype=np.uint64) | np.uint64(1)
+    while True:  # states stay together if their groups and those of their successors agree, told by a 64-bit sum
+        names = np.column_stack([groups, groups[moves]]).astype(np.uint64) * factors
+        finer = np.unique(names.sum(1, dtype=np.uint64), return_inverse=True)[1].ravel()
         if finer.max() == groups.max():
             break
         groups = finer
