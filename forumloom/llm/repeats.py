@@ -122,8 +122,8 @@ def _per_shard(function, names: list[str], kinds: list[pa.DataType], size: int):
                 row = {n: batch.column(n)[i] for n in batch.schema.names}
                 shard = Shard(row["ids"].as_py(), row["sizes"].as_py(), row["blob"].as_py(), hashes, size)
                 told = row["told"].values if "told" in row and row["told"].is_valid else None
-                told = np.sort(told.to_numpy(zero_copy_only=False).astype(np.int64)) if told is not None else np.zeros(0, np.int64)
-                for columns in function(shard, row["shard"].as_py(), told.view(np.uint64)):
+                told = told.to_numpy(zero_copy_only=False).astype(np.int64) if told is not None else np.zeros(0, np.int64)
+                for columns in function(shard, row["shard"].as_py(), np.sort(told.view(np.uint64))):
                     arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
 
