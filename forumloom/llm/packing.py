@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -24,50 +25,62 @@ PIECES = (
 class Encoder:
     """Token ids of many texts, equal to encoding each text whole.
 
-    The tokenizer splits at white space before it merges, so a text's ids are the ids of its words in turn.
-    Each distinct word is encoded once per task (the cache starts anew when it is full).
+    The tokenizer lower-cases and splits at white space before it merges, so a text's ids are the ids of its
+    words in turn. A Python worker encodes each distinct word once and remembers ``cached`` of them; words beyond
+    are encoded once per slice of text.
     """
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
-        self._forget()
-
-    def _forget(self):
         self.codes: dict[bytes, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: set[bytes]):
-        if len(self.codes) + len(words) > self.cached:
-            self._forget()
-        new = [w for w in words if w not in self.codes]
-        if not new:
-            return
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.flat)
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
-        self.starts = np.concatenate([self.starts, first + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
+        self.flat, self.starts, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
+
+    def _append(self, ids: list[list[int]]):
+        """Add the ids of new words behind those of the words that have a code."""
+        first, sizes = len(self.codes), np.fromiter(map(len, ids), np.int64, len(ids))
+        end = self.used + int(sizes.sum())
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + len(ids) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.flat[self.used : end] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, end - self.used)
+        self.starts[first : first + len(ids) + 1] = self.used + np.concatenate([[0], np.cumsum(sizes)])
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        words = [(t or b"").split() for t in texts]
-        flat = [w for x in words for w in x]
-        self._learn(set(flat))
-        codes = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
-        sizes = self.sizes[codes]
+        words = [(t or b"").lower().split() for t in texts]
+        flat = list(itertools.chain.from_iterable(words))
+        known = self.codes
+        new = [w for w in set(flat) if w not in known]
+        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        self._append([e.ids for e in found])
+        n = len(known)
+        known.update(zip(new, range(n, n + len(new)), strict=True))
+        codes = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        begins, sizes = self.starts[codes], self.starts[codes + 1] - self.starts[codes]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[codes] - (ends - sizes), sizes) + np.arange(total)]
+        ids = self.flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        room = max(self.cached - n, 0)
+        for word in new[room:]:
+            del known[word]
+        self.used = int(self.starts[len(known)])
         upto = np.cumsum([0, *map(len, words)])
         bounds = np.concatenate([[0], ends])[upto]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder per Python worker; its tasks share the words it has learnt."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def attention_cost(length: int, linear: float, quadratic: float) -> float:
     return linear * length + quadratic * length * length
 
@@ -124,7 +137,7 @@ def pack(
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = Encoder(path), TaskContext.get().partitionId() << 33
+        encoder, sequence = encoder_of(path), TaskContext.get().partitionId() << 33
         keys, docs_ids, tokens = [], [], 0
 
         def flush() -> pa.RecordBatch:

@@ -76,7 +76,7 @@ def contexts(docs: DataFrame) -> DataFrame:
             found = set()
             for label, text in zip(batch.column("toxic").to_pylist(), texts_as_bytes(batch.column("text")), strict=True):
                 words = words_of(text)
-                found.update(zip([label] * len(words), [b"", *words[:-1]], words, [*words[1:], b""], strict=True))
+                found.update(zip([label] * len(words), [b"", *words], words, [*words[1:], b""]))  # noqa: B905
             if found:
                 label, *rest = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
