@@ -59,11 +59,12 @@ def distinct_posts(*rankings: DataFrame, key: str = "post_id") -> DataFrame:
 
 
 def top_per_forum(posts: DataFrame, score: str, limit: int | None, forum: str = FORUM, key: str = "post_id") -> DataFrame:
-    """The ``limit`` best posts of each forum (never more than 1000), ties broken by key.
+    """The ``limit`` best posts of each forum, ties broken by key; without a limit all posts.
 
     Spark prunes to the limit inside each task before it shuffles, so a large forum sends few rows.
     """
-    limit = min(limit or 1000, 1000)
+    if limit is None:
+        return posts
     rank = F.row_number().over(Window.partitionBy(forum).orderBy(F.col(score).desc(), F.col(key)))
     return posts.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 

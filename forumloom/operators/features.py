@@ -299,13 +299,15 @@ def embedding_table(vocabulary: DataFrame, vectors: DataFrame) -> DataFrame:
 def document_vectors(docs: DataFrame, vectors: DataFrame, key: str = KEY, text: str = TEXT) -> DataFrame:
     """Mean of the token vectors of each document, unknown tokens counting as zeros: ``(key, vector)``.
 
+    A document without tokens has the zero vector.
+
     Tokens are counted per document before the join, and vectors are summed per task before the shuffle.
     """
     whitespace = docs.select(key, F.sort_array(K.whitespace_tokens(F.col(text))).alias("_s"))
     runs = whitespace.select(key, "_s", _run_starts(F.col("_s")).alias("_starts"))
     counts = runs.select(
         key,
-        F.inline(
+        F.inline_outer(
             F.transform(
                 "_starts",
                 lambda i, j: F.struct(
@@ -323,7 +325,7 @@ def document_vectors(docs: DataFrame, vectors: DataFrame, key: str = KEY, text:
         joined = join_lookup(counts, known, ["token"], "left")
     zero = F.array_repeat(F.lit(0.0), width)
     vector = array_to_vector(F.coalesce(F.col("vector").cast("array<double>"), zero))
-    summed = joined.select(key, "n", vector.alias("_v")).groupBy(key).agg(
+    summed = joined.select(key, F.coalesce("n", F.lit(1.0)).alias("n"), vector.alias("_v")).groupBy(key).agg(
         Summarizer.mean(F.col("_v"), F.col("n")).alias("_mean")
     )
     return summed.select(key, vector_to_array("_mean").alias("vector"))
@@ -366,17 +368,21 @@ def apply_scaler(features: DataFrame, scaler: DataFrame) -> DataFrame:
 _VECTOR = T.StructType([T.StructField("v", VectorUDT())])
 
 
-def sparse_vectors(features: DataFrame, size: int, key: str = KEY, name: str = "features") -> DataFrame:
-    """Long features to one sparse ML vector per document.
+def sparse_vectors(
+    features: DataFrame, size: int, key: str = KEY, name: str = "features", ids: DataFrame | None = None
+) -> DataFrame:
+    """Long features to one sparse ML vector per document; with ``ids``, an empty one for ids without features.
 
     The vector is read from its struct form by the JSON reader, which keeps the conversion in the JVM.
     """
     cells = features.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term_idx", "value"))).alias("_c"))
+    if ids is not None:
+        cells = ids.select(key).join(cells, key, "left")
     form = F.struct(
         F.lit(0).alias("type"),
         F.lit(size).alias("size"),
-        F.transform("_c.term_idx", lambda i: i.cast("int")).alias("indices"),
-        F.col("_c.value").alias("values"),
+        F.coalesce(F.transform("_c.term_idx", lambda i: i.cast("int")), F.array().cast("array<int>")).alias("indices"),
+        F.coalesce(F.col("_c.value").cast("array<double>"), F.array().cast("array<double>")).alias("values"),
     )
     parsed = F.from_json(F.to_json(F.struct(form.alias("v"))), _VECTOR)
     return cells.select(key, parsed["v"].alias(name))

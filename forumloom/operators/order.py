@@ -47,9 +47,10 @@ def with_group_positions(
 ) -> DataFrame:
     """Add the 0-based position of each row inside its group, whatever the size of the group."""
     placed = with_positions(df, [*group, *order], "_global")
-    starts = placed.groupBy(*group).agg(F.min("_global").alias("_start"))
+    placed = placed.withColumn("_group", F.struct(*group))  # a struct of null equals itself: rows without a group stay
+    starts = placed.groupBy("_group").agg(F.min("_global").alias("_start"))
     return (
-        join_lookup(placed, starts, list(group))
+        join_lookup(placed, starts, ["_group"])
         .withColumn(name, F.col("_global") - F.col("_start"))
         .drop("_global", "_start")
         .select(*df.columns, name)

@@ -20,26 +20,26 @@ def histogram(df: DataFrame, value: str, bins_per_unit: int = 4, bins: int | Non
     """Counts in equal-width bins from floor(min) to ceil(max): ``(bin, lower, upper, n)``.
 
     Bins are closed on the left and the last one on both sides; empty bins are kept. Without ``bins``
-    there are ``bins_per_unit`` bins for each unit of the range.
+    there are ``bins_per_unit`` bins for each unit of the range. Null and NaN values are not counted; a
+    series of one integer value has a range of one unit.
     """
+    df = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     edges = df.agg(F.floor(F.min(value)).alias("lo"), F.ceil(F.max(value)).alias("hi"))
+    edges = edges.select("lo", F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("lo") + 1).alias("hi"))
     count = F.lit(bins) if bins else (F.col("hi") - F.col("lo")) * bins_per_unit
     edges = edges.select("lo", "hi", F.greatest(count, F.lit(1)).cast("long").alias("k"))
     lo, k = edges.select("lo").scalar(), edges.select("k").scalar()
     width = edges.select(((F.col("hi") - F.col("lo")) / F.col("k")).cast("double")).scalar()
     index = F.least(F.floor((F.col(value) - lo) / width), k - 1)
     counts = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .select(index.cast("long").alias("bin"))
+        df.select(index.cast("long").alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    frame = edges.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("bin"),
-        "lo",
-        ((F.col("hi") - F.col("lo")) / F.col("k")).cast("double").alias("w"),
-    ).select("bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("lower"),
-             (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("upper"))
+    n = edges.where("lo IS NOT NULL").agg(F.max("k")).first()[0] or 0  # bins come from a range, spread over the tasks
+    frame = df.sparkSession.range(n).select(
+        F.col("id").alias("bin"), (lo + F.col("id") * width).alias("lower"), (lo + (F.col("id") + 1) * width).alias("upper")
+    )
     return frame.join(counts, "bin", "left").select("bin", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -138,7 +138,7 @@ def stratified_split(
         width += _DIGITS
         pending = F.broadcast(df.sparkSession.createDataFrame(open_rows, schema))  # one row per class
         counts = (
-            ranks.join(pending, label)
+            ranks.join(pending, ranks[label].eqNullSafe(pending[label])).drop(pending[label])
             .where(F.col("_rank").startswith(F.col("_prefix")))
             .groupBy(label, "wanted", "_below", F.substring("_rank", 1, width).alias("_at"))
             .agg(F.count(F.lit(1)).alias("_n"))

@@ -9,7 +9,7 @@ from forumloom.operators.order import with_group_positions
 from forumloom.operators.skew import hot_keys, join_lookup
 from forumloom.session import cut
 
-_SEGMENT = 12  # digits per level; keeps the text order of paths equal to the order of sibling numbers
+_SEGMENT = 19  # digits per level, all of a BIGINT; keeps the text order of paths equal to the order of sibling numbers
 
 
 def flatten_threads(
@@ -25,16 +25,24 @@ def flatten_threads(
     Sorting a post by ``path`` visits its trees depth-first, parents before children. Ancestor pointers
     are doubled each round, so a chain of depth d takes about log2(d) joins, not d. Rows that have reached
     their root leave the loop. Each round is cut to reliable storage.
-    ``sibling_order`` is a non-negative integer that numbers the replies of one parent.
+    ``sibling_order`` is a non-negative integer that numbers the replies of one parent; replies of equal
+    number are told apart by a digest of their id. A pointer that has climbed more levels than its post has nodes
+    is in a cycle, which is an error.
     """
-    segment = F.lpad(F.col(sibling_order).cast("string"), _SEGMENT, "0")
+    number = F.col(sibling_order).cast("long")
+    digits = F.when(number >= 0, F.lpad(number.cast("string"), _SEGMENT, "0")).when(
+        number.isNotNull(), F.raise_error(F.lit("sibling numbers may not be negative"))
+    )
+    segment = F.concat(digits, F.lit("."), F.substring(F.md5(F.col(node).cast("string").cast("binary")), 1, 16))
+    sizes = replies.groupBy(post).agg(F.count(F.lit(1)).alias("_size"))
     nodes = cut(
-        replies.select(
+        join_lookup(replies, sizes, [post]).select(
             post,
             node,
             F.col(parent).alias("_anc"),
             F.lit(0).alias("_up"),
             segment.alias("path"),
+            "_size",
         )
     )
     pending, done = nodes.where(F.col("_anc").isNotNull()), nodes.where(F.col("_anc").isNull())
@@ -42,6 +50,8 @@ def flatten_threads(
     for _ in range(max_rounds):
         if pending.isEmpty():
             break
+        if not pending.where(F.col("_up") >= F.col("_size")).isEmpty():
+            raise ValueError("parent pointers form a cycle")
         # where each pointer target itself points to: finished targets end the climb
         resolved = finished[0]
         for part in finished[1:]:
@@ -58,6 +68,7 @@ def flatten_threads(
                 F.col("_next").alias("_anc"),
                 (F.col("_up") + F.col("_more") + 1).alias("_up"),
                 F.concat_ws("/", "_prefix", "path").alias("path"),
+                "_size",
             )
         )
         finished.append(moved.where(F.col("_anc").isNull()))
@@ -76,9 +87,10 @@ def number_comments(flat: DataFrame, post: str = "post_id", order: list[str | Co
     Positions come from a range sort, so a post with most of the comments is numbered by many tasks.
     """
     placed = with_group_positions(flat, [post], order or ["path"], "_pos")
-    totals = flat.groupBy(post).agg(F.count(F.lit(1)).alias("num_comments"))
+    placed = placed.withColumn("_post", F.struct(post))  # null-safe, as for positions
+    totals = flat.groupBy(F.struct(post).alias("_post")).agg(F.count(F.lit(1)).alias("num_comments"))
     return (
-        join_lookup(placed, totals, [post])
+        join_lookup(placed, totals, ["_post"])
         .withColumn("num_comment", F.col("_pos") + 1)
         .drop("_pos")
         .select(*flat.columns, "num_comment", "num_comments")
@@ -88,9 +100,10 @@ def number_comments(flat: DataFrame, post: str = "post_id", order: list[str | Co
 def number_posts(posts: DataFrame, group: str = "subreddit", order: list[str | Column] | None = None) -> DataFrame:
     """Add the ``post_counter`` text ``i/n`` of each post inside its group."""
     placed = with_group_positions(posts, [group], order or ["post_id"], "_pos")
-    totals = posts.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    placed = placed.withColumn("_group", F.struct(group))
+    totals = posts.groupBy(F.struct(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
     return (
-        join_lookup(placed, totals, [group])
+        join_lookup(placed, totals, ["_group"])
         .withColumn("post_counter", F.concat_ws("/", (F.col("_pos") + 1).cast("string"), F.col("_n").cast("string")))
         .select(*posts.columns, "post_counter")
     )

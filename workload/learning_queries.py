@@ -283,7 +283,7 @@ def f9(spark, folder):
 @query(
     "f10_document_vectors",
     f"""{WITH_VECTORS}, counts AS (SELECT comment_id, token, count(*) AS n FROM tokens GROUP BY ALL),
-    sizes AS (SELECT comment_id, sum(n) AS total FROM counts GROUP BY comment_id),
+    sizes AS (SELECT comment_id, coalesce(sum(n), 1) AS total FROM comments LEFT JOIN counts USING (comment_id) GROUP BY comment_id),
     dims AS (SELECT token, unnest(range(64)) AS dim, unnest(vector) AS x FROM vectors),
     sums AS (SELECT comment_id, dim, sum(n * CAST(x AS DOUBLE)) AS s FROM counts JOIN dims USING (token) GROUP BY ALL)
     SELECT comment_id, dim, round(coalesce(s, 0) / total, 6) AS value
@@ -300,7 +300,7 @@ def f10(spark, folder):
 
 @query(
     "f12_max_abs_scaler",
-    f"""{PAIRS}, c AS (SELECT comment_id, split, term_idx, n FROM pairs JOIN vocabulary USING (term)),
+    f"""{PAIRS}, c AS MATERIALIZED (SELECT comment_id, split, term_idx, n FROM pairs JOIN vocabulary USING (term)),
     m AS (SELECT term_idx, max(n) AS scale FROM c WHERE split = 'train' GROUP BY term_idx)
     SELECT comment_id, term_idx, round(n / scale, 6) AS value FROM c JOIN m USING (term_idx)""",
 )
@@ -314,7 +314,7 @@ def f12(spark, folder):
 
 @query(
     "f12_standard_scaler",
-    f"""{PAIRS}, c AS (SELECT comment_id, split, term_idx, n FROM pairs JOIN vocabulary USING (term)),
+    f"""{PAIRS}, c AS MATERIALIZED (SELECT comment_id, split, term_idx, n FROM pairs JOIN vocabulary USING (term)),
     m AS (SELECT term_idx, sqrt(greatest(sum(n * n) / n_train - (sum(n) / n_train) * (sum(n) / n_train), 0)) AS scale
       FROM c, sizes WHERE split = 'train' GROUP BY term_idx, n_train)
     SELECT comment_id, term_idx, round(n / CASE WHEN scale = 0 THEN 1 ELSE scale END, 6) AS value
@@ -354,7 +354,7 @@ def _labelled(spark, folder, width=64, norm="l2"):
     docs = t.table(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("comment_id"), "text", "lang", F.col("n_chars").cast("double").alias("n_chars")
     )
-    vectors = features.sparse_vectors(features.hashed_vectors(docs, width, norm=norm), width)
+    vectors = features.sparse_vectors(features.hashed_vectors(docs, width, norm=norm), width, ids=docs)
     rows = docs.drop("text").join(vectors, "comment_id")
     rows = models.fit_label_index(rows, "lang").transform(rows)
     return cut(split.random_split(rows))

@@ -139,10 +139,10 @@ WITH_REPLIES = """WITH RECURSIVE replies AS (
          CASE WHEN turn > 0 THEN conv_id || '-' || ((turn - 1) // 2) END AS parent_id
   FROM conversations),
 flat AS (
-  SELECT post_id, comment_id, 0 AS depth, lpad(CAST(turn AS STRING), 12, '0') AS path
+  SELECT post_id, comment_id, 0 AS depth, lpad(CAST(turn AS STRING), 19, '0') || '.' || substr(md5(comment_id), 1, 16) AS path
   FROM replies WHERE parent_id IS NULL
   UNION ALL
-  SELECT r.post_id, r.comment_id, f.depth + 1, f.path || '/' || lpad(CAST(r.turn AS STRING), 12, '0')
+  SELECT r.post_id, r.comment_id, f.depth + 1, f.path || '/' || lpad(CAST(r.turn AS STRING), 19, '0') || '.' || substr(md5(r.comment_id), 1, 16)
   FROM replies r JOIN flat f ON r.post_id = f.post_id AND r.parent_id = f.comment_id)"""
 
 WITH_POSTS = """WITH posts AS (
