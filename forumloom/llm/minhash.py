@@ -18,6 +18,9 @@ from forumloom.operators.skew import join_lookup
 COORDINATES, MATCHES = 40, 17
 """A pair of similarity 0.75 has fewer than 17 of 40 equal coordinates once in about 10^6 pairs."""
 
+STAR_ROUNDS = 4
+"""Times every document of a posting meets one of it before the pairs still apart are compared; changes no result."""
+
 SEED = 5
 
 
@@ -101,13 +104,10 @@ def linked(n_a: Column, n_b: Column, both: Column, percent: int) -> Column:
     return both * 100 >= (n_a + n_b - both) * percent
 
 
-def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    own = stage(texts.join(ids, "id").groupBy("id").agg(F.first("t").alias("t")), "candidates")
-    full = pairs.join(own.select(F.col("id").alias("a"), F.col("t").alias("t_a")), "a").join(
-        own.select(F.col("id").alias("b"), F.col("t").alias("t_b")), "b"
+def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose full shingle sets are similar enough; ``texts`` has one row ``(id, t)`` per end."""
+    full = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("t_a")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("t").alias("t_b")), "b"
     )
 
     def check(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -129,10 +129,10 @@ def near_duplicates(
     """``(doc_id, n_shingles, component_id, kept)``, one row per document: near-duplicate groups by their smallest id.
 
     Documents with the same shingle set become one. The others are posted under their rare signature
-    coordinates. First, every document of a posting is compared with the smallest of it only, which
-    joins most groups at a cost linear in their size; then the remaining pairs of a posting that lie in
-    different groups, are of like size and collide in at least ``MATCHES`` coordinates. All links are
-    confirmed on full shingle sets. Joins on postings are between two shuffled tables, so adaptive execution splits
+    coordinates. First, in a few rounds, every document of a posting is compared with one of it, the smallest
+    and then others, unless both are in one group by now: that joins large groups at a cost linear in
+    their size. Then the remaining pairs of a posting that lie in different groups, are of like size and collide
+    in at least ``MATCHES`` coordinates. All links are confirmed on full shingle sets. Joins on postings are between two shuffled tables, so adaptive execution splits
     a posting that very many documents share.
 
     Null and empty texts, and null ids, have no links and stay; repeated rows of one id are one document with
@@ -153,31 +153,33 @@ def near_duplicates(
         F.max("n").alias("n"), F.max("signature").alias("signature")
     )
     posted = postings(stage(reps))
-    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    enough = fits & (collisions(F.col("s_a"), F.col("s_b")) >= MATCHES)
-    left = posted.select("coord", "value", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-    right = posted.select("coord", "value", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
-
-    first = F.min(F.struct("a", "n_a", "s_a")).alias("first")
-    heads = stage(left.groupBy("coord", "value").agg(first)).select("coord", "value", "first.*")
-    stars = stage(right.join(heads, ["coord", "value"]).where(enough & (F.col("a") < F.col("b"))).select("a", "b").distinct())
-    links = stage(verify(stars, docs, key, text, size, percent))
-
-    groups = components(links)
-    of = lambda frame, side: frame.join(
-        groups.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}")), side, "left"
-    ).withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-    across = (
-        stage(of(left, "a"))
-        .join(stage(of(right, "b")), ["coord", "value"])
-        .where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & enough)
-        .select("a", "b")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    across = stage(across)
-    if not across.isEmpty():
-        links = links.union(stage(verify(across, docs, key, text, size, percent)))
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    texts = stage(texts.join(posted.select("id").distinct(), "id").groupBy("id").agg(F.first("t").alias("t")), "candidates")
+    fits = (F.col("n") * 100 >= F.col("n_2") * percent) & (F.col("n_2") * 100 >= F.col("n") * percent)
+    other = (F.col("id") != F.col("id_2")) & (F.col("c") != F.col("c_2"))
+    enough = other & fits & (collisions(F.col("signature"), F.col("signature_2")) >= MATCHES)
+    pair = F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")
+    second = lambda frame: frame.select("coord", "value", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "c", "signature")])
+
+    grouped, links, tested = posted.withColumn("c", F.col("id")), None, None
+    for turn in range(STAR_ROUNDS):
+        order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+        first = F.min(F.struct(order.alias("o"), "id", "n", "c", "signature")).alias("f")
+        heads = stage(grouped.groupBy("coord", "value").agg(first)).select("coord", "value", "f.*")
+        stars = grouped.join(second(heads), ["coord", "value"]).where(enough).select(*pair).distinct()
+        stars = stage(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"))
+        if stars.isEmpty():
+            break
+        tested = stars if tested is None else tested.union(stars)
+        new = stage(verify(stars, texts, size, percent))
+        links = new if links is None else links.union(new)
+        groups = components(links).withColumnRenamed("component", "c")
+        grouped = stage(posted.join(groups, "id", "left").withColumn("c", F.coalesce("c", "id")))
+    across = grouped.join(second(grouped), ["coord", "value"]).where((F.col("id") < F.col("id_2")) & enough)
+    across = across.select(*pair).distinct()
+    across = stage(across if tested is None else across.join(tested, ["a", "b"], "left_anti"))
+    found = verify(across, texts, size, percent)
+    links = found if links is None else links.union(found)
     joined = components(links.union(exact))
     return (
         sets.select("doc_id", "n_shingles")
