@@ -17,7 +17,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     of changed labels reaches the driver.
     """
     both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"))
+    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id")
     for _ in range(max_rounds):
         near = (
             both.join(labels.withColumnRenamed("id", "b"), "b")

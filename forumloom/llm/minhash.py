@@ -18,8 +18,15 @@ from forumloom.operators.skew import join_lookup
 COORDINATES, MATCHES = 40, 17
 """A pair of similarity 0.75 has fewer than 17 of 40 equal coordinates once in about 10^6 pairs."""
 
+LONGER, LONGER_MATCHES = 128, 71
+"""Of that many coordinates, the posted ones among them, a pair that is compared in full has so many equal.
+A pair of similarity 0.75 has fewer once in about 10^6 pairs; at 0.5 one pair in twenty has as many."""
+
 STAR_ROUNDS = 4
-"""Times every document of a posting meets one of it before the pairs still apart are compared; changes no result."""
+"""Most times every document of a posting meets one of it before the pairs still apart are compared; changes no result."""
+
+WORTH = 8
+"""A star round is run if that many pairs are still apart for each posted row; changes no result."""
 
 SEED = 5
 
@@ -39,35 +46,42 @@ def shingle_sets(texts: list[bytes | None], hashes: WordHashes, size: int) -> li
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
-    """``(doc_id, n_shingles, set_a, set_b, signature)``: 128 bits naming the shingle set, and its MinHash coordinates."""
+    """``(doc_id, n_shingles, set_a, set_b, signature, rest)``: 128 bits naming the shingle set, and its MinHash
+    coordinates, ``COORDINATES`` of them with 32 bits and the rest of ``LONGER`` with 16.
+    """
     prepare(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        factors, shifts = odd_numbers(COORDINATES, SEED)[:, None], mix(odd_numbers(COORDINATES, SEED + 1))[:, None]
+        factors, shifts = odd_numbers(LONGER, SEED)[:, None], mix(odd_numbers(LONGER, SEED + 1))[:, None]
         for batch in slices(batches, text):
-            sizes, firsts, seconds, rows = [], [], [], []
+            sizes, firsts, seconds, rows, rest = [], [], [], [], []
             for found in shingle_sets(texts_as_bytes(batch.column(text)), hashes, size):
                 name = xxhash.xxh3_128_intdigest(found.tobytes())
                 sizes.append(len(found))
                 firsts.append((name >> 64) - (1 << 63))
                 seconds.append((name & ((1 << 64) - 1)) - (1 << 63))
-                least = np.full((COORDINATES, 1), np.uint64((1 << 64) - 1))
-                for i in range(0, len(found), 2048):
-                    least = np.minimum(least, ((found[i : i + 2048] ^ shifts) * factors).min(1, keepdims=True))
-                rows.append((least.ravel() >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            values = pa.array(np.concatenate(rows))
-            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * COORDINATES)
+                least = np.full((LONGER, 1), np.uint64((1 << 64) - 1))
+                for i in range(0, len(found), 1024):
+                    least = np.minimum(least, ((found[i : i + 1024] ^ shifts) * factors).min(1, keepdims=True))
+                rows.append((least[:COORDINATES, 0] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                rest.append((least[COORDINATES:, 0] >> np.uint64(48)).astype(np.uint16).view(np.int16))
+            lists = [
+                pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(x[0])), pa.array(np.concatenate(x))
+                )
+                for x in (rows, rest)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(key), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()),
-                    pa.array(seconds, pa.int64()), pa.ListArray.from_arrays(ends, values),
+                    pa.array(seconds, pa.int64()), *lists,
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "rest"],
             )
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(
-        run, "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>"
+        run, "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>, rest array<smallint>"
     )
 
 
@@ -78,14 +92,14 @@ def collisions(left: Column, right: Column) -> Column:
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """``(coord, value, id, n, signature)``: the coordinates in the prefix of each document that others share.
+    """``(coord, value, id, n, signature, rest)``: the coordinates in the prefix of each document that others share.
 
     Coordinates are put in one global order, rarest first. Two documents that agree in at least ``MATCHES``
     coordinates agree in one of the first ``COORDINATES - MATCHES + 1`` of each, so the others, which are the
     frequent ones, are posted by nobody. Coordinates of a single document come first and need no posting.
     """
     every = reps.select("id", F.posexplode("signature").alias("coord", "value"))
-    shared = stage(every.groupBy("coord", "value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"))
+    shared = every.groupBy("coord", "value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
     known = every.join(shared, ["coord", "value"])
     prefix = (
         known.groupBy("id")  # at most COORDINATES rows a group
@@ -94,8 +108,8 @@ def postings(reps: DataFrame) -> DataFrame:
         .where(F.size("p") > 0)
     )
     return stage(
-        prefix.join(reps, "id").select("id", "n", "signature", F.explode("p").alias("p")).select(
-            "p.coord", "p.value", "id", "n", "signature"
+        prefix.join(reps, "id").select("id", "n", "signature", "rest", F.explode("p").alias("p")).select(
+            "p.coord", "p.value", "id", "n", "signature", "rest"
         )
     )
 
@@ -123,17 +137,25 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return full.where(F.pandas_udf(check, "boolean")("t_a", "t_b")).select("a", "b")
 
 
+def pairs_apart(grouped: DataFrame) -> tuple[float, int]:
+    """Pairs that share a posting but no group, counted once per posting, and the posted rows."""
+    sizes = grouped.groupBy("coord", "value", "c").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    per = sizes.groupBy("coord", "value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    total = per.agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
+    return total.pairs or 0.0, int(total.n or 0)
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per document: near-duplicate groups by their smallest id.
 
     Documents with the same shingle set become one. The others are posted under their rare signature
-    coordinates. First, in a few rounds, every document of a posting is compared with one of it, the smallest
-    and then others, unless both are in one group by now: that joins large groups at a cost linear in
-    their size. Then the remaining pairs of a posting that lie in different groups, are of like size and collide
-    in at least ``MATCHES`` coordinates. All links are confirmed on full shingle sets. Joins on postings are between two shuffled tables, so adaptive execution splits
-    a posting that very many documents share.
+    coordinates. While postings hold many more pairs than rows, and the last round halved them, every document of
+    a posting is compared with one of it, the smallest and then others, unless both are in one group by now: that
+    joins large groups at a cost linear in their size. Then the remaining pairs of a posting that lie in different groups, are of like size and collide
+    in at least ``MATCHES`` coordinates, and ``LONGER_MATCHES`` of the longer signature. All links are confirmed on full shingle sets. Joins on postings are between
+    two shuffled tables, so adaptive execution splits a posting that very many documents share.
 
     Null and empty texts, and null ids, have no links and stay; repeated rows of one id are one document with
     the text of any of them, and keep a row each; ids are compared as numbers; other columns are ignored.
@@ -143,29 +165,36 @@ def near_duplicates(
     names = ["set_a", "set_b", "n_shingles"]
     classes = stage(
         some.groupBy(*names).agg(
-            F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first("signature").alias("signature")
+            F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first(F.struct("signature", "rest")).alias("s")
         )
     )
     many = classes.where("last > id").select(*names, "id")
     copies = join_lookup(some.select(*names, "doc_id"), many, names).where("doc_id > id")
     exact = copies.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    reps = classes.select("id", F.col("n_shingles").alias("n"), "signature").groupBy("id").agg(
-        F.max("n").alias("n"), F.max("signature").alias("signature")
-    )
+    reps = classes.groupBy("id").agg(F.max(F.struct(F.col("n_shingles").alias("n"), "s.signature", "s.rest")).alias("r"))
+    reps = reps.select("id", "r.*")
     posted = postings(stage(reps))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     texts = stage(texts.join(posted.select("id").distinct(), "id").groupBy("id").agg(F.first("t").alias("t")), "candidates")
     fits = (F.col("n") * 100 >= F.col("n_2") * percent) & (F.col("n_2") * 100 >= F.col("n") * percent)
     other = (F.col("id") != F.col("id_2")) & (F.col("c") != F.col("c_2"))
-    enough = other & fits & (collisions(F.col("signature"), F.col("signature_2")) >= MATCHES)
+    first = collisions(F.col("signature"), F.col("signature_2")) >= MATCHES
+    # written the other way round, or the optimizer shares the count and takes it before the cheaper conditions
+    every = collisions(F.col("signature_2"), F.col("signature")) + collisions(F.col("rest_2"), F.col("rest"))
+    enough = other & fits & first & (every >= LONGER_MATCHES)
     pair = F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")
-    second = lambda frame: frame.select("coord", "value", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "c", "signature")])
+    second = lambda frame: frame.select("coord", "value", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "c", "signature", "rest")])
 
     grouped, links, tested = posted.withColumn("c", F.col("id")), None, None
+    before = float("inf")
     for turn in range(STAR_ROUNDS):
+        pairs, rows = pairs_apart(grouped)
+        if pairs <= WORTH * rows or pairs * 2 > before:
+            break
+        before = pairs
         order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-        first = F.min(F.struct(order.alias("o"), "id", "n", "c", "signature")).alias("f")
-        heads = stage(grouped.groupBy("coord", "value").agg(first)).select("coord", "value", "f.*")
+        least = F.min(F.struct(order.alias("o"), "id", "n", "c", "signature", "rest")).alias("f")
+        heads = grouped.groupBy("coord", "value").agg(least).select("coord", "value", "f.*")
         stars = grouped.join(second(heads), ["coord", "value"]).where(enough).select(*pair).distinct()
         stars = stage(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"))
         if stars.isEmpty():
