@@ -92,7 +92,7 @@ def collisions(left: Column, right: Column) -> Column:
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """``(coord, value, id, n, signature, rest)``: the coordinates in the prefix of each document that others share.
+    """``(coord, value, id, n, signature)``: the coordinates in the prefix of each document that others share.
 
     Coordinates are put in one global order, rarest first. Two documents that agree in at least ``MATCHES``
     coordinates agree in one of the first ``COORDINATES - MATCHES + 1`` of each, so the others, which are the
@@ -108,8 +108,8 @@ def postings(reps: DataFrame) -> DataFrame:
         .where(F.size("p") > 0)
     )
     return stage(
-        prefix.join(reps, "id").select("id", "n", "signature", "rest", F.explode("p").alias("p")).select(
-            "p.coord", "p.value", "id", "n", "signature", "rest"
+        prefix.join(reps, "id").select("id", "n", "signature", F.explode("p").alias("p")).select(
+            "p.coord", "p.value", "id", "n", "signature"
         )
     )
 
@@ -137,6 +137,13 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return full.where(F.pandas_udf(check, "boolean")("t_a", "t_b")).select("a", "b")
 
 
+def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The distinct pairs ``(a, b)`` that collide in ``LONGER_MATCHES`` coordinates of the longer signature."""
+    ends = [reps.select(F.col("id").alias(e), F.col("signature").alias(f"s_{e}"), F.col("rest").alias(f"r_{e}")) for e in "ab"]
+    count = collisions(F.col("s_a"), F.col("s_b")) + collisions(F.col("r_a"), F.col("r_b"))
+    return pairs.join(ends[0], "a").join(ends[1], "b").where(count >= LONGER_MATCHES).select("a", "b")
+
+
 def pairs_apart(grouped: DataFrame) -> tuple[float, int]:
     """Pairs that share a posting but no group, counted once per posting, and the posted rows."""
     sizes = grouped.groupBy("coord", "value", "c").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -173,17 +180,16 @@ def near_duplicates(
     exact = copies.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     reps = classes.groupBy("id").agg(F.max(F.struct(F.col("n_shingles").alias("n"), "s.signature", "s.rest")).alias("r"))
     reps = reps.select("id", "r.*")
-    posted = postings(stage(reps))
+    reps = stage(reps)
+    posted = postings(reps)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     texts = stage(texts.join(posted.select("id").distinct(), "id").groupBy("id").agg(F.first("t").alias("t")), "candidates")
     fits = (F.col("n") * 100 >= F.col("n_2") * percent) & (F.col("n_2") * 100 >= F.col("n") * percent)
     other = (F.col("id") != F.col("id_2")) & (F.col("c") != F.col("c_2"))
     first = collisions(F.col("signature"), F.col("signature_2")) >= MATCHES
-    # written the other way round, or the optimizer shares the count and takes it before the cheaper conditions
-    every = collisions(F.col("signature_2"), F.col("signature")) + collisions(F.col("rest_2"), F.col("rest"))
-    enough = other & fits & first & (every >= LONGER_MATCHES)
+    enough = other & fits & first
     pair = F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")
-    second = lambda frame: frame.select("coord", "value", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "c", "signature", "rest")])
+    second = lambda frame: frame.select("coord", "value", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "c", "signature")])
 
     grouped, links, tested = posted.withColumn("c", F.col("id")), None, None
     before = float("inf")
@@ -193,10 +199,11 @@ def near_duplicates(
             break
         before = pairs
         order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-        least = F.min(F.struct(order.alias("o"), "id", "n", "c", "signature", "rest")).alias("f")
+        least = F.min(F.struct(order.alias("o"), "id", "n", "c", "signature")).alias("f")
         heads = grouped.groupBy("coord", "value").agg(least).select("coord", "value", "f.*")
         stars = grouped.join(second(heads), ["coord", "value"]).where(enough).select(*pair).distinct()
-        stars = stage(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"))
+        stars = stars if tested is None else stars.join(tested, ["a", "b"], "left_anti")
+        stars = stage(alike(stars, reps))
         if stars.isEmpty():
             break
         tested = stars if tested is None else tested.union(stars)
@@ -206,7 +213,8 @@ def near_duplicates(
         grouped = stage(posted.join(groups, "id", "left").withColumn("c", F.coalesce("c", "id")))
     across = grouped.join(second(grouped), ["coord", "value"]).where((F.col("id") < F.col("id_2")) & enough)
     across = across.select(*pair).distinct()
-    across = stage(across if tested is None else across.join(tested, ["a", "b"], "left_anti"))
+    across = across if tested is None else across.join(tested, ["a", "b"], "left_anti")
+    across = stage(alike(across, reps))
     found = verify(across, texts, size, percent)
     links = found if links is None else links.union(found)
     joined = components(links.union(exact))
