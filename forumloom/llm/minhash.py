@@ -18,9 +18,18 @@ from forumloom.operators.skew import join_lookup
 COORDINATES, MATCHES = 40, 17
 """A pair of similarity 0.75 has fewer than 17 of 40 equal coordinates once in about 10^6 pairs."""
 
-LONGER, LONGER_MATCHES = 128, 71
+LONGER, LONGER_MATCHES = 256, 158
 """Of that many coordinates, the posted ones among them, a pair that is compared in full has so many equal.
-A pair of similarity 0.75 has fewer once in about 10^6 pairs; at 0.5 one pair in twenty has as many."""
+A pair of similarity 0.75 has fewer once in about 10^6 pairs; at 0.5 next to no pair has as many."""
+
+DENSE = 64
+"""Postings of more documents are compared in blocks, the others by a join; changes no result."""
+
+BLOCK = 512
+"""Documents wanted on either side of a block."""
+
+CELL_SHINGLES = 500_000
+"""Shingles wanted on either side of a full comparison, which is cut further for them."""
 
 STAR_ROUNDS = 4
 """Most times every document of a posting meets one of it before the pairs still apart are compared; changes no result."""
@@ -46,53 +55,49 @@ def shingle_sets(texts: list[bytes | None], hashes: WordHashes, size: int) -> li
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
-    """``(doc_id, n_shingles, set_a, set_b, signature, rest)``: 128 bits naming the shingle set, and its MinHash
-    coordinates, ``COORDINATES`` of them with 32 bits and the rest of ``LONGER`` with 16.
+    """``(doc_id, n_shingles, set_a, set_b, signature, longer)``: 128 bits naming the shingle set, the ``COORDINATES``
+    MinHash values of 32 bits that are posted, and the low 16 bits of ``LONGER`` values, these among them, in a row.
     """
     prepare(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        factors, shifts = odd_numbers(LONGER, SEED)[:, None], mix(odd_numbers(LONGER, SEED + 1))[:, None]
+        factors = (odd_numbers(LONGER, SEED) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
+        shifts = (mix(odd_numbers(LONGER, SEED + 1)) >> np.uint64(32)).astype(np.uint32)[:, None]
         for batch in slices(batches, text):
-            sizes, firsts, seconds, rows, rest = [], [], [], [], []
+            sizes, firsts, seconds, rows, longer = [], [], [], [], []
             for found in shingle_sets(texts_as_bytes(batch.column(text)), hashes, size):
                 name = xxhash.xxh3_128_intdigest(found.tobytes())
                 sizes.append(len(found))
                 firsts.append((name >> 64) - (1 << 63))
                 seconds.append((name & ((1 << 64) - 1)) - (1 << 63))
-                least = np.full((LONGER, 1), np.uint64((1 << 64) - 1))
-                for i in range(0, len(found), 1024):
-                    least = np.minimum(least, ((found[i : i + 1024] ^ shifts) * factors).min(1, keepdims=True))
-                rows.append((least[:COORDINATES, 0] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                rest.append((least[COORDINATES:, 0] >> np.uint64(48)).astype(np.uint16).view(np.int16))
-            lists = [
-                pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(x[0])), pa.array(np.concatenate(x))
-                )
-                for x in (rows, rest)
-            ]
+                least = np.full((LONGER, 1), np.uint32((1 << 32) - 1))
+                short = (found ^ (found >> np.uint64(32))).astype(np.uint32)
+                for i in range(0, len(short), 1024):
+                    least = np.minimum(least, ((short[i : i + 1024] ^ shifts) * factors).min(1, keepdims=True))
+                rows.append(least[:COORDINATES, 0].view(np.int32))
+                longer.append(least[:, 0].astype(np.uint16).tobytes())
+            starts = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * COORDINATES)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(key), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()),
-                    pa.array(seconds, pa.int64()), *lists,
+                    batch.column(key), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()),
+                    pa.ListArray.from_arrays(starts, pa.array(np.concatenate(rows))), pa.array(longer, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "rest"],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "longer"],
             )
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(
-        run, "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>, rest array<smallint>"
+        run, "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>, longer binary"
     )
 
 
-def collisions(left: Column, right: Column) -> Column:
-    """Number of equal coordinates of two signatures."""
-    equal = F.zip_with(left, right, lambda x, y: (x == y).cast("int"))
-    return F.aggregate(equal, F.lit(0), lambda total, x: total + x)
+def matrix(signatures: pd.Series) -> np.ndarray:
+    """One row of ``LONGER`` coordinates per signature."""
+    return np.frombuffer(b"".join(signatures), np.uint16).reshape(-1, LONGER)
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """``(coord, value, id, n, signature)``: the coordinates in the prefix of each document that others share.
+    """``(coord, value, id, n)``: the coordinates in the prefix of each document that others share.
 
     Coordinates are put in one global order, rarest first. Two documents that agree in at least ``MATCHES``
     coordinates agree in one of the first ``COORDINATES - MATCHES + 1`` of each, so the others, which are the
@@ -108,40 +113,112 @@ def postings(reps: DataFrame) -> DataFrame:
         .where(F.size("p") > 0)
     )
     return stage(
-        prefix.join(reps, "id").select("id", "n", "signature", F.explode("p").alias("p")).select(
-            "p.coord", "p.value", "id", "n", "signature"
-        )
-    )
+        prefix.join(reps.select("id", "n"), "id")
+        .select("id", "n", F.explode("p").alias("p"))
+        .select("p.coord", "p.value", "id", "n")
+    )
+
 
+def once(pairs: DataFrame) -> DataFrame:
+    """Each pair ``(a, b)`` in one of its cells."""
+    return pairs.groupBy("a", "b").agg(F.min("cell").alias("cell"), F.max("n").alias("n"))
 
-def linked(n_a: Column, n_b: Column, both: Column, percent: int) -> Column:
-    return both * 100 >= (n_a + n_b - both) * percent
+
+def cell_of(home: Column, guest: Column) -> Column:
+    """Where a pair was found: the posting, and a block of it on either side."""
+    return F.struct("coord", "value", home.cast("int").alias("h"), guest.cast("int").alias("g"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets are similar enough; ``texts`` has one row ``(id, t)`` per end."""
-    full = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("t_a")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("t").alias("t_b")), "b"
+    """The pairs ``(a, b)`` whose full shingle sets are similar enough; ``texts`` has one row ``(id, t)`` per end.
+
+    Pairs of a cell share most of their documents, so a cell gets each text once. Cells of long documents are cut
+    further, so that either side has about ``CELL_SHINGLES`` shingles or is a single document.
+    """
+    cuts = F.least(F.lit(BLOCK), F.ceil(F.col("n") * BLOCK / CELL_SHINGLES)).cast("int")
+    part = lambda end: F.pmod(F.xxhash64(end, F.lit(7)), F.col("cuts")).cast("int")
+    keyed = pairs.withColumn("cuts", cuts).select("a", "b", "cell", "cuts", part("a").alias("p"), part("b").alias("q"))
+    key = ["cell", "cuts", "p", "q"]
+    ends = keyed.select(*key, F.col("a").alias("id")).union(keyed.select(*key, F.col("b").alias("id"))).distinct()
+    known = ends.join(texts, "id").select(*key, F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "t")
+    rows = known.union(keyed.select(*key, "a", "b", F.lit(None).cast("string").alias("t")))
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        told, asked = cell[cell.b.isna()], cell[cell.b.notna()]
+        ids = told.a.to_numpy()
+        sets = shingle_sets([t.encode() for t in told.t], WordHashes(), size)
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        words, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        by_id = np.argsort(ids)
+        left, right = (by_id[np.searchsorted(ids[by_id], asked[e].to_numpy(np.int64))] for e in "ab")
+        order = np.argsort(left, kind="stable")
+        left, right, close = left[order], right[order], np.zeros(len(order), bool)
+        bounds = np.flatnonzero(np.diff(left, prepend=-1, append=-1))
+        has = np.zeros(len(words) + 1, bool)
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            mine = codes[starts[left[i]] : starts[left[i] + 1]]
+            has[mine] = True
+            both = np.array([np.count_nonzero(has[codes[starts[k] : starts[k + 1]]]) for k in right[i:j]])
+            has[mine] = False
+            close[i:j] = both * 100 >= (len(mine) + sizes[right[i:j]] - both) * percent
+        return pd.DataFrame({"a": ids[left[close]], "b": ids[right[close]]})
+
+    return rows.groupBy(*key).applyInPandas(compare, "a long, b long")
+
+
+def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that collide in ``LONGER_MATCHES`` coordinates of the longer signature."""
+
+    def check(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series((matrix(left) == matrix(right)).sum(1) >= LONGER_MATCHES)
+
+    a, b = [reps.select(F.col("id").alias(e), F.col("longer").alias(f"s_{e}")) for e in "ab"]
+    return (
+        pairs.join(a, "a").join(b, "b").where(F.pandas_udf(check, "boolean")("s_a", "s_b")).select("a", "b", "cell", "n")
     )
 
-    def check(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        hashes = WordHashes()
-        for left, right in columns:
-            out = []
-            for x, y in zip(left, right, strict=True):
-                a, b = shingle_sets([x.encode(), y.encode()], hashes, size)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(both > 0 and both * 100 >= (len(a) + len(b) - both) * percent)
-            yield pd.Series(out, dtype=bool)
 
-    return full.where(F.pandas_udf(check, "boolean")("t_a", "t_b")).select("a", "b")
+def alike_in_blocks(dense: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different groups ``c`` that share a posting of ``dense`` and collide often enough.
+
+    The largest group of a posting need not meet itself: the documents outside it, the homes, meet all documents,
+    the guests, in blocks of about ``BLOCK`` by ``BLOCK``. A task holds two blocks and returns what collides.
+    """
+    key = ["coord", "value"]
+    sizes = dense.groupBy(*key, "c").agg(F.count(F.lit(1)).alias("k"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    grid = (
+        sizes.groupBy(*key)
+        .agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("most"))
+        .where(F.col("most.k") < F.col("k"))
+        .select(
+            *key, F.col("most.c").alias("most"), blocks(F.col("k") - F.col("most.k")).alias("homes"), blocks(F.col("k")).alias("guests")
+        )
+    )
+    placed = dense.join(grid, key)
+    place = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = placed.where("c <> most").select(
+        *key, place("homes").alias("h"), every("guests").alias("g"), F.lit(True).alias("home"), "id", "n", "c"
+    )
+    guest = placed.select(*key, every("homes").alias("h"), place("guests").alias("g"), F.lit(False).alias("home"), "id", "n", "c")
+    cells = home.union(guest).join(reps.select("id", "longer"), "id")
 
+    def meet(cell: pd.DataFrame) -> pd.DataFrame:
+        home, guest = cell[cell.home], cell[~cell.home]
+        x, y = matrix(home.longer), matrix(guest.longer)
+        ids, n, c = (guest[k].to_numpy() for k in ("id", "n", "c"))
+        out = []
+        for row, i, m, group in zip(x, home.id, home.n, home.c, strict=True):
+            fits = np.flatnonzero((c != group) & (n * 100 >= m * percent) & (m * 100 >= n * percent))
+            hit = ids[fits[(y[fits] == row).sum(1) >= LONGER_MATCHES]]
+            out.append(np.stack([np.minimum(hit, i), np.maximum(hit, i), np.full(len(hit), m)], 1))
+        found = pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3), np.int64), columns=["a", "b", "n"])
+        return found.assign(**{k: cell[k].iloc[0] for k in ("coord", "value", "h", "g")})
 
-def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The distinct pairs ``(a, b)`` that collide in ``LONGER_MATCHES`` coordinates of the longer signature."""
-    ends = [reps.select(F.col("id").alias(e), F.col("signature").alias(f"s_{e}"), F.col("rest").alias(f"r_{e}")) for e in "ab"]
-    count = collisions(F.col("s_a"), F.col("s_b")) + collisions(F.col("r_a"), F.col("r_b"))
-    return pairs.join(ends[0], "a").join(ends[1], "b").where(count >= LONGER_MATCHES).select("a", "b")
+    met = cells.groupBy(*key, "h", "g").applyInPandas(meet, "a long, b long, n long, coord int, value int, h int, g int")
+    return met.select("a", "b", cell_of(F.col("h"), F.col("g")).alias("cell"), "n")
 
 
 def pairs_apart(grouped: DataFrame) -> tuple[float, int]:
@@ -160,9 +237,10 @@ def near_duplicates(
     Documents with the same shingle set become one. The others are posted under their rare signature
     coordinates. While postings hold many more pairs than rows, and the last round halved them, every document of
     a posting is compared with one of it, the smallest and then others, unless both are in one group by now: that
-    joins large groups at a cost linear in their size. Then the remaining pairs of a posting that lie in different groups, are of like size and collide
-    in at least ``MATCHES`` coordinates, and ``LONGER_MATCHES`` of the longer signature. All links are confirmed on full shingle sets. Joins on postings are between
-    two shuffled tables, so adaptive execution splits a posting that very many documents share.
+    joins large groups at a cost linear in their size. Then the remaining pairs of a posting that lie in different
+    groups, are of like size and collide in at least ``LONGER_MATCHES`` coordinates of the longer signature: of small
+    postings by a join, of postings with more than ``DENSE`` documents in blocks. All links are confirmed on full
+    shingle sets.
 
     Null and empty texts, and null ids, have no links and stay; repeated rows of one id are one document with
     the text of any of them, and keep a row each; ids are compared as numbers; other columns are ignored.
@@ -172,13 +250,13 @@ def near_duplicates(
     names = ["set_a", "set_b", "n_shingles"]
     classes = stage(
         some.groupBy(*names).agg(
-            F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first(F.struct("signature", "rest")).alias("s")
+            F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first(F.struct("signature", "longer")).alias("s")
         )
     )
     many = classes.where("last > id").select(*names, "id")
     copies = join_lookup(some.select(*names, "doc_id"), many, names).where("doc_id > id")
     exact = copies.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    reps = classes.groupBy("id").agg(F.max(F.struct(F.col("n_shingles").alias("n"), "s.signature", "s.rest")).alias("r"))
+    reps = classes.groupBy("id").agg(F.max(F.struct(F.col("n_shingles").alias("n"), "s.signature", "s.longer")).alias("r"))
     reps = reps.select("id", "r.*")
     reps = stage(reps)
     posted = postings(reps)
@@ -186,10 +264,10 @@ def near_duplicates(
     texts = stage(texts.join(posted.select("id").distinct(), "id").groupBy("id").agg(F.first("t").alias("t")), "candidates")
     fits = (F.col("n") * 100 >= F.col("n_2") * percent) & (F.col("n_2") * 100 >= F.col("n") * percent)
     other = (F.col("id") != F.col("id_2")) & (F.col("c") != F.col("c_2"))
-    first = collisions(F.col("signature"), F.col("signature_2")) >= MATCHES
-    enough = other & fits & first
-    pair = F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")
-    second = lambda frame: frame.select("coord", "value", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "c", "signature")])
+    pair = F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"), F.greatest("n", "n_2").alias("n")
+    second = lambda frame, *more: frame.select(
+        "coord", "value", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "c", *more)]
+    )
 
     grouped, links, tested = posted.withColumn("c", F.col("id")), None, None
     before = float("inf")
@@ -199,22 +277,29 @@ def near_duplicates(
             break
         before = pairs
         order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-        least = F.min(F.struct(order.alias("o"), "id", "n", "c", "signature")).alias("f")
-        heads = grouped.groupBy("coord", "value").agg(least).select("coord", "value", "f.*")
-        stars = grouped.join(second(heads), ["coord", "value"]).where(enough).select(*pair).distinct()
+        least = F.min(F.struct(order.alias("o"), "id", "n", "c")).alias("f")
+        heads = grouped.groupBy("coord", "value").agg(least, F.count(F.lit(1)).alias("k"))
+        blocks = second(heads.select("coord", "value", "f.*", "k"), "k")
+        block = F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("k_2") / BLOCK))
+        stars = grouped.join(blocks, ["coord", "value"]).where(other & fits)
+        stars = once(stars.select(*pair, cell_of(F.lit(0), block).alias("cell")))
         stars = stars if tested is None else stars.join(tested, ["a", "b"], "left_anti")
         stars = stage(alike(stars, reps))
         if stars.isEmpty():
             break
-        tested = stars if tested is None else tested.union(stars)
+        seen = stars.select("a", "b")
+        tested = seen if tested is None else tested.union(seen)
         new = stage(verify(stars, texts, size, percent))
         links = new if links is None else links.union(new)
         groups = components(links).withColumnRenamed("component", "c")
         grouped = stage(posted.join(groups, "id", "left").withColumn("c", F.coalesce("c", "id")))
-    across = grouped.join(second(grouped), ["coord", "value"]).where((F.col("id") < F.col("id_2")) & enough)
-    across = across.select(*pair).distinct()
-    across = across if tested is None else across.join(tested, ["a", "b"], "left_anti")
-    across = stage(alike(across, reps))
+    crowd = grouped.groupBy("coord", "value").agg(F.count(F.lit(1)).alias("k"))
+    sized = stage(grouped.join(crowd, ["coord", "value"]))
+    small, dense = sized.where(F.col("k") <= DENSE).drop("k"), sized.where(F.col("k") > DENSE).drop("k")
+    across = small.join(second(small), ["coord", "value"]).where((F.col("id") < F.col("id_2")) & other & fits)
+    across = alike(once(across.select(*pair, cell_of(F.lit(0), F.lit(0)).alias("cell"))), reps)
+    across = once(across.select("a", "b", "cell", "n").union(alike_in_blocks(dense, reps, percent)))
+    across = stage(across if tested is None else across.join(tested, ["a", "b"], "left_anti"))
     found = verify(across, texts, size, percent)
     links = found if links is None else links.union(found)
     joined = components(links.union(exact))
