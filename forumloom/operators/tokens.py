@@ -53,30 +53,43 @@ def remove_stop_words(
 
     ``words`` is a list or a table with a column ``word``; the default is Spark's English list. Up to
     ``MAX_WORD_LIST`` words become a hash set inside the projection, with no shuffle. A longer table is
-    anti-joined at token level.
+    joined at token level, with the same result: one row per document, repeated ids and null words included.
     """
     if words is None:
         words = english_stop_words()
     if isinstance(words, DataFrame):
         if not fits_broadcast(words, MAX_WORD_LIST):
-            return _anti_join_words(docs, words, text, key)
+            return _join_words(docs, words, text)
         words = [row.word for row in words.select("word").collect()]
+    words = [word for word in words if word is not None]
     return docs.withColumn(text, K.join_tokens(K.without_words(K.whitespace_tokens(F.col(text)), words)))
 
 
-def _anti_join_words(docs: DataFrame, words: DataFrame, text: str, key: str) -> DataFrame:
-    tokens = token_rows(docs, key, text).withColumn("_word", F.lower("token"))
-    listed = words.select(F.lower("word").alias("_word")).distinct().withColumn("_stop", F.lit(True))
-    kept = join_lookup(tokens, listed, ["_word"], "left").where(F.col("_stop").isNull())
-    return _replace_text(docs, regroup(kept, key, text=text), key, text)
+def _join_words(docs: DataFrame, words: DataFrame, text: str) -> DataFrame:
+    tokens = _carried_tokens(docs, text).withColumn("_word", F.lower("_token"))
+    listed = words.where("word IS NOT NULL").select(F.lower("word").alias("_word")).distinct()
+    found = join_lookup(tokens, listed.withColumn("_stop", F.lit(True)), ["_word"], "left")
+    return _texts_again(found.where("_stop IS NULL OR _pos = 0").withColumn("_keep", F.expr("_stop IS NULL AND _token <> ''")), docs, text)
 
 
-def _replace_text(docs: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Swap in new texts; documents that lost all tokens keep an empty text, missing text stays missing."""
-    renamed = texts.select(key, F.col(text).alias("_new"))
-    rest = docs.withColumn("_has", F.col(text).isNotNull()).drop(text)  # the old text need not be shuffled
-    value = F.when(F.col("_has"), F.coalesce("_new", F.lit("")))
-    return rest.join(renamed, key, "left").withColumn(text, value).select(*docs.columns)
+def _carried_tokens(docs: DataFrame, text: str) -> DataFrame:
+    """One row per token, and one for a text without tokens, each with a number of its row and the row's other columns."""
+    others = [F.col(name) for name in docs.columns if name != text]
+    numbered = docs.select(
+        F.monotonically_increasing_id().alias("_row"),
+        F.struct(*others, F.col(text).isNotNull().alias("_has")).alias("_rest"),
+        F.col(text),
+    )
+    tokens = numbered.select("_row", "_rest", F.posexplode_outer(K.whitespace_tokens(F.col(text))).alias("_pos", "_token"))
+    return tokens.select("_row", "_rest", F.coalesce("_pos", F.lit(0)).alias("_pos"), F.coalesce("_token", F.lit("")).alias("_token"))
+
+
+def _texts_again(tokens: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The rows of ``docs`` with the kept tokens as text; missing text stays missing. One shuffle, combined before it."""
+    kept = F.when(F.col("_keep"), F.struct("_pos", "_token"))
+    grouped = tokens.groupBy("_row").agg(F.first("_rest").alias("_rest"), F.array_sort(F.collect_list(kept)).alias("_t"))
+    value = F.when(F.col("_rest._has"), F.array_join("_t._token", " ")).alias(text)
+    return grouped.select(*[value if name == text else F.col("_rest").getField(name).alias(name) for name in docs.columns])
 
 
 def map_tokens(
@@ -87,15 +100,15 @@ def map_tokens(
     Serves lemmas and stem dictionaries alike. A mapping of checked small size is broadcast, so tokens stay in
     their task until they are regrouped; a larger one is joined with the frequent tokens spread out.
     """
-    lookup = mapping.select(F.col(source).alias("token"), F.col(target).alias("_to"))
-    tokens = token_rows(docs, key, text)
+    lookup = mapping.select(F.col(source).alias("_token"), F.col(target).alias("_to"))
+    tokens = _carried_tokens(docs, text)
     small = broadcast_if_small(lookup)
     if small is not None:
-        joined = tokens.join(small, "token", "left")
+        joined = tokens.join(small, "_token", "left")
     else:
-        joined = join_lookup(tokens, lookup, ["token"], "left")
-    mapped = joined.withColumn("token", F.coalesce("_to", "token"))
-    return _replace_text(docs, regroup(mapped, key, text=text), key, text)
+        joined = join_lookup(tokens, lookup, ["_token"], "left")
+    mapped = joined.withColumn("_keep", F.col("_token") != "").withColumn("_token", F.coalesce("_to", "_token"))
+    return _texts_again(mapped, docs, text)
 
 
 def stem_table(tokens: DataFrame, token: str = "token") -> DataFrame:

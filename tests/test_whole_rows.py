@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from forumloom.operators import tokens
 from forumloom.operators import clean, features, series, split, threads
 
 
@@ -61,3 +62,20 @@ def test_documents_without_tokens_keep_a_vector(spark):
     cells = spark.createDataFrame([("1", 2, 1.0)], "comment_id string, term_idx long, value double")
     sparse = {r.comment_id: r.features for r in features.sparse_vectors(cells, 4, ids=docs).collect()}
     assert sorted(sparse) == ["1", "2", "3"] and sparse["2"].numNonzeros() == 0 and sparse["1"][2] == 1.0
+
+
+def test_stop_words_and_mapping_keep_repeated_ids(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [("1", "A b"), ("1", "c  d the"), ("2", "the"), ("3", ""), ("4", None)], "comment_id string, text string"
+    )
+    words = spark.createDataFrame([("the",), ("a",), (None,)], "word string")
+    want = [("1", "b"), ("1", "c d"), ("2", ""), ("3", ""), ("4", None)]
+    rows = lambda df: sorted(map(tuple, df.select("comment_id", "text").collect()), key=str)
+    assert rows(tokens.remove_stop_words(docs, words)) == want
+    monkeypatch.setattr(tokens, "MAX_WORD_LIST", 0)
+    assert rows(tokens.remove_stop_words(docs, words)) == want
+    mapping = spark.createDataFrame([("b", "B"), ("the", "x y")], "token string, lemma string")
+    mapped = tokens.map_tokens(docs, mapping)
+    assert rows(mapped) == [("1", "A B"), ("1", "c d x y"), ("2", "x y"), ("3", ""), ("4", None)]
+    plan = mapped._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 2

@@ -224,7 +224,7 @@ def k3(spark, folder):
 )
 def k3_join(spark, folder):
     docs = t.comments(spark, folder).select("comment_id", "text")
-    return tokens._anti_join_words(docs, _stop_table(spark), "text", "comment_id")
+    return tokens._join_words(docs, _stop_table(spark), "text")
 
 
 def _ending(spark, folder, letter, target):
