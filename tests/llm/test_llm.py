@@ -266,6 +266,15 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns = ["doc_id", "n_shingles", "component_id", "kept"]
+    joined = sorted(map(tuple, minhash.near_duplicates(docs).select(columns).collect()))
+    for name, value in {"DENSE": 1, "BLOCK": 2, "CELL_SHINGLES": 300, "STAR_ROUNDS": 0}.items():
+        monkeypatch.setattr(minhash, name, value)
+    assert sorted(map(tuple, minhash.near_duplicates(docs).select(columns).collect())) == joined
+
+
 def test_url_rules_and_list(spark):
     rows = [(1, "http://WWW.example.com/en/x?q#f"), (2, "https://a.example.com/en/"), (3, "x://notexample.com/en/1"), (4, None), (5, "no scheme")]
     rows += [(6, "http://h.org/a/"), (7, "http://h.org/a#z"), (8, "http://h.org/b"), (8, "http://h.org/b"), (9, "http://s.net/fr/"), (10, "http://s.net/fr")]
