@@ -48,9 +48,12 @@ def fit_bayes(
     return BayesModel(classes, weights)
 
 
-def bayes_scores(model: BayesModel, features: DataFrame, label: str = "label", key: str = KEY) -> DataFrame:
+def bayes_scores(
+    model: BayesModel, features: DataFrame, label: str = "label", key: str = KEY, ids: DataFrame | None = None
+) -> DataFrame:
     """``(key, label, score)``: joint log likelihood of each document with each class.
 
+    ``ids`` has the key of every document; one without a known term has no features and scores its priors.
     A class contributes its base weight for every term and the excess only for terms it saw, so the join
     meets each document term once and no document x term x class table is built.
     """
@@ -71,9 +74,10 @@ def bayes_scores(model: BayesModel, features: DataFrame, label: str = "label", k
     classes = model.classes.agg(
         F.collect_list(F.struct(F.col(label).alias("label"), "log_prior", "base"))
     ).scalar()
-    start = features.groupBy(key).agg(F.sum("value").alias("_total")).select(
-        key, "_total", F.inline(classes).alias(label, "log_prior", "base")
-    )
+    totals = features.groupBy(key).agg(F.sum("value").alias("_total"))
+    if ids is not None:
+        totals = ids.select(key).distinct().join(totals, key, "left").na.fill(0.0, ["_total"])
+    start = totals.select(key, "_total", F.inline(classes).alias(label, "log_prior", "base"))
     return start.join(excess, [key, label], "left").select(
         key,
         label,
@@ -82,10 +86,11 @@ def bayes_scores(model: BayesModel, features: DataFrame, label: str = "label", k
 
 
 def predict_bayes(
-    model: BayesModel, features: DataFrame, label: str = "label", key: str = KEY, digits: int | None = None
+    model: BayesModel, features: DataFrame, label: str = "label", key: str = KEY, digits: int | None = None,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """``(key, prediction)``: the best class, ties to the smallest label (scores compared at ``digits``)."""
-    scores = bayes_scores(model, features, label, key)
+    scores = bayes_scores(model, features, label, key, ids)
     score = F.round("score", digits) if digits is not None else F.col("score")
     best = scores.groupBy(key).agg(F.min(F.struct((-score).alias("_s"), F.col(label).alias("_l"))).alias("_best"))
     return best.select(key, F.col("_best._l").alias("prediction"))

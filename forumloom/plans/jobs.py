@@ -120,6 +120,7 @@ def train(
     feature_table: DataFrame,
     labels: DataFrame,
     size: int,
+    ids: DataFrame,
     model: str = "logistic_regression",
     label: str = FORUM,
     wanted: Sequence[tuple[str, str | None, dict]] = (("accuracy_score", None, {}), ("f1_score", "macro", {"average": "macro"})),
@@ -128,14 +129,16 @@ def train(
 ) -> DataFrame:
     """Fit on the train features, predict the test features, and return the wanted metrics in one row.
 
-    ``labels`` maps ids to class names. With ``target`` the test predictions are stored there.
+    ``labels`` maps ids to class names; ``ids`` are the ids and splits that ``extract`` wrote, so that documents
+    without a feature are fitted, predicted and scored too. With ``target`` the test predictions are stored there.
     """
     index = models.fit_label_index(labels, label)
     numbered = index.transform(labels).select(KEY, F.col("label"))
 
     def side(name: str) -> DataFrame:
         rows = feature_table.where(F.col("split") == name).drop("split")
-        return features.sparse_vectors(rows, size).join(numbered, KEY)
+        own = ids.where(F.col("split") == name)
+        return features.sparse_vectors(rows, size, ids=own).join(numbered, KEY)
 
     fitted = models.fit(model, side("train"), **params)
     judged = models.predict(fitted, side("test"))

@@ -447,8 +447,9 @@ def t7(spark, folder):
     train_labels = langs.join(_train(parts).select("comment_id"), "comment_id", "left_semi")
     model = bayes.fit_bayes(train, train_labels, "lang", n_terms=vocabulary.table.count())
     test = marked.where("split = 'test'").drop("split")
-    best = bayes.predict_bayes(model, test, "lang", digits=6)
-    scores = bayes.bayes_scores(model, test, "lang").withColumnRenamed("lang", "prediction")
+    ids = parts.where("split = 'test'").join(langs, "comment_id", "left_semi")
+    best = bayes.predict_bayes(model, test, "lang", digits=6, ids=ids)
+    scores = bayes.bayes_scores(model, test, "lang", ids=ids).withColumnRenamed("lang", "prediction")
     return best.join(scores, ["comment_id", "prediction"]).withColumn("score", F.round("score", 4))
 
 
