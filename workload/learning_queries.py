@@ -349,7 +349,14 @@ def f13(spark, folder):
 # Models ----------------------------------------------------------------------------------------------
 
 
-def _labelled(spark, folder, width=64, norm="l2"):
+WIDTH = 1 << 20
+"""Hashed features of the linear learners: the operator's own default."""
+
+BOUNDED_WIDTH = 1 << 12
+"""Hashed features of trees and the perceptron, which keep a dense cell per row or hidden unit and feature."""
+
+
+def _labelled(spark, folder, width=WIDTH, norm="l2"):
     """Hashed features of the documents, with the language as class and the length as target."""
     docs = t.table(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("comment_id"), "text", "lang", F.col("n_chars").cast("double").alias("n_chars")
@@ -360,18 +367,18 @@ def _labelled(spark, folder, width=64, norm="l2"):
     return cut(split.random_split(rows))
 
 
-def _classified(name, **params):
+def _classified(name, width=WIDTH, **params):
     def run(spark, folder):
-        rows = _labelled(spark, folder)
+        rows = _labelled(spark, folder, width)
         model = models.fit(name, _train(rows), **params)
         return models.predict(model, rows.where("split = 'test'")).select("comment_id", "label", "prediction")
 
     return run
 
 
-def _regressed(name, **params):
+def _regressed(name, width=WIDTH, **params):
     def run(spark, folder):
-        rows = _labelled(spark, folder, norm=None).withColumn("label", F.col("n_chars"))
+        rows = _labelled(spark, folder, width, norm=None).withColumn("label", F.col("n_chars"))
         model = models.fit(name, _train(rows), regression=True, **params)
         return models.predict(model, rows.where("split = 'test'")).select(
             "comment_id", "label", F.round("prediction", 3).alias("prediction")
@@ -380,16 +387,16 @@ def _regressed(name, **params):
     return run
 
 
-query("t2_logistic_regression")(_classified("logistic_regression", maxIter=50))
-query("t3_linear_svm")(_classified("linear_svm", maxIter=30))
-query("t3_sgd_hinge")(_classified("sgd", maxIter=30))
-query("t4_decision_tree")(_classified("decision_tree"))
-query("t4_decision_tree_regression")(_regressed("decision_tree"))
-query("t5_random_forest")(_classified("random_forest", numTrees=20))
-query("t5_random_forest_regression")(_regressed("random_forest", numTrees=20))
-query("t6_boosted_trees")(_classified("boosted_trees", maxIter=5))
-query("t6_boosted_trees_regression")(_regressed("boosted_trees", maxIter=10))
-query("t9_perceptron")(_classified("perceptron", hidden=(16,), maxIter=50))
+query("t2_logistic_regression")(_classified("logistic_regression"))
+query("t3_linear_svm")(_classified("linear_svm"))
+query("t3_sgd_hinge")(_classified("sgd"))
+query("t4_decision_tree")(_classified("decision_tree", BOUNDED_WIDTH))
+query("t4_decision_tree_regression")(_regressed("decision_tree", BOUNDED_WIDTH))
+query("t5_random_forest")(_classified("random_forest", BOUNDED_WIDTH))
+query("t5_random_forest_regression")(_regressed("random_forest", BOUNDED_WIDTH))
+query("t6_boosted_trees")(_classified("boosted_trees", BOUNDED_WIDTH))
+query("t6_boosted_trees_regression")(_regressed("boosted_trees", BOUNDED_WIDTH))
+query("t9_perceptron")(_classified("perceptron", BOUNDED_WIDTH))
 query("t10_linear_regression")(_regressed("linear"))
 query("t10_ridge")(_regressed("ridge"))
 query("t10_lasso")(_regressed("lasso"))
@@ -397,7 +404,7 @@ query("t10_elastic_net")(_regressed("elastic_net"))
 query("t10_sgd_regression")(_regressed("sgd"))
 query("t11_huber")(_regressed("huber"))
 query("t12_ridge_classifier")(_classified("ridge"))
-query("t13_ada_boost")(_classified("ada_boost", rounds=10))
+query("t13_ada_boost")(_classified("ada_boost", BOUNDED_WIDTH))
 
 
 @query("t14_fit_and_predict")
@@ -405,7 +412,7 @@ def t14(spark, folder):
     from pyspark.ml.functions import vector_to_array
 
     rows = _labelled(spark, folder)
-    model = models.fit("logistic_regression", _train(rows), maxIter=50)
+    model = models.fit("logistic_regression", _train(rows))
     judged = models.predict(model, rows.where("split = 'test'"))
     probability = F.get(vector_to_array("probability"), F.col("prediction").cast("int"))
     return judged.select("comment_id", "label", "prediction", F.round(probability, 6).alias("probability"))
