@@ -101,7 +101,7 @@ def identify(
     """Add ``lang_pred`` (the profile of largest cosine, the first by name on a tie) and ``score`` (that cosine, 0 to 1).
 
     A projection over whole texts. Null texts, texts without a letter, and all texts when there is no profile
-    are ``und`` with score 0. Columns of ``docs`` keep their values; it must not have these two names.
+    are ``und`` with score 0. Columns of ``docs`` named like the two new ones are replaced.
     """
     spark = prepare(docs)
     rows = sorted(profiles.limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r.lang)  # one vector a language
@@ -152,5 +152,5 @@ def identify(
 
     guess = F.pandas_udf(predict, "lang_pred string, score double")
     return docs.withColumn("_guess", guess(F.col(text))).select(
-        *[F.col(f"`{c}`") for c in docs.columns], "_guess.lang_pred", "_guess.score"
+        *[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], "_guess.lang_pred", "_guess.score"
     )
