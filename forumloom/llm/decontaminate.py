@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,7 +151,7 @@ def find_contamination(
     keep = [c for c in docs.columns if c not in new]
     plain = docs.select(*[F.col(f"`{c}`") for c in keep])
 
-    def one_block(frame: DataFrame, block: int) -> DataFrame:
+    def one_block(frame: DataFrame, block: int) -> tuple[DataFrame, Broadcast]:
         own = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block) if blocks > 1 else items
         shared = spark.sparkContext.broadcast([(r.id, r.t.encode()) for r in own.collect()])  # at most about block_bytes
         columns = frame.columns
@@ -164,12 +165,16 @@ def find_contamination(
                 added = [pa.array(c, k) for c, k in zip((n, spans, ids), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*columns, *new])
 
-        return frame.mapInArrow(run, T.StructType([*frame.schema.fields, *_FOUND.fields]))
+        return frame.mapInArrow(run, T.StructType([*frame.schema.fields, *_FOUND.fields])), shared
 
     if blocks == 1:
-        return one_block(plain, 0)
+        return one_block(plain, 0)[0]
     rows = stage(plain.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    parts = [one_block(rows.select("_row", text), b).drop(text) for b in range(blocks)]
+    parts = []
+    for block in range(blocks):
+        found, shared = one_block(rows.select("_row", text), block)
+        parts.append(stage(found.drop(text), "block"))
+        shared.destroy()  # the driver and the tasks hold one block at a time
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
