@@ -1,4 +1,4 @@
-"""Substring dedup: seeds from winnowed anchors, extended to maximal repeats."""
+"""Substring dedup: seeds from winnowed anchors; whole windows around shared seeds joined, runs of hits merged."""
 
 from __future__ import annotations
 
