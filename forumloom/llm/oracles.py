@@ -119,6 +119,85 @@ SELECT page_id, host, path, rule,
        WHEN host || regexp_replace(path, '/+$', '') IN (SELECT u FROM spam) THEN 'block' ELSE 'allow' END AS verdict
 FROM judged"""
 
+OP11 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(text) + regexp_count_(text) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 WHEN 'system' THEN 19
+    ELSE 23 + length(role) + regexp_count_(role) END AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+for _column in ("text", "role"):
+    OP11 = OP11.replace(
+        f"regexp_count_({_column})",
+        rf"len(regexp_extract_all({_column}, '[<\[]\x{{2060}}*(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|\|role\|>|\|text\|>|\|end\|>)'))",
+    )
+
+OP12 = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+docs AS (SELECT r, doc_id, len(w) AS n FROM words WHERE len(w) > 0),
+size AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM docs),
+cells AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM words) GROUP BY r, t),
+wanted AS (
+  SELECT DISTINCT i, item_id, t FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT t, count(*) AS df FROM cells GROUP BY t), size),
+scores AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l)))) AS BIGINT) AS score
+  FROM wanted JOIN cells USING (t) JOIN weights USING (t) JOIN docs USING (r), size GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 50"""
+
+OP13 = """
+WITH placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p,
+    md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, strlen(coalesce(text, '')) AS b
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n FROM placed GROUP BY conv_id),
+heads AS (SELECT conv_id, conv_id - conv_id % 5 AS base, h FROM (SELECT conv_id, heads_(conv_id) AS h FROM sizes)),
+turns AS (
+  SELECT c.conv_id, p.p, 0 AS own, k, b FROM heads c JOIN placed p ON p.conv_id = c.base WHERE p.p < c.h
+  UNION ALL SELECT c.conv_id, p.p, 1, k, b FROM heads c JOIN placed p ON p.conv_id = c.conv_id WHERE p.p >= c.h),
+path AS (
+  SELECT conv_id, row_number() OVER w AS d, b, md5(string_agg(k, '') OVER w) AS node FROM turns
+  WINDOW w AS (PARTITION BY conv_id ORDER BY own, p)
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM heads),
+lens AS (SELECT conv_id, max(d) AS n FROM path GROUP BY conv_id),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(b) AS b FROM path GROUP BY node, d),
+up AS (
+  SELECT x.node, y.node AS above FROM nodes x JOIN path y ON y.conv_id = x.conv_id AND y.d = x.d - 1),
+kids AS (SELECT above AS node, count(*) AS n FROM up GROUP BY above),
+closed AS (SELECT x.node, y.node AS above FROM nodes x JOIN path y ON y.conv_id = x.conv_id AND y.d <= x.d),
+sums AS (
+  SELECT above AS node, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n_convs - 1) * b) AS saved
+  FROM closed JOIN nodes USING (node) LEFT JOIN kids USING (node) GROUP BY above),
+ends AS (
+  SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM path JOIN lens USING (conv_id) WHERE d = n GROUP BY node)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(kids.n, 0) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes x LEFT JOIN up USING (node) LEFT JOIN nodes p ON p.node = up.above LEFT JOIN kids ON kids.node = x.node
+JOIN sums ON sums.node = x.node LEFT JOIN ends ON ends.node = x.node"""
+# DuckDB has no CRC-32: the polynomial division, bit by bit over the digits
+OP13 = OP13.replace(
+    "heads_(conv_id)",
+    "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), "
+    "lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]"
+    "::BIGINT[]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 9",
+)
+
 ORACLES = {
     "op3_substring_dedup": OP3,
     "op4_near_vectors": OP4,
@@ -126,4 +205,7 @@ ORACLES = {
     "op6_decontaminate": OP6,
     "op7_near_duplicates": OP7,
     "op8_filter_urls": OP8,
+    "op11_chat_format": OP11,
+    "op12_ranked_search": OP12,
+    "op13_prefix_trie": OP13,
 }

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumloom.llm import decontaminate, language, minhash, packing, repeats, secrets, toxicity, urls, vectors, warc
+from forumloom.llm import (
+    chat,
+    decontaminate,
+    language,
+    minhash,
+    packing,
+    ranking,
+    repeats,
+    secrets,
+    toxicity,
+    trie,
+    urls,
+    vectors,
+    warc,
+)
 from forumloom.llm.common import held_out, learnable
 from forumloom.llm.oracles import ORACLES
 
@@ -99,11 +113,30 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op11_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema)
+    formatted = chat.format_conversations(rows.unionByName(probe))
+    return chat.read_back(formatted, "conv_id", ["turn", "position", "role", "piece"])
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pack_sequences, op2_language_id, op3_substring_dedup, op4_near_vectors, op5_warc_archive, op6_decontaminate,
-        op7_near_duplicates, op8_filter_urls, op9_toxicity, op10_secret_scan,
+        op7_near_duplicates, op8_filter_urls, op9_toxicity, op10_secret_scan, op11_chat_format, op12_ranked_search,
+        op13_prefix_trie,
     )
 }
 CHECKS = ORACLES
