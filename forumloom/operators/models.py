@@ -1,23 +1,34 @@
-"""Classifiers and regressors on Spark ML: columns ``features`` and ``label`` in, ``prediction`` out."""
+"""Classifiers and regressors: columns ``features`` and ``label`` in, ``prediction`` out."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forumloom.session import cut
+from forumloom.operators.trees import (
+    ada_boost,
+    boosted_classifier,
+    boosted_regression,
+    forest_classifier,
+    forest_regression,
+    tree_classifier,
+    tree_regression,
+)
 
 Model = Callable[[DataFrame], DataFrame]
 """A fitted model: adds ``prediction`` (and ``probability`` where the method has one)."""
 
 
+PARALLEL = 8
+"""Classes that are fitted at once where each has a model of its own."""
+
+
 # Labels ----------------------------------------------------------------------------------------------
 
 
@@ -97,18 +108,6 @@ def huber_regression(train: DataFrame, epsilon: float = 1.35, alpha: float = 1e-
     ).fit(train)
 
 
-def tree_regression(train: DataFrame, **params):
-    return R.DecisionTreeRegressor(**params).fit(train)
-
-
-def forest_regression(train: DataFrame, **params):
-    return R.RandomForestRegressor(**{"numTrees": 100, "seed": 42, **params}).fit(train)
-
-
-def boosted_regression(train: DataFrame, **params):
-    return R.GBTRegressor(**{"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": 42, **params}).fit(train)
-
-
 # Classifiers -----------------------------------------------------------------------------------------
 
 
@@ -122,33 +121,20 @@ def logistic_regression(train: DataFrame, c: float = 1.0, **params):
 def linear_svm(train: DataFrame, c: float = 1.0, **params):
     """Linear support vectors, one against the rest."""
     machine = C.LinearSVC(regParam=penalty_of_c(c, train.count()), standardization=False, **params)
-    return C.OneVsRest(classifier=machine).fit(train)
+    return C.OneVsRest(classifier=machine, parallelism=PARALLEL).fit(train)
 
 
 def sgd_classifier(train: DataFrame, loss: str = "hinge", alpha: float = 1e-4, **params):
     """A linear classifier with hinge or log loss."""
     if loss == "hinge":
-        return C.OneVsRest(classifier=C.LinearSVC(regParam=alpha, standardization=False, **params)).fit(train)
+        single = C.LinearSVC(regParam=alpha, standardization=False, **params)
+        return C.OneVsRest(classifier=single, parallelism=PARALLEL).fit(train)
     if loss == "log_loss":
         single = C.LogisticRegression(regParam=alpha, standardization=False, **params)
-        return C.OneVsRest(classifier=single).fit(train)
+        return C.OneVsRest(classifier=single, parallelism=PARALLEL).fit(train)
     raise ValueError(f"unknown loss: {loss}")
 
 
-def tree_classifier(train: DataFrame, **params):
-    return C.DecisionTreeClassifier(**{"seed": 42, **params}).fit(train)
-
-
-def forest_classifier(train: DataFrame, **params):
-    return C.RandomForestClassifier(**{"numTrees": 100, "seed": 42, **params}).fit(train)
-
-
-def boosted_classifier(train: DataFrame, **params):
-    """Gradient boosting; Spark's is binary, so several classes go one against the rest."""
-    booster = C.GBTClassifier(**{"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": 42, **params})
-    return C.OneVsRest(classifier=booster).fit(train)
-
-
 def perceptron(train: DataFrame, hidden: tuple[int, ...] = (100,), **params):
     """Feed-forward network; input and output widths come from the data."""
     width = len(train.select("features").first()[0])
@@ -187,59 +173,6 @@ def ridge_classifier(train: DataFrame, alpha: float = 1.0, **params) -> _Fitted:
     return _Fitted(transform)
 
 
-def ada_boost(train: DataFrame, rounds: int = 50, learning_rate: float = 1.0, max_depth: int = 1, seed: int = 42) -> _Fitted:
-    """Boosted trees with SAMME reweighting (Zhu et al., "Multi-class AdaBoost", 2009).
-
-    Weights live in the training table; each round is one tree fit and one projection, and the lineage is
-    cut every few rounds.
-    """
-    n_classes = int(train.select("label").distinct().count())
-    n_rows = train.count()
-    weighted = train.select("features", "label", F.lit(1.0 / n_rows).alias("_w"))
-    stumps: list[tuple[float, C.DecisionTreeClassificationModel]] = []
-    for position in range(rounds):
-        if position % 5 == 0:
-            weighted = cut(weighted)
-        tree = C.DecisionTreeClassifier(weightCol="_w", maxDepth=max_depth, seed=seed).fit(weighted)
-        judged = tree.transform(weighted)
-        miss = F.col("prediction") != F.col("label")
-        wrong, total = judged.agg(F.sum(F.when(miss, F.col("_w")).otherwise(0.0)), F.sum("_w")).first()
-        error = wrong / total
-        if error <= 0:
-            stumps.append((1.0, tree))
-            break
-        if error >= 1.0 - 1.0 / n_classes:
-            break
-        amount = learning_rate * (math.log((1 - error) / error) + math.log(n_classes - 1))
-        stumps.append((amount, tree))
-        weight = F.when(miss, F.col("_w") * math.exp(amount)).otherwise(F.col("_w"))
-        scale = (total - wrong) + wrong * math.exp(amount)
-        weighted = judged.select("features", "label", (weight / scale).alias("_w"))
-    if not stumps:
-        raise ValueError("the first tree is no better than chance")
-
-    def transform(df: DataFrame) -> DataFrame:
-        columns = df.columns
-        votes = []
-        for position, (amount, tree) in enumerate(stumps):
-            tree = tree.copy()
-            tree.setPredictionCol(f"_p{position}").setRawPredictionCol("").setProbabilityCol("")
-            df = tree.transform(df)
-            votes.append(F.struct(F.col(f"_p{position}").alias("c"), F.lit(amount).alias("a")))
-        ballots = F.array(*votes)
-
-        def score(c: Column) -> Column:
-            total = F.aggregate(
-                ballots, F.lit(0.0), lambda acc, v: acc + F.when(v["c"] == c, v["a"]).otherwise(0.0)
-            )
-            return F.struct(total.alias("s"), (-c).alias("c"))
-
-        candidates = F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda i: score(i.cast("double")))
-        return df.select(*columns, (-F.array_max(candidates)["c"]).alias("prediction"))
-
-    return _Fitted(transform)
-
-
 CLASSIFIERS = {
     "ada_boost": ada_boost,
     "boosted_trees": boosted_classifier,

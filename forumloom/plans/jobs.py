@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumloom.operators import clean, features, metrics, models, normalizing, split, tally, tokens
+from forumloom.operators import clean, columns, features, metrics, models, normalizing, split, tally, tokens
 from forumloom.operators.features import Terms
 from forumloom.operators.normalizing import Step
 from forumloom.schema import FORUM, KEY, TEXT
@@ -130,15 +130,20 @@ def train(
     """Fit on the train features, predict the test features, and return the wanted metrics in one row.
 
     ``labels`` maps ids to class names; ``ids`` are the ids and splits that ``extract`` wrote, so that documents
-    without a feature are fitted, predicted and scored too. With ``target`` the test predictions are stored there.
+    without a feature are fitted, predicted and scored too. Of the ``size`` columns only those that occur in train are
+    fitted; the others change no prediction. With ``target`` the test predictions are stored there.
     """
     index = models.fit_label_index(labels, label)
     numbered = index.transform(labels).select(KEY, F.col("label"))
 
+    occurring = columns.fit_columns(feature_table.where(F.col("split") == "train"))
+    if occurring.width > size:
+        raise ValueError(f"the features have more than {size} columns")
+
     def side(name: str) -> DataFrame:
         rows = feature_table.where(F.col("split") == name).drop("split")
         own = ids.where(F.col("split") == name)
-        return features.sparse_vectors(rows, size, ids=own).join(numbered, KEY)
+        return columns.compact_vectors(rows, occurring, own).join(numbered, KEY)
 
     fitted = models.fit(model, side("train"), **params)
     judged = models.predict(fitted, side("test"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forumloom.operators import bayes, features, metrics, models, neighbours, split, tokens
+from forumloom.operators import bayes, columns, features, metrics, models, neighbours, split, tokens
 from forumloom.operators.features import Terms
 from forumloom.session import cut, ship_package, staging_path
 from forumloom.sources import readers, writers
@@ -350,21 +350,25 @@ def f13(spark, folder):
 
 
 WIDTH = 1 << 20
-"""Hashed features of the linear learners: the operator's own default."""
+"""Hashed features of the learners: the operator's own default."""
 
 BOUNDED_WIDTH = 1 << 12
-"""Hashed features of trees and the perceptron, which keep a dense cell per row or hidden unit and feature."""
+"""Hashed features of the perceptron, which keeps a number per hidden unit and feature."""
 
 
 def _labelled(spark, folder, width=WIDTH, norm="l2"):
-    """Hashed features of the documents, with the language as class and the length as target."""
+    """Hashed features of the documents, with the language as class and the length as target.
+
+    The vectors are as wide as there are hashed columns with a value in the train documents.
+    """
     docs = t.table(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("comment_id"), "text", "lang", F.col("n_chars").cast("double").alias("n_chars")
     )
-    vectors = features.sparse_vectors(features.hashed_vectors(docs, width, norm=norm), width, ids=docs)
-    rows = docs.drop("text").join(vectors, "comment_id")
-    rows = models.fit_label_index(rows, "lang").transform(rows)
-    return cut(split.random_split(rows))
+    parts = cut(split.random_split(docs.drop("text")))
+    cells = cut(features.hashed_vectors(docs, width, norm=norm))
+    occurring = columns.fit_columns(cells.join(_train(parts), "comment_id", "left_semi"))
+    rows = parts.join(columns.compact_vectors(cells, occurring, parts), "comment_id")
+    return cut(models.fit_label_index(rows, "lang").transform(rows))
 
 
 def _classified(name, width=WIDTH, **params):
@@ -390,12 +394,13 @@ def _regressed(name, width=WIDTH, **params):
 query("t2_logistic_regression")(_classified("logistic_regression"))
 query("t3_linear_svm")(_classified("linear_svm"))
 query("t3_sgd_hinge")(_classified("sgd"))
-query("t4_decision_tree")(_classified("decision_tree", BOUNDED_WIDTH))
-query("t4_decision_tree_regression")(_regressed("decision_tree", BOUNDED_WIDTH))
-query("t5_random_forest")(_classified("random_forest", BOUNDED_WIDTH))
-query("t5_random_forest_regression")(_regressed("random_forest", BOUNDED_WIDTH))
-query("t6_boosted_trees")(_classified("boosted_trees", BOUNDED_WIDTH))
-query("t6_boosted_trees_regression")(_regressed("boosted_trees", BOUNDED_WIDTH))
+query("t3_sgd_log_loss")(_classified("sgd", loss="log_loss"))
+query("t4_decision_tree")(_classified("decision_tree"))
+query("t4_decision_tree_regression")(_regressed("decision_tree"))
+query("t5_random_forest")(_classified("random_forest"))
+query("t5_random_forest_regression")(_regressed("random_forest"))
+query("t6_boosted_trees")(_classified("boosted_trees"))
+query("t6_boosted_trees_regression")(_regressed("boosted_trees"))
 query("t9_perceptron")(_classified("perceptron", BOUNDED_WIDTH))
 query("t10_linear_regression")(_regressed("linear"))
 query("t10_ridge")(_regressed("ridge"))
@@ -404,7 +409,7 @@ query("t10_elastic_net")(_regressed("elastic_net"))
 query("t10_sgd_regression")(_regressed("sgd"))
 query("t11_huber")(_regressed("huber"))
 query("t12_ridge_classifier")(_classified("ridge"))
-query("t13_ada_boost")(_classified("ada_boost", BOUNDED_WIDTH))
+query("t13_ada_boost")(_classified("ada_boost"))
 
 
 @query("t14_fit_and_predict")
