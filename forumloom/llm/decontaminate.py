@@ -169,17 +169,20 @@ def find_contamination(
 
     if blocks == 1:
         return one_block(plain, 0)[0]
-    rows = stage(plain.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    number = "_row"
+    while number in keep:
+        number += "_"
+    rows = stage(plain.withColumn(number, F.monotonically_increasing_id()), "documents")
     parts = []
     for block in range(blocks):
-        found, shared = one_block(rows.select("_row", text), block)
+        found, shared = one_block(rows.select(number, text), block)
         parts.append(stage(found.drop(text), "block"))
         shared.destroy()  # the driver and the tasks hold one block at a time
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
     spans = F.array_sort(F.flatten(F.collect_list("covered")))
-    merged = every.groupBy("_row").agg(  # one row per block and document
+    merged = every.groupBy(number).agg(  # one row per block and document
         F.max("n_words").alias("n_words"),
         F.aggregate(
             spans,
@@ -199,4 +202,4 @@ def find_contamination(
         ).alias("covered"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return rows.join(merged, "_row").select(*[F.col(f"`{c}`") for c in keep], *new)
+    return rows.join(merged, number).select(*[F.col(f"`{c}`") for c in keep], *new)

@@ -151,6 +151,6 @@ def identify(
             yield pd.DataFrame({"lang_pred": labels, "score": np.concatenate(scores) if scores else np.zeros(0)})
 
     guess = F.pandas_udf(predict, "lang_pred string, score double")
-    return docs.withColumn("_guess", guess(F.col(text))).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], "_guess.lang_pred", "_guess.score"
-    )
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
+    found = docs.select(kept.alias("_row"), guess(F.col(text)).alias("_guess"))
+    return found.select("_row.*", "_guess.lang_pred", "_guess.score")

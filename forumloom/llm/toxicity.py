@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``score`` (0 to 1, likelihood of a toxic document) and ``predicted`` (1 from 0.5 on).
 
     A projection over whole texts in windows of ``WINDOW`` words. Null and empty texts have no window and get the score
-    of no savings. Columns of ``docs`` keep their values; it must not have these two names.
+    of no savings. Columns of ``docs`` named like the two new ones are replaced.
     """
     spark = prepare(docs)
     shared = spark.sparkContext.broadcast(model)
@@ -180,5 +180,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             z = ((x - m.centre) / m.scale) @ m.weights + m.bias if len(column) else np.zeros(0)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
-    scored = docs.withColumn("score", F.pandas_udf(run, "double")(F.col(text)))
-    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")])
+    scored = docs.select(kept.alias("_row"), F.pandas_udf(run, "double")(F.col(text)).alias("_score"))
+    return scored.select("_row.*", F.col("_score").alias("score"), F.when(F.col("_score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from forumloom.llm.common import stage
 from forumloom.operators.skew import join_lookup
 
-BLOCKS = 1 << 14
-"""Words of the Bloom filter, 64 bits each: the filter is a table of at most so many rows, whatever the list."""
+LEAST_BLOCKS, MOST_BLOCKS = 1 << 10, 1 << 20
+"""Words of the Bloom filter, 64 bits each: one for ``PER_BLOCK`` listed URLs, but never so many that the broadcast
+table passes 16 MB. Longer lists let more URLs through to the exact join."""
+
+PER_BLOCK = 4
 
 BITS = 4
 
@@ -46,7 +49,7 @@ def _mask(key: Column) -> Column:
     return out
 
 
-def bloom_filter(keys: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
+def bloom_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     """``(block, word)``: the blocked Bloom filter of the non-null keys, at most ``blocks`` rows."""
     return (
         keys.where(F.col(key).isNotNull())
@@ -55,7 +58,7 @@ def bloom_filter(keys: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
     )
 
 
-def may_contain(df: DataFrame, key: str, bloom: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def may_contain(df: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
     """``df`` with ``_maybe``: false only for keys that are certainly not in the filter.
 
     The filter is broadcast: its rows are at most ``blocks``, 16 bytes each.
@@ -70,13 +73,14 @@ def may_contain(df: DataFrame, key: str, bloom: DataFrame, blocks: int = BLOCKS)
     )
 
 
-def listed(df: DataFrame, key: str, urls: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def listed(df: DataFrame, key: str, urls: DataFrame, blocks: int | None = None) -> DataFrame:
     """``df`` with ``_listed``: whether the key is in ``urls`` (column ``url``).
 
     Keys that the filter rules out never reach the join; the distinct possible hits are joined exactly
     with the list, and hits return to their rows over a join that spreads keys with very many rows.
     """
     wanted = stage(urls.where(F.col("url").isNotNull()).select(F.col("url").alias(key)).distinct())
+    blocks = blocks or min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << (-(-wanted.count() // PER_BLOCK)).bit_length()))
     probed = may_contain(df, key, bloom_filter(wanted, key, blocks), blocks)
     possible = probed.where("_maybe")
     hits = possible.select(key).distinct().join(wanted, key).withColumn("_listed", F.lit(True))
@@ -90,7 +94,7 @@ def _rule_fits(host: Column, path: Column, rule_host: str, rule_path: str) -> Co
 
 
 def filter_urls(
-    pages: DataFrame, rules: list[tuple[str, str, str]], block_list: DataFrame, url: str = "url", blocks: int = BLOCKS
+    pages: DataFrame, rules: list[tuple[str, str, str]], block_list: DataFrame, url: str = "url", blocks: int | None = None
 ) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (text of the longest fitting rule, else null) and ``verdict``.
 
@@ -104,7 +108,8 @@ def filter_urls(
     """
     new = ("host", "path", "rule", "verdict")
     keep = [c for c in pages.columns if c not in new]
-    df = pages.select(*[F.col(f"`{c}`") for c in keep], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")  # own columns keep out of the way of inner names
+    df = pages.select(row, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, judged = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, host, path in sorted(rules, key=lambda r: len(r[1] + r[2])):  # later ones override
         fits = _rule_fits(F.col("host"), F.col("path"), host, path)
@@ -113,4 +118,4 @@ def filter_urls(
     df = df.withColumn("rule", rule).withColumn("verdict", judged).withColumn("_url", canonical(F.col("host"), F.col("path")))
     found = listed(df, "_url", block_list, blocks)
     method = F.when(F.col("_listed"), "block").otherwise("allow")
-    return found.withColumn("verdict", F.coalesce("verdict", method)).select(*[F.col(f"`{c}`") for c in keep], *new)
+    return found.withColumn("verdict", F.coalesce("verdict", method)).select("_row.*", *new)

@@ -185,9 +185,10 @@ def near_vectors(
     block the cover trees of both sides are traversed together. Tasks return link counts and connecting
     edges, not pairs.
 
-    Vectors that are null, all zero, of another length than the label's shortest, or with a null or
-    non-finite component, and those without a label or id, have no links. Repeated ids are one
-    vertex, whose links are added up. An empty table gives no rows; other columns are ignored.
+    Vectors that are null, empty, all zero, or with a null or non-finite component, and those without a label or id,
+    have no links; vectors of different lengths are not linked. Each vector is first scaled by a power of two, so
+    very large and very small components neither overflow nor vanish. Repeated ids are one vertex, whose links are
+    added up. An empty table gives no rows; other columns are ignored.
     """
     prepare(vectors)
     rows = vectors.select(
@@ -195,8 +196,13 @@ def near_vectors(
     )
     good = F.expr(
         "id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND size(v) > 0"
-        " AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < 1e150) AND exists(v, x -> abs(x) > 1e-150)"
+        " AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(v, x -> x <> 0)"
     )
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    power = F.least(F.greatest(-F.floor(F.log2(largest)), F.lit(-1000)), F.lit(1000)).cast("double")
+    scaled = F.transform("v", lambda x: x * F.col("_by"))
+    rows = rows.withColumn("_by", F.when(F.coalesce(good, F.lit(False)), F.pow(F.lit(2.0), power)))
+    rows = rows.select("id", "label", F.when(F.col("_by").isNotNull(), scaled).otherwise(F.col("v")).alias("v"))
     classes = stage(
         rows.where(F.coalesce(good, F.lit(False)))
         .groupBy("label", F.transform("v", lambda x: x + 0.0).alias("v"))
@@ -207,12 +213,14 @@ def near_vectors(
     named = classes.select(F.xxhash64("label", "width").alias("part"), "id", "m", "v")
     sizes = classes.groupBy("label", "width").count().agg(F.max("count"), F.sum("count")).first()
     nodes = min(SAMPLE, max(8, -(-(sizes[0] or 0) // PER_NODE)))
-    widths = [r.width for r in classes.select("width").distinct().limit(65).collect()]
-    if len(widths) > 64:
-        raise ValueError("more than 64 different vector lengths")
+    step = F.ceil(F.log2(F.col("width"))).cast("int")  # lengths up to a power of two go together, filled up with zeros
+    widths = sorted(r[0] for r in classes.select(step).distinct().collect())  # at most 31
     counted, edges = None, None
     for width in widths:  # nearly always one
-        n, e = _links(named.where(F.size("v") == width), nodes, threshold)
+        own = named.where(F.ceil(F.log2(F.size("v"))) == width)
+        longest = own.agg(F.max(F.size("v"))).first()[0]
+        own = own.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v"))))
+        n, e = _links(own, nodes, threshold)
         counted, edges = (n, e) if counted is None else (counted.unionByName(n), edges.unionByName(e))
     plain = rows.select(F.col("id").alias(key))
     if counted is None:
