@@ -15,28 +15,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forumloom.llm.common import prepare, slices, texts_as_bytes
+from forumloom.llm.common import give_back, prepare, slices, texts_as_bytes
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 )
 
 
+CACHED_BYTES = 128 << 20
+"""Words a Python worker remembers, by their length and about ``WORD_BYTES`` each for entry, ids and place."""
+
+WORD_BYTES = 160
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """Words at white space, ASCII lower-cased unless they could hold a special token."""
+    if b"<|" in text:
+        return [w if b"<|" in w else w.lower() for w in text.split()]
+    return text.lower().split()
+
+
 class Encoder:
     """Token ids of many texts, equal to encoding each text whole.
 
     The tokenizer lower-cases and splits at white space before it merges, so a text's ids are the ids of its
-    words in turn. A Python worker encodes each distinct word once and remembers ``cached`` of them; words beyond
-    are encoded once per slice of text.
+    words in turn. Before that it cuts its special tokens from the text as it stands, so words with ``<|`` keep their
+    case here. A Python worker encodes each distinct word once and remembers them up to about ``cached`` bytes; words
+    beyond are encoded once per slice of text.
     """
 
-    def __init__(self, path: str, cached: int = 1_000_000):
+    def __init__(self, path: str, cached: int = CACHED_BYTES):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         self.codes: dict[bytes, int] = {}
-        self.flat, self.starts, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
+        self.flat, self.starts, self.used = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int64), 0
+        self.bytes = 0
 
     def _append(self, ids: list[list[int]]):
         """Add the ids of new words behind those of the words that have a code."""
@@ -50,7 +65,7 @@ class Encoder:
         self.starts[first : first + len(ids) + 1] = self.used + np.concatenate([[0], np.cumsum(sizes)])
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        words = [(t or b"").lower().split() for t in texts]
+        words = [split_words(t or b"") for t in texts]
         flat = list(itertools.chain.from_iterable(words))
         known = self.codes
         new = [w for w in set(flat) if w not in known]
@@ -62,7 +77,9 @@ class Encoder:
         begins, sizes = self.starts[codes], self.starts[codes + 1] - self.starts[codes]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        room = max(self.cached - n, 0)
+        costs = np.cumsum([WORD_BYTES + len(w) for w in new] or [0]) + self.bytes
+        room = int(np.searchsorted(costs, self.cached, "right")) if new else 0
+        self.bytes = int(costs[room - 1]) if room else self.bytes
         for word in new[room:]:
             del known[word]
         self.used = int(self.starts[len(known)])
@@ -81,7 +98,7 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
-def attention_cost(length: int, linear: float, quadratic: float) -> float:
+def attention_cost(length, linear: float, quadratic: float):
     return linear * length + quadratic * length * length
 
 
@@ -119,7 +136,7 @@ def pack(
     end_id: int = 1,
     linear: float = 1.0,
     quadratic: float = 1 / 2048,
-    window_tokens: int = 1 << 22,
+    window_tokens: int = 1 << 21,
     tokenizer: str | None = None,
 ) -> DataFrame:
     """One row per piece of a document in a sequence of at most ``capacity`` tokens.
@@ -144,15 +161,12 @@ def pack(
             nonlocal sequence
             lengths = [len(x) for x in docs_ids]
             pieces = balance(lengths, capacity, linear, quadratic)
-            rows = [
-                (
-                    keys[d], start, n, zlib.crc32(docs_ids[d][start : start + n].tobytes()), lengths[d],
-                    sequence + s, offset, attention_cost(n, linear, quadratic),
-                )
-                for d, start, n, s, offset in pieces
-            ]
+            d, start, n, s, offset = np.array(pieces, np.int64).T
+            crc = [zlib.crc32(docs_ids[i][a : a + k]) for i, a, k in zip(d, start, n, strict=True)]
+            owners = pa.array(keys, pa.int64()).take(pa.array(d))
+            cost = attention_cost(n, linear, quadratic)
+            columns = [owners, start, n, crc, np.array(lengths, np.int64)[d], sequence + s, offset, cost]
             sequence += -(-sum(lengths) // capacity)
-            columns = list(zip(*rows, strict=True))
             kinds = [pa.int64()] * 7 + [pa.float64()]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")]
@@ -168,5 +182,8 @@ def pack(
                     keys, docs_ids, tokens = [], [], 0
         if keys:
             yield flush()
+            keys.clear()
+            docs_ids.clear()
+        give_back()
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(run, PIECES)
