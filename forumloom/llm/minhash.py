@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumloom.llm.common import WordHashes, mix, odd_numbers, prepare, slices, stage, texts_as_bytes, window_hashes
+from forumloom.llm.common import WordHashes, give_back, mix, odd_numbers, prepare, slices, stage, texts_as_bytes, window_hashes
 from forumloom.llm.components import components
 from forumloom.operators.skew import join_lookup
 
@@ -85,6 +85,8 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
                 ],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "longer"],
             )
+        del hashes
+        give_back()
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(
         run, "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>, longer binary"
@@ -179,46 +181,86 @@ def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     )
 
 
-def alike_in_blocks(dense: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of different groups ``c`` that share a posting of ``dense`` and collide often enough.
+def colliding(home: pd.DataFrame, guest: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per home its row, and rows and collisions of the guests of other groups and like size that collide often enough."""
+    x, y = matrix(home.longer), matrix(guest.longer)
+    n, c = guest.n.to_numpy(), guest.c.to_numpy()
+    for i, (row, m, group) in enumerate(zip(x, home.n, home.c, strict=True)):
+        fits = np.flatnonzero((c != group) & (n * 100 >= m * percent) & (m * 100 >= n * percent))
+        same = (y[fits] == row).sum(1)
+        yield i, fits[same >= LONGER_MATCHES], same[same >= LONGER_MATCHES]
+
+
+def linked_in_blocks(dense: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that join the groups ``c`` of documents that share a posting of ``dense``.
 
     The largest group of a posting need not meet itself: the documents outside it, the homes, meet all documents,
-    the guests, in blocks of about ``BLOCK`` by ``BLOCK``. A task holds two blocks and returns what collides.
+    the guests, in blocks of about ``BLOCK`` by ``BLOCK`` documents and ``CELL_SHINGLES`` shingles. A task first tells
+    which documents of its block collide with another; these come back with their texts, and it compares their
+    pairs in full, most collisions first, leaving out those that are in one group by then. So a block returns
+    fewer links than it has groups, however many of its pairs are similar.
     """
     key = ["coord", "value"]
-    sizes = dense.groupBy(*key, "c").agg(F.count(F.lit(1)).alias("k"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    sizes = dense.groupBy(*key, "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    blocks = lambda k, s: F.greatest(F.lit(1), F.ceil(k / BLOCK), F.ceil(s / CELL_SHINGLES)).cast("int")
     grid = (
         sizes.groupBy(*key)
-        .agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("most"))
+        .agg(F.sum("k").alias("k"), F.sum("s").alias("s"), F.max(F.struct("k", "c", "s")).alias("most"))
         .where(F.col("most.k") < F.col("k"))
         .select(
-            *key, F.col("most.c").alias("most"), blocks(F.col("k") - F.col("most.k")).alias("homes"), blocks(F.col("k")).alias("guests")
+            *key, F.col("most.c").alias("most"),
+            blocks(F.col("k") - F.col("most.k"), F.col("s") - F.col("most.s")).alias("homes"), blocks(F.col("k"), F.col("s")).alias("guests"),
         )
     )
-    placed = dense.join(grid, key)
+    placed = dense.join(grid, key).join(reps.select("id", "longer"), "id")
     place = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     home = placed.where("c <> most").select(
-        *key, place("homes").alias("h"), every("guests").alias("g"), F.lit(True).alias("home"), "id", "n", "c"
+        *key, place("homes").alias("h"), every("guests").alias("g"), F.lit(True).alias("home"), "id", "n", "c", "longer"
     )
-    guest = placed.select(*key, every("homes").alias("h"), place("guests").alias("g"), F.lit(False).alias("home"), "id", "n", "c")
-    cells = home.union(guest).join(reps.select("id", "longer"), "id")
+    guest = placed.select(*key, every("homes").alias("h"), place("guests").alias("g"), F.lit(False).alias("home"), "id", "n", "c", "longer")
+    columns = [*key, "h", "g", "home", "id", "n", "c", "longer"]
+    schema = "coord int, value int, h int, g int, home boolean, id long, n long, c long, longer binary"
 
     def meet(cell: pd.DataFrame) -> pd.DataFrame:
         home, guest = cell[cell.home], cell[~cell.home]
-        x, y = matrix(home.longer), matrix(guest.longer)
-        ids, n, c = (guest[k].to_numpy() for k in ("id", "n", "c"))
+        mine, theirs = np.zeros(len(home), bool), np.zeros(len(guest), bool)
+        for i, hits, _ in colliding(home, guest, percent):
+            mine[i] = len(hits) > 0
+            theirs[hits] = True
+        return pd.concat([home[mine], guest[theirs]])[columns]
+
+    def confirm(cell: pd.DataFrame) -> pd.DataFrame:
+        home, guest = cell[cell.home], cell[~cell.home]
+        pairs = [(np.full(len(j), i), j, n) for i, j, n in colliding(home, guest, percent)]
+        first, second, same = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else ([], [], np.zeros(0))
+        ids = [home.id.to_numpy(), guest.id.to_numpy()]
+        every = pd.concat([home, guest]).drop_duplicates("id")
+        at = dict(zip(every.id, range(len(every)), strict=True))
+        sets = shingle_sets([t.encode() for t in every.t], WordHashes(), size)
+        group = dict(zip(every.id, every.c, strict=True))
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while up.get(c, c) != c:
+                up[c] = up.get(up[c], up[c])
+                c = up[c]
+            return c
+
         out = []
-        for row, i, m, group in zip(x, home.id, home.n, home.c, strict=True):
-            fits = np.flatnonzero((c != group) & (n * 100 >= m * percent) & (m * 100 >= n * percent))
-            hit = ids[fits[(y[fits] == row).sum(1) >= LONGER_MATCHES]]
-            out.append(np.stack([np.minimum(hit, i), np.maximum(hit, i), np.full(len(hit), m)], 1))
-        found = pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3), np.int64), columns=["a", "b", "n"])
-        return found.assign(**{k: cell[k].iloc[0] for k in ("coord", "value", "h", "g")})
+        for k in np.argsort(-same, kind="stable"):
+            a, b = int(ids[0][first[k]]), int(ids[1][second[k]])
+            c, d = root(group[a]), root(group[b])
+            if c != d:
+                x, y = sets[at[a]], sets[at[b]]
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                if both * 100 >= (len(x) + len(y) - both) * percent:
+                    up[c] = d
+                    out.append((min(a, b), max(a, b)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    met = cells.groupBy(*key, "h", "g").applyInPandas(meet, "a long, b long, n long, coord int, value int, h int, g int")
-    return met.select("a", "b", cell_of(F.col("h"), F.col("g")).alias("cell"), "n")
+    met = home.union(guest).groupBy(*key, "h", "g").applyInPandas(meet, schema)
+    return met.join(texts, "id").groupBy(*key, "h", "g").applyInPandas(confirm, "a long, b long")
 
 
 def pairs_apart(grouped: DataFrame) -> tuple[float, int]:
@@ -239,8 +281,8 @@ def near_duplicates(
     a posting is compared with one of it, the smallest and then others, unless both are in one group by now: that
     joins large groups at a cost linear in their size. Then the remaining pairs of a posting that lie in different
     groups, are of like size and collide in at least ``LONGER_MATCHES`` coordinates of the longer signature: of small
-    postings by a join, of postings with more than ``DENSE`` documents in blocks. All links are confirmed on full
-    shingle sets.
+    postings by a join, of postings with more than ``DENSE`` documents in blocks, which return only links that join
+    groups. All links are confirmed on full shingle sets.
 
     Null and empty texts, and null ids, have no links and stay; repeated rows of one id are one document with
     the text of any of them, and keep a row each; ids are compared as numbers; other columns are ignored.
@@ -298,9 +340,8 @@ def near_duplicates(
     small, dense = sized.where(F.col("k") <= DENSE).drop("k"), sized.where(F.col("k") > DENSE).drop("k")
     across = small.join(second(small), ["coord", "value"]).where((F.col("id") < F.col("id_2")) & other & fits)
     across = alike(once(across.select(*pair, cell_of(F.lit(0), F.lit(0)).alias("cell"))), reps)
-    across = once(across.select("a", "b", "cell", "n").union(alike_in_blocks(dense, reps, percent)))
     across = stage(across if tested is None else across.join(tested, ["a", "b"], "left_anti"))
-    found = verify(across, texts, size, percent)
+    found = verify(across, texts, size, percent).union(linked_in_blocks(dense, reps, texts, size, percent))
     links = found if links is None else links.union(found)
     joined = components(links.union(exact))
     return (
