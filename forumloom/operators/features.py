@@ -10,6 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
@@ -19,11 +22,12 @@ from pyspark.sql import types as T
 
 from forumloom.functions import tokens as K
 from forumloom.operators.order import with_positions
-from forumloom.operators.skew import HOT_SHARE, fits_broadcast, join_lookup
+from forumloom.operators.skew import HOT_SHARE, collect_if_small, fits_broadcast, join_lookup
 from forumloom.schema import KEY, TEXT
 
 MAX_BROADCAST_TERMS = 500_000
 MAX_BROADCAST_FLOATS = 20_000_000
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -227,13 +231,50 @@ def tfidf_vectors(
     key: str = KEY,
     text: str = TEXT,
 ) -> DataFrame:
-    """Tf-idf from text: the vocabulary already carries the document frequencies, so one join does it."""
+    """Tf-idf from text: the vocabulary already carries the document frequencies, so one join does it.
+
+    A vocabulary of checked size goes to the tasks, which look up the terms of a batch of documents together; weights
+    and norm are made inside the row, so nothing is shuffled. With a larger one the cells are joined, and meet
+    again for the norm.
+    """
     weight = idf_value(F.col("doc_freq"), vocabulary.n_docs, smooth_idf) if use_idf else F.lit(1.0)
+    table = vocabulary.table.select("term", "term_idx", weight.cast("double").alias("weight"))
+    small = collect_if_small(table, MAX_BROADCAST_TERMS, MAX_BROADCAST_BYTES)
+    if small is not None:
+        return _weighted_in_rows(term_bags(docs, terms, key, text), small, norm, sublinear_tf, key)
     pairs = _join_terms(term_counts(docs, terms, key, text), vocabulary, [weight.alias("_idf")])
     value = _term_frequency(F.col("n").cast("double"), sublinear_tf) * F.col("_idf")
     return normalize_rows(pairs.select(key, "term_idx", value.alias("value")), norm, key)
 
 
+def _weighted_in_rows(bags: DataFrame, vocabulary: pa.Table, norm: str | None, sublinear: bool, key: str) -> DataFrame:
+    if norm not in (None, "l1", "l2"):
+        raise ValueError(f"unknown norm: {norm}")
+    columns = [vocabulary.column(c).combine_chunks() for c in ("term", "term_idx", "weight")]
+    shared = bags.sparkSession.sparkContext.broadcast(columns)
+
+    @F.arrow_udf("array<struct<term_idx:bigint,value:double>>")
+    def weighted(bag: pa.Array) -> pa.Array:
+        term, index, weight = shared.value
+        flat, sizes = bag.flatten(), np.asarray(bag.value_lengths().fill_null(0), np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.asarray(pc.index_in(flat.field("term"), value_set=term).fill_null(-1), np.int64)
+        there = place >= 0
+        row, place = row[there], place[there]
+        value = np.asarray(flat.field("n"), np.float64)[there]
+        value = (np.log(value) + 1 if sublinear else value) * np.asarray(weight, np.float64)[place]
+        if norm is not None:
+            length = np.bincount(row, value * value if norm == "l2" else np.abs(value), len(sizes))
+            length = np.sqrt(length) if norm == "l2" else length
+            value = value / np.where(length == 0, 1.0, length)[row]
+        cells = pa.StructArray.from_arrays([pa.array(np.asarray(index, np.int64)[place]), pa.array(value)], ["term_idx", "value"])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), cells)
+
+    cells = bags.select(key, weighted("bag").alias("_v"))
+    return cells.select(key, F.inline_outer("_v")).where(F.col("term_idx").isNotNull())
+
+
 def hashed_vectors(
     docs: DataFrame,
     n_features: int = 1 << 20,

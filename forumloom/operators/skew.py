@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,17 @@ def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def collect_if_small(df: DataFrame, max_rows: int, max_bytes: int) -> pa.Table | None:
+    """The rows of ``df`` if there are at most ``max_rows`` of at most ``max_bytes`` of text, else ``None``.
+
+    Both are checked before anything but two numbers is collected.
+    """
+    texts = [name for name, kind in df.dtypes if kind == "string"]
+    size = sum((F.coalesce(F.octet_length(F.col(name)), F.lit(0)).cast("long") for name in texts), F.lit(0).cast("long"))
+    rows, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return df.toArrow() if rows <= max_rows and total <= max_bytes else None
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame | None:
     """``df`` with a broadcast hint when its checked size allows it, else ``None``."""
     return F.broadcast(df) if fits_broadcast(df, max_rows) else None

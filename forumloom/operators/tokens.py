@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,10 +16,12 @@ from forumloom.functions import charsets as cs
 from forumloom.functions import porter
 from forumloom.functions import tokens as K
 from forumloom.operators.order import with_positions
-from forumloom.operators.skew import broadcast_if_small, fits_broadcast, join_lookup
+from forumloom.operators.skew import collect_if_small, fits_broadcast, join_lookup
 from forumloom.schema import KEY, TEXT
+from forumloom.session import stage
 
 MAX_WORD_LIST = 10_000
+MAX_MAPPING, MAX_MAPPING_BYTES = 500_000, 16 << 20
 
 
 def english_stop_words() -> list[str]:
@@ -75,11 +80,11 @@ def _join_words(docs: DataFrame, words: DataFrame, text: str) -> DataFrame:
 def _carried_tokens(docs: DataFrame, text: str) -> DataFrame:
     """One row per token, and one for a text without tokens, each with a number of its row and the row's other columns."""
     others = [F.col(name) for name in docs.columns if name != text]
-    numbered = docs.select(
+    numbered = stage(docs.select(  # written once: a retried task must not number its rows anew
         F.monotonically_increasing_id().alias("_row"),
         F.struct(*others, F.col(text).isNotNull().alias("_has")).alias("_rest"),
         F.col(text),
-    )
+    ))
     tokens = numbered.select("_row", "_rest", F.posexplode_outer(K.whitespace_tokens(F.col(text))).alias("_pos", "_token"))
     return tokens.select("_row", "_rest", F.coalesce("_pos", F.lit(0)).alias("_pos"), F.coalesce("_token", F.lit("")).alias("_token"))
 
@@ -97,20 +102,37 @@ def map_tokens(
 ) -> DataFrame:
     """Replace each token by its entry in ``mapping`` (one row per token), keeping tokens without one.
 
-    Serves lemmas and stem dictionaries alike. A mapping of checked small size is broadcast, so tokens stay in
-    their task until they are regrouped; a larger one is joined with the frequent tokens spread out.
+    Serves lemmas and stem dictionaries alike. A mapping of checked size goes to the tasks, where the tokens of a
+    batch of rows are looked up together and put back as arrays, so no row moves and no row is made per token. With a
+    larger one tokens are joined, the frequent ones spread out.
     """
-    lookup = mapping.select(F.col(source).alias("_token"), F.col(target).alias("_to"))
-    tokens = _carried_tokens(docs, text)
-    small = broadcast_if_small(lookup)
+    lookup = mapping.select(F.col(source).alias("_token"), F.col(target).alias("_to")).where("_token IS NOT NULL")
+    small = collect_if_small(lookup, MAX_MAPPING, MAX_MAPPING_BYTES)
     if small is not None:
-        joined = tokens.join(small, "_token", "left")
-    else:
-        joined = join_lookup(tokens, lookup, ["_token"], "left")
+        return _map_in_rows(docs, small, text)
+    joined = join_lookup(_carried_tokens(docs, text), lookup, ["_token"], "left")
     mapped = joined.withColumn("_keep", F.col("_token") != "").withColumn("_token", F.coalesce("_to", "_token"))
     return _texts_again(mapped, docs, text)
 
 
+def _map_in_rows(docs: DataFrame, mapping: pa.Table, text: str) -> DataFrame:
+    known, becomes = (mapping.column(c).combine_chunks() for c in ("_token", "_to"))
+    shared = docs.sparkSession.sparkContext.broadcast((known, becomes))
+
+    @F.arrow_udf("array<string>")
+    def mapped(tokens: pa.Array) -> pa.Array:
+        known, becomes = shared.value
+        flat = tokens.flatten()
+        if len(known):
+            found = becomes.take(pc.index_in(flat, value_set=known))
+            flat = pc.coalesce(found.cast(flat.type), flat)
+        sizes = np.asarray(tokens.value_lengths().fill_null(0))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+
+    value = F.array_join(mapped(K.whitespace_tokens(F.col(text))), " ")
+    return docs.withColumn(text, F.when(F.col(text).isNotNull(), value))
+
+
 def stem_table(tokens: DataFrame, token: str = "token") -> DataFrame:
     """``(token, stem)`` for the distinct tokens, by Porter's algorithm."""
 

@@ -38,9 +38,8 @@ def test_columns_are_those_of_train_in_order(case):
 
 
 CASES = [
-    ("logistic_regression", False, {}), ("linear_svm", False, {}), ("sgd", False, {}), ("sgd", False, {"loss": "log_loss"}),
-    ("ridge", False, {}), ("ridge", True, {}), ("lasso", True, {"alpha": 0.1}), ("elastic_net", True, {"alpha": 0.1}),
-    ("huber", True, {}), ("sgd", True, {}), ("decision_tree", False, {}), ("decision_tree", True, {}),
+    ("logistic_regression", False, {}), ("linear_svm", False, {}), ("sgd", False, {"loss": "log_loss"}), ("ridge", True, {}),
+    ("lasso", True, {"alpha": 0.1}), ("huber", True, {}), ("decision_tree", False, {}),
 ]
 
 
