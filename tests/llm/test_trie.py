@@ -70,7 +70,7 @@ def test_equals_brute_force_whatever_the_segments_and_shards(spark, monkeypatch,
 
 
 def test_one_conversation_of_very_many_turns(spark):
-    rows = [(5, t, "user", "a" if t % 3 else "b") for t in range(700)] + [(10, t, "user", "a" if t % 3 else "b") for t in range(690)]
+    rows = [(5, t, "user", "a" if t % 3 else "b") for t in range(300)] + [(10, t, "user", "a" if t % 3 else "b") for t in range(290)]
     found = {tuple(r) for r in trie.prefix_trie(frame(spark, rows)).collect()}
     assert found == brute(rows)
 
