@@ -43,6 +43,23 @@ def st2(spark, folder):
     return spark.read.parquet(target).select("comment_id")
 
 
+@query("st2_stream_distinct_events", "SELECT event_id, user_id, event_type FROM events")
+def st2_events(spark, folder):
+    """Events that arrive twice, a third of the time span after the other: ids are forgotten behind the watermark."""
+    events = t.table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    arriving, share = staging_path(spark, "arriving"), F.lit(3) * (F.col("ts").cast("double") - F.lit(low).cast("double"))
+    third = F.floor(share / (F.lit(high).cast("double") - F.lit(low).cast("double") + 1))
+    for part in range(3):
+        own = events.where(third == part)
+        own.unionByName(own).write.mode("append").parquet(arriving)
+    target, progress = staging_path(spark, "stream"), staging_path(spark, "progress")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    distinct = incremental.distinct_comments(stream, "event_id", "ts", "400 days")
+    incremental.write_stream(distinct, target, progress).awaitTermination()
+    return spark.read.parquet(target).select("event_id", "user_id", "event_type")
+
+
 @query("st3_running_tally", f"{t.WITH_COMMENTS} SELECT subreddit, count(*) AS n FROM comments GROUP BY subreddit")
 def st3(spark, folder):
     target, progress = staging_path(spark, "stream"), staging_path(spark, "progress")

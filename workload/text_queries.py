@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from forumloom.functions import normalize as N
+from forumloom.functions import tokens as K
 from forumloom.functions.charsets import entity_codes
 from forumloom.operators import normalizing as steps
 from forumloom.operators import tokens
-from forumloom.session import ship_package
+from forumloom.session import ship_package, stage
 from workload import tables as t
 from workload.registry import query
 
@@ -320,6 +321,26 @@ def k10_approximate(spark, folder):
     return tokens.vocabulary_size(_normal(spark, folder), approximate=True)
 
 
+@query(
+    "k10_vocabulary_sketches",
+    f"""{t.WITH_COMMENTS}, ts AS (SELECT DISTINCT subreddit, unnest({t.sql_tokens('text')}) AS token FROM comments)
+    SELECT subreddit, count(*) AS n_tokens, true AS close FROM ts GROUP BY subreddit
+    UNION ALL SELECT NULL, count(DISTINCT token), true FROM ts""",
+)
+def k10_sketches(spark, folder):
+    """Exact sizes, and whether those of stored and merged sketches are within four standard errors."""
+    docs = t.comments(spark, folder)
+    sketches = stage(tokens.vocabulary_sketches(docs), "sketches")
+    every = tokens.merged_vocabulary_size(sketches).withColumn("subreddit", F.lit(None).cast("string"))
+    guess = tokens.merged_vocabulary_size(sketches, "subreddit").unionByName(every).withColumnRenamed("n_tokens", "guess")
+    rows = docs.select("subreddit", F.explode(K.whitespace_tokens(F.col("text"))).alias("token")).distinct()
+    exact = rows.groupBy("subreddit").agg(F.count(F.lit(1)).alias("n_tokens"))
+    whole = rows.agg(F.count_distinct("token").alias("n_tokens")).withColumn("subreddit", F.lit(None).cast("string"))
+    both = exact.unionByName(whole).join(guess.withColumnRenamed("subreddit", "s"), F.col("subreddit").eqNullSafe(F.col("s")))
+    close = F.abs(F.col("guess") - F.col("n_tokens")) <= 4 * 0.8 / 64 * F.col("n_tokens") + 1
+    return both.select("subreddit", "n_tokens", close.alias("close"))
+
+
 @query(
     "n18_full_normalization_with_stop_words_and_lemmas",
     f"""{WITH_NORMAL}, {STOPS}, ts AS (SELECT comment_id, {_KEPT} AS ts FROM normal, {_LISTED})
