@@ -16,6 +16,29 @@ def mean_and_std(df: DataFrame, series: str, value: str) -> DataFrame:
     return df.groupBy(series).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
 
 
+def occupied_bins(df: DataFrame, value: str, width: float) -> DataFrame:
+    """Counts in bins of ``width`` from zero, ``(bin, lower, upper, n)``, of bins that have values only.
+
+    There are at most as many rows as values, however far apart these are. Null, NaN and infinite values are not counted.
+    """
+    number = F.col(value).cast("double")
+    known = df.where(number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf")))
+    counts = known.groupBy(F.floor(number / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("bin", (F.col("bin") * width).alias("lower"), ((F.col("bin") + 1) * width).alias("upper"), "n")
+
+
+def quantile_edges(df: DataFrame, value: str, bins: int, accuracy: int = 10_000) -> DataFrame:
+    """``(edges)``: at most ``bins`` + 1 increasing edges between which about equally many values lie.
+
+    From a mergeable quantile sketch, so one pass and one small row per task. Null and NaN values are not counted;
+    without values there are no edges.
+    """
+    number = F.col(value).cast("double")
+    shares = [i / bins for i in range(bins + 1)]
+    found = df.where(~F.isnan(number)).agg(F.percentile_approx(number, shares, accuracy).alias("q"))
+    return found.select(F.coalesce(F.array_sort(F.array_distinct("q")), F.array().cast("array<double>")).alias("edges"))
+
+
 def histogram(df: DataFrame, value: str, bins_per_unit: int = 4, bins: int | None = None) -> DataFrame:
     """Counts in equal-width bins from floor(min) to ceil(max): ``(bin, lower, upper, n)``.
 

@@ -70,12 +70,16 @@ def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
 def collect_if_small(df: DataFrame, max_rows: int, max_bytes: int) -> pa.Table | None:
     """The rows of ``df`` if there are at most ``max_rows`` of at most ``max_bytes`` of text, else ``None``.
 
-    Both are checked before anything but two numbers is collected.
+    Both are checked before anything but two numbers is collected; ``df`` is computed once, no further than that.
     """
     texts = [name for name, kind in df.dtypes if kind == "string"]
     size = sum((F.coalesce(F.octet_length(F.col(name)), F.lit(0)).cast("long") for name in texts), F.lit(0).cast("long"))
-    rows, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return df.toArrow() if rows <= max_rows and total <= max_bytes else None
+    some = df.limit(max_rows + 1).persist()
+    try:
+        rows, total = some.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+        return some.toArrow() if rows <= max_rows and total <= max_bytes else None
+    finally:
+        some.unpersist()
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame | None:

@@ -335,6 +335,15 @@ def g8(spark, folder):
     return out.select("bin", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), "n")
 
 
+@query(
+    "g8_occupied_bins",
+    """SELECT CAST(floor(value / 0.25) AS BIGINT) AS bin, floor(value / 0.25) * 0.25 AS lower,
+      (floor(value / 0.25) + 1) * 0.25 AS upper, count(*) AS n FROM events GROUP BY ALL""",
+)
+def g8_occupied(spark, folder):
+    return series.occupied_bins(t.table(spark, folder, "events"), "value", 0.25)
+
+
 _ROLLING = """WITH r AS (SELECT event_id, event_type, value,
     CASE WHEN row_number() OVER w >= 3
       THEN avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END
