@@ -13,7 +13,7 @@ from forumloom.operators.features import Terms
 from forumloom.operators.normalizing import Step
 from forumloom.schema import FORUM, KEY, TEXT
 from forumloom.session import cut
-from forumloom.sources import readers, writers
+from forumloom.sources import readers, versions, writers
 
 
 def full_normalization(stop_words: DataFrame | list[str] | None = None, lemmas: DataFrame | None = None) -> Step:
@@ -45,10 +45,18 @@ def steps_named(names: Sequence[str]) -> Step:
     return normalizing.in_order(*[STEPS[n] for n in names])
 
 
-def collect_comments(raw: DataFrame, target: str, names: dict[str, str] | None = None) -> None:
-    """Fetched comment rows to the stored table: project, clean, de-duplicate, merge."""
+def collect_comments(
+    raw: DataFrame, target: str, names: dict[str, str] | None = None, versioned: bool = False
+) -> None:
+    """Fetched comment rows to the stored table: project, clean, de-duplicate, merge.
+
+    A ``versioned`` target shows the whole update at once, and is read by ``versions.read_versioned``.
+    """
     comments = clean.clean(clean.project_comments(raw, names))
-    writers.upsert_comments(comments, target)
+    if versioned:
+        versions.upsert_versioned(cut(comments), target)
+    else:
+        writers.upsert_comments(comments, target)
 
 
 def tally_comments(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from forumloom.operators import clean, order, series, split, tally, threads
 from forumloom.operators.normalizing import lower_case
 from forumloom.schema import COMMENT_SCHEMA
 from forumloom.session import staging_path
-from forumloom.sources import readers, writers
+from forumloom.sources import readers, versions, writers
 from workload import tables as t
 from workload.registry import query
 
@@ -49,12 +49,12 @@ def a4(spark, folder):
     return readers.read_comments(spark, path)
 
 
-@query(
-    "a5_merge_write",
-    f"""{t.WITH_REFETCHED}, both_sides AS (SELECT 0 AS pri, * FROM refetched UNION ALL SELECT 1, * FROM comments)
+MERGED = f"""{t.WITH_REFETCHED}, both_sides AS (SELECT 0 AS pri, * FROM refetched UNION ALL SELECT 1, * FROM comments)
     SELECT {FIVE} FROM both_sides
-    QUALIFY row_number() OVER (PARTITION BY subreddit, comment_id ORDER BY pri, text) = 1""",
-)
+    QUALIFY row_number() OVER (PARTITION BY subreddit, comment_id ORDER BY pri, text) = 1"""
+
+
+@query("a5_merge_write", MERGED)
 def a5(spark, folder):
     path = staging_path(spark, "upserted")
     writers.write_comments(t.comments(spark, folder), path)
@@ -62,6 +62,15 @@ def a5(spark, folder):
     return readers.read_comments(spark, path)
 
 
+@query("a5_merge_versions", MERGED)
+def a5_versions(spark, folder):
+    path = staging_path(spark, "versioned")
+    versions.upsert_versioned(t.comments(spark, folder), path)
+    versions.upsert_versioned(t.refetched(spark, folder), path)
+    versions.drop_old_versions(spark, path, keep=1)
+    return versions.read_versioned(spark, path)
+
+
 @query("a6_write_split_ids", f"{t.WITH_COMMENTS} SELECT comment_id, split FROM ({t.sql_split('comments')})")
 def a6(spark, folder):
     path = staging_path(spark, "ids")

@@ -228,6 +228,22 @@ def f8(spark, folder):
     return features.normalize_rows(counts, "l1").withColumn("value", F.round("value", 6))
 
 
+@query(
+    "a7_write_features_of_both_splits",
+    f"""{PAIRS} SELECT comment_id, term_idx, CAST(n AS DOUBLE) AS value, split FROM pairs JOIN vocabulary USING (term)
+    WHERE split IS NOT NULL""",
+)
+def a7_both(spark, folder):
+    parts = cut(_parts(spark, folder))
+    vocabulary = features.fit_vocabulary(_train(parts))
+    path = staging_path(spark, "features")
+    for name in ("train", "test"):  # a split is known before its texts are counted, so nothing is joined back
+        counts = features.count_vectors(parts.where(F.col("split") == name), vocabulary)
+        writers.write_features(counts.withColumn("split", F.lit(name)), path, mode="append")
+    train, test = (readers.read_features(spark, path, name) for name in ("train", "test"))
+    return train.unionByName(test)
+
+
 @query(
     "a7_write_features",
     f"""{PAIRS} SELECT comment_id, term_idx, CAST(n AS DOUBLE) AS value, split FROM pairs JOIN vocabulary USING (term)
