@@ -1,4 +1,4 @@
-"""Toxicity by compression distance to two zstandard dictionaries."""
+"""Toxicity by compression distance: one zstandard dictionary trained on toxic text, one on ordinary text."""
 
 from __future__ import annotations
 
@@ -19,7 +19,13 @@ SAMPLE = 3000
 """Labelled documents of each class that the model learns from, the first by a hash of the id."""
 
 WINDOW = 12
-TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 4096, 16384, 6
+TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 4096, 112640, 6
+TELLING = 2048
+"""Most words that mark a window of toxic text as a sample for its dictionary, those in most contexts first."""
+
+WINDOWS, WINDOW_BYTES = 100_000, 512
+"""Distinct windows a dictionary is trained on, the first by hash, and the longest of them; scoring has neither bound."""
+
 FEATURES = ("most", "second", "mean", "share", "log_windows")
 
 
@@ -37,8 +43,16 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(SEPARATORS).split()
 
 
+def windows_of(words: list[bytes]) -> list[bytes]:
+    return [b" %s " % b" ".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
+
+
 class Distances:
-    """What a window saves when the toxic dictionary stands before the ordinary one."""
+    """What a window saves when the toxic dictionary stands before the ordinary one.
+
+    The ordinary text of a window costs much the same either way, so that the difference is what the toxic dictionary
+    alone explains; with each dictionary by itself that difference drowns in the words only one of them has.
+    """
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.pair = [self._compressor(ordinary), self._compressor(toxic + ordinary)]
@@ -56,8 +70,7 @@ class Distances:
         return zstd.ZstdCompressor(dict_data=made, compression_params=level)
 
     def features(self, text: bytes | None) -> list[float]:
-        words = words_of(text)
-        windows = [b" %s " % b" ".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
+        windows = windows_of(words_of(text))
         if not windows:
             return [0.0] * len(FEATURES)
         ordinary, toxic = (c.compress for c in self.pair)
@@ -88,20 +101,40 @@ def contexts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, kinds).distinct()
 
 
-def dictionary(words: list[bytes], size: int) -> bytes:
-    """The first words that fit into ``size`` bytes, the first of them last, where offsets are shortest."""
-    ends = np.cumsum([len(w) + 1 for w in words])
-    chosen = words[: int(np.searchsorted(ends, size - 1, "right"))]
-    return b" %s " % b" ".join(chosen[::-1]) if chosen else b""
+def samples(docs: DataFrame, telling: frozenset[bytes]) -> DataFrame:
+    """``(toxic, window)``, distinct: windows of ordinary text, and runs of the telling words of each toxic text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = set()
+            for label, text in zip(batch.column("toxic").to_pylist(), texts_as_bytes(batch.column("text")), strict=True):
+                words = words_of(text)
+                if label:
+                    words = list(dict.fromkeys(w for w in words if w in telling))
+                found.update((label, w) for w in windows_of(words) if len(w) <= WINDOW_BYTES)
+            if found:
+                label, window = zip(*found, strict=True)
+                columns = [pa.array(label, pa.int32()), pa.array(window, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["toxic", "window"])
+
+    return docs.mapInArrow(run, "toxic int, window binary").distinct()
+
+
+def dictionary(windows: list[bytes], size: int) -> bytes:
+    """A dictionary of at most ``size`` bytes that zstandard trains on the windows; too few to train on are taken as they are."""
+    try:
+        return zstd.train_dictionary(size, windows, level=LEVEL).as_bytes() if windows else b""
+    except zstd.ZstdError:
+        return b"".join(windows)[-size:]
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     """Learn both dictionaries and the calibration from at most ``sample`` labelled documents of each class.
 
     The ids are drawn from the labels alone and then meet the documents as a small broadcast, so documents are
-    not shuffled. Of the sample, two thirds make the dictionaries: the ordinary one of the words in
-    most contexts, the toxic one of words at least ten times as common in toxic text. The last third calibrates a
-    logistic score of window savings, weighted to the classes' shares among all labels.
+    not shuffled. Of the sample, two thirds train the dictionaries: the ordinary one on windows of ordinary text, the
+    toxic one on the words of toxic text that are at least ten times as common there, as runs in their order. The last
+    third calibrates a logistic score of window savings, weighted to the classes' shares among all labels.
     """
     prepare(docs)
     known = (
@@ -123,9 +156,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     total = counts.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("o"), F.lit(0)).alias("o")).first()
     least = max(3, 0.005 * chosen.where("part < 2 AND toxic = 1").count())
     telling = counts.where((F.col("t") >= least) & (F.col("t") * total.o > 10 * (F.col("o") + 0.5) * total.t))
-    toxic = [bytes(r.word) for r in telling.orderBy(F.desc("t"), "word").limit(TOXIC_BYTES // 2).collect()]
-    usual = counts.where("o > 0").orderBy(F.desc("o"), "word").limit(ORDINARY_BYTES // 2).collect()
-    made = dictionary(toxic, TOXIC_BYTES), dictionary([bytes(r.word) for r in usual], ORDINARY_BYTES)
+    short = telling.where(F.octet_length("word") < WINDOW_BYTES).orderBy(F.desc("t"), "word").limit(TELLING)
+    texts = stage(samples(chosen.where("part < 2").select("toxic", "text"), frozenset(bytes(r.word) for r in short.collect())))
+    drawn = [
+        [bytes(r.window) for r in texts.where(F.col("toxic") == c).orderBy(F.xxhash64("window"), "window").limit(WINDOWS).collect()]
+        for c in (1, 0)
+    ]  # at most WINDOWS * WINDOW_BYTES bytes each
+    made = dictionary(drawn[0], TOXIC_BYTES), dictionary(drawn[1], ORDINARY_BYTES)
     rows = savings(chosen.where("part = 2"), *made).collect()  # at most 2 * sample rows of five numbers
     x = np.array([r.features for r in rows], float).reshape(len(rows), len(FEATURES))
     y = np.array([r.toxic for r in rows], float)

@@ -123,6 +123,34 @@ def test_held_out_quality(spark):
     assert np.mean([labels[r.doc_id] == r.predicted for r in scored]) > 0.9
 
 
+def test_held_out_toxic_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    scored = [r for r in queries.op9_toxicity(spark, folder).collect() if r.held_out and r.doc_id in labels]
+    hits = sum(labels[r.doc_id] == 1 for r in scored if r.predicted == 1)
+    assert hits / sum(labels[r.doc_id] == 1 for r in scored) > 0.5
+    assert hits / sum(r.predicted for r in scored) > 0.8
+    toxic = np.array([r.score for r in scored if labels[r.doc_id] == 1])
+    plain = np.array([r.score for r in scored if labels[r.doc_id] == 0])
+    wins = (toxic[:, None] > plain).mean() + (toxic[:, None] == plain).mean() / 2
+    assert wins > 0.88
+
+
+def test_dictionaries_are_trained_and_distances_are_those_of_zstandard():
+    import zstandard as zstd
+
+    draw = random.Random(4)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(6)).encode() for _ in range(300)]
+    windows = [b" %s " % b" ".join(draw.choice(words) for _ in range(12)) for _ in range(500)]
+    made = toxicity.dictionary(windows, 2048)
+    assert len(made) <= 2048 and zstd.ZstdCompressionDict(made).dict_id() != 0
+    assert toxicity.dictionary(windows[:2], 2048) == windows[0] + windows[1]
+    assert toxicity.dictionary([], 2048) == b""
+    found = toxicity.Distances(made, b"").features(windows[7])
+    bare = len(zstd.ZstdCompressor(level=toxicity.LEVEL, write_content_size=False).compress(windows[7]))
+    assert 0 < found[0] < bare and found[1] == 0.0
+
+
 def brute_repeats(rows, size):
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
     first = {}
