@@ -11,6 +11,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forumloom.operators.least_squares import ridge_classifier
 from forumloom.operators.trees import (
     ada_boost,
     boosted_classifier,
@@ -144,35 +145,6 @@ def perceptron(train: DataFrame, hidden: tuple[int, ...] = (100,), **params):
     )
 
 
-class _Fitted:
-    """A fitted combination of Spark models."""
-
-    def __init__(self, transform: Model):
-        self.transform = transform
-
-
-def ridge_classifier(train: DataFrame, alpha: float = 1.0, **params) -> _Fitted:
-    """One ridge fit per class on targets -1/+1; the largest prediction wins, ties to the smallest class."""
-    classes = [row[0] for row in train.select("label").distinct().orderBy("label").collect()]  # one per class
-    train = train.select("features", "label").persist()
-    models = []
-    for position, value in enumerate(classes):
-        coded = train.select("features", F.when(F.col("label") == value, 1.0).otherwise(-1.0).alias("_y"))
-        models.append(ridge(coded, alpha, label="_y", prediction=f"_p{position}", **params))
-    train.unpersist()
-
-    def transform(df: DataFrame) -> DataFrame:
-        columns = df.columns
-        for model in models:
-            df = model.transform(df)
-        scores = F.array(*[F.struct(F.col(f"_p{i}").alias("s"), F.lit(-i).alias("c")) for i in range(len(models))])
-        values = F.array(*[F.lit(float(v)) for v in classes])
-        best = F.array_max(scores)["c"]
-        return df.select(*columns, F.get(values, -best).alias("prediction"))
-
-    return _Fitted(transform)
-
-
 CLASSIFIERS = {
     "ada_boost": ada_boost,
     "boosted_trees": boosted_classifier,

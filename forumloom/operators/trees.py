@@ -527,13 +527,13 @@ class TreeModel:
 
 def _prepared(train: DataFrame, label: str, max_bins: int) -> tuple[DataFrame, DataFrame, int]:
     ship_package(train.sparkSession)
-    widest = F.arrow_udf(_width, "long")
+    widest = F.arrow_udf(widths, "long")
     width = int(train.agg(F.coalesce(F.max(widest("features")), F.lit(0))).first()[0]) or 1
     rows, cuts = _binned(train, label, max_bins, width)
     return rows, cuts, width
 
 
-def _width(vectors: pa.Array) -> pa.Array:
+def widths(vectors: pa.Array) -> pa.Array:
     sizes = np.asarray(vectors.field("size").fill_null(0), np.int64)
     return pa.array(np.maximum(sizes, np.diff(_offsets(vectors.field("values")))))
 
