@@ -200,7 +200,8 @@ def near_vectors(
     )
     largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
     power = F.least(F.greatest(-F.floor(F.log2(largest)), F.lit(-1000)), F.lit(1000)).cast("double")
-    scaled = F.transform("v", lambda x: x * F.col("_by"))
+    # bound in a one-element array: a merged projection would compute the factor again for every component
+    scaled = F.get(F.transform(F.array("_by"), lambda by: F.transform("v", lambda x: x * by)), F.lit(0))
     rows = rows.withColumn("_by", F.when(F.coalesce(good, F.lit(False)), F.pow(F.lit(2.0), power)))
     rows = rows.select("id", "label", F.when(F.col("_by").isNotNull(), scaled).otherwise(F.col("v")).alias("v"))
     classes = stage(
