@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forumloom.llm.common import prepare, slices
+from forumloom.llm.common import give_back, prepare, slices
 
 LETTERS = 128
 """Letter codes: 0 is a gap, 1 to 26 are a to z, the others share the rest by code point."""
@@ -18,6 +18,12 @@ LETTERS = 128
 GRAMS = LETTERS**3
 MAX_LANGUAGES = 1000
 
+TEXT_BYTES = 1 << 20
+"""Text whose letters are coded at once inside a task."""
+
+BOUND_GRAMS = 4096
+"""N-grams whose vectors are made at once."""
+
 
 def letter_codes() -> np.ndarray:
     """Code of every code point: 0 unless it is a letter."""
@@ -34,7 +40,31 @@ def letter_vectors(dimensions: int, seed: int) -> np.ndarray:
 def gram_vectors(grams: np.ndarray, letters: np.ndarray) -> np.ndarray:
     """Bind three letters: the vectors are rotated by their place and multiplied."""
     first, second, third = grams // LETTERS**2, grams // LETTERS % LETTERS, grams % LETTERS
-    return np.roll(letters, 2, 1)[first] * np.roll(letters, 1, 1)[second] * letters[third]
+    found = np.roll(letters, 2, 1)[first]
+    found *= np.roll(letters, 1, 1)[second]
+    found *= letters[third]
+    return found
+
+
+def bundled(counts: np.ndarray, grams: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The n-gram vectors summed by the counts of each row, made for ``BOUND_GRAMS`` of them at a time.
+
+    All terms are whole numbers: the parts add up to the same sums in any order as long as these stay below 2^24.
+    """
+    total = np.zeros((len(counts), letters.shape[1]), np.float32)
+    for i in range(0, len(grams), BOUND_GRAMS):
+        total += counts[:, i : i + BOUND_GRAMS].astype(np.float32) @ gram_vectors(grams[i : i + BOUND_GRAMS], letters)
+    return total
+
+
+def added(grams: np.ndarray, n: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and their counts, with one more of each in ``more``."""
+    found, new = np.unique(more, return_counts=True)
+    both = np.concatenate([grams, found])
+    order = np.argsort(both, kind="stable")
+    both, counts = both[order], np.concatenate([n, new])[order]
+    starts = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+    return both[starts], np.add.reduceat(counts, starts) if len(both) else counts
 
 
 def grams_of(texts: list[str | None], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,17 +90,16 @@ def train_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", dime
     shared = spark.sparkContext.broadcast(letter_codes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
+        totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def emit():
-            for name, n in totals.items():
-                grams = np.flatnonzero(n)
+            for name, (grams, n) in totals.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(grams), pa.string()), pa.array(grams, pa.int32()), pa.array(n[grams], pa.int64())],
+                    [pa.array([name] * len(grams), pa.string()), pa.array(grams, pa.int32()), pa.array(n, pa.int64())],
                     names=["lang", "gram", "n"],
                 )
 
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, TEXT_BYTES):
             names = np.array(batch.column(lang).to_pylist(), dtype=object)
             texts = np.array(batch.column(text).to_pylist(), dtype=object)
             for name in set(names):
@@ -78,15 +107,17 @@ def train_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", dime
                     yield from emit()
                     totals.clear()
                 grams, _ = grams_of(list(texts[names == name]), shared.value)
-                total = totals.setdefault(name, np.zeros(GRAMS, np.int64))
-                total += np.bincount(grams, minlength=GRAMS)
+                known = totals.get(name, (np.zeros(0, np.int32), np.zeros(0, np.int64)))
+                totals[name] = added(*known, grams)
         yield from emit()
+        totals.clear()
+        give_back()
 
     def bundle(frame: pd.DataFrame) -> pd.DataFrame:
         letters = letter_vectors(dimensions, seed)
         total = np.zeros(dimensions)
-        for i in range(0, len(frame), 4096):
-            part = frame.iloc[i : i + 4096]
+        for i in range(0, len(frame), BOUND_GRAMS):
+            part = frame.iloc[i : i + BOUND_GRAMS]
             total += part.n.to_numpy(float) @ gram_vectors(part.gram.to_numpy(), letters)
         return pd.DataFrame({"lang": [frame.lang.iloc[0]], "profile": [total]})
 
@@ -126,7 +157,7 @@ def identify(
                 return ["und"] * len(texts), np.zeros(len(texts))
             small[used] = np.arange(len(used))
             counts = np.bincount(place * np.int64(len(used)) + small[grams], minlength=len(texts) * len(used))
-            vectors = counts.reshape(len(texts), len(used)).astype(np.float32) @ gram_vectors(used, letters)
+            vectors = bundled(counts.reshape(len(texts), len(used)), used, letters)
             lengths = np.linalg.norm(vectors, axis=1)
             cosines = (vectors @ profile.T) / np.maximum(lengths, 1e-12)[:, None]
             best = cosines.argmax(1)
@@ -139,7 +170,7 @@ def identify(
             for value in column:
                 part.append(value)
                 size += len(value) if value else 0
-                if size > 1_000_000 or len(part) >= 512:
+                if size > TEXT_BYTES // 2 or len(part) >= 256:
                     found = block(part)
                     labels += found[0]
                     scores.append(found[1])
@@ -149,6 +180,7 @@ def identify(
                 labels += found[0]
                 scores.append(found[1])
             yield pd.DataFrame({"lang_pred": labels, "score": np.concatenate(scores) if scores else np.zeros(0)})
+        give_back()
 
     guess = F.pandas_udf(predict, "lang_pred string, score double")
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
