@@ -13,24 +13,49 @@ from pyspark.sql import functions as F
 from forumloom.operators.trees import vector_cells, widths
 from forumloom.session import ship_package, stage
 
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 """Most bytes of weights that one pass broadcasts and sums; more classes are solved group by group."""
 
+PIECE = 1 << 15
+"""Numbers of a sum that are added up together."""
+
 MAX_ITER, TOLERANCE = 500, 1e-8
 
 
-def _pass(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """The sum of ``part`` over all batches: one array per task, added up in a tree of tasks."""
+def _pass(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], length: int) -> np.ndarray:
+    """The sum of ``part``, ``length`` numbers, over all batches.
+
+    A task adds up its own batches; the sums of all tasks meet piece by piece, so the driver gets each number once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             found = part(batch)
             total = found if total is None else np.add(total, found, out=total)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+        for first in range(0, len(total) if total is not None else 0, PIECE):
+            piece = total[first : first + PIECE].astype(np.float64, copy=False).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([piece], pa.binary())], ["first", "piece"])
 
-    return rows.mapInArrow(run, "total binary").rdd.map(lambda r: np.frombuffer(r.total)).treeReduce(np.add)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for first, piece in zip(batch.column("first").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+                more = np.frombuffer(piece)
+                sums[first] = sums[first] + more if first in sums else more
+        for first, piece in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([first], pa.int64()), pa.array([piece.tobytes()], pa.binary())], ["first", "piece"]
+            )
+
+    found = np.zeros(length)
+    kind = "first long, piece binary"
+    pieces = -(-length // PIECE)
+    together = min(pieces, rows.sparkSession.sparkContext.defaultParallelism)
+    sums = rows.mapInArrow(run, kind).repartition(together, "first").mapInArrow(add, kind)
+    for first, piece in zip(*(c.to_pylist() for c in sums.toArrow().columns), strict=True):
+        found[first : first + PIECE] = np.frombuffer(piece)
+    return found
 
 
 def column_moments(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +65,7 @@ def column_moments(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
         _, column, value = vector_cells(batch.column("features"))
         return np.concatenate([np.bincount(column, value, width), np.bincount(column, value * value, width)])
 
-    total = _pass(rows, part)
+    total = _pass(rows, part, 2 * width)
     return total[:width], total[width:]
 
 
@@ -54,7 +79,7 @@ def class_sums(rows: DataFrame, width: int, classes: np.ndarray) -> np.ndarray:
         own = classes[place[row]] == label[row]
         return np.bincount(column[own] * len(classes) + place[row[own]], value[own], width * len(classes))
 
-    return _pass(rows, part).reshape(width, len(classes))
+    return _pass(rows, part, width * len(classes)).reshape(width, len(classes))
 
 
 def gram_times(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
@@ -71,9 +96,9 @@ def gram_times(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
         return out.ravel()
 
     try:
-        return _pass(rows, part).reshape(weights.shape)
+        return _pass(rows, part, weights.size).reshape(weights.shape)
     finally:
-        shared.unpersist()
+        shared.destroy()  # every pass has weights of its own: the driver must not keep them
 
 
 def solve(

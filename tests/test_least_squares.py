@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark import Broadcast, SparkContext
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import types as T
 from pyspark.ml.linalg import VectorUDT
@@ -68,3 +69,26 @@ def test_rows_without_label_a_single_class_and_no_rows(spark):
     assert np.abs(single.weights).max() < 1e-12 and np.allclose(single.intercepts, [1.0])
     with pytest.raises(ValueError):
         least_squares.ridge_classifier(odd.limit(0))
+
+
+def test_passes_leave_nothing_on_the_driver(spark, monkeypatch):
+    alive = {}
+    make, drop = SparkContext.broadcast, Broadcast.destroy
+
+    def broadcast(self, value):
+        made = make(self, value)
+        alive[id(made)] = made
+        return made
+
+    def destroy(self, *args):
+        alive.pop(id(self))
+        return drop(self, *args)
+
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", destroy)
+    monkeypatch.setattr(least_squares, "PIECE", 7)  # a sum of many pieces, the last one shorter
+    x, labels = data()
+    model = least_squares.ridge_classifier(table(spark, x, labels))
+    _, w, b = closed_form(x, labels, 1.0)
+    assert np.allclose(model.weights, w, atol=1e-6) and np.allclose(model.intercepts, b, atol=1e-6)
+    assert not alive
