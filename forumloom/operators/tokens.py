@@ -23,6 +23,9 @@ from forumloom.session import stage
 MAX_WORD_LIST = 10_000
 MAX_MAPPING, MAX_MAPPING_BYTES = 500_000, 16 << 20
 
+CACHED_STEMS = 200_000
+"""Stems that a task remembers; words beyond them are stemmed once a batch."""
+
 
 def english_stop_words() -> list[str]:
     """Spark's own English stop-word list."""
@@ -145,10 +148,30 @@ def stem_table(tokens: DataFrame, token: str = "token") -> DataFrame:
 
 
 def porter_stem(docs: DataFrame, key: str = KEY, text: str = TEXT) -> DataFrame:
-    """Stem every token; Python sees each distinct token once, not each occurrence."""
-    stems = stem_table(tokens_only(docs, text))
-    changed = stems.where(F.col("token") != F.col("stem"))
-    return map_tokens(docs, changed, "token", "stem", key, text)
+    """Stem every token inside its row: nothing is shuffled, whatever the vocabulary.
+
+    Python sees each distinct token of a batch once, and remembers up to ``CACHED_STEMS`` stems for the task.
+    """
+
+    @F.arrow_udf("array<string>")
+    def stemmed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, str] = {}
+        for tokens in batches:
+            words = tokens.flatten().dictionary_encode()
+            stems = []
+            for word in words.dictionary.to_pylist():
+                found = known.get(word)
+                if found is None:
+                    found = porter.stem(word)
+                    if len(known) < CACHED_STEMS and len(word) <= 64:
+                        known[word] = found
+                stems.append(found)
+            sizes = np.asarray(tokens.value_lengths().fill_null(0))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.ListArray.from_arrays(offsets, pa.array(stems, pa.string()).take(words.indices))
+
+    value = F.array_join(stemmed(K.whitespace_tokens(F.col(text))), " ")
+    return docs.withColumn(text, F.when(F.col(text).isNotNull(), value))
 
 
 def regex_stem(docs: DataFrame, pattern: str, min_length: int = 0, text: str = TEXT) -> DataFrame:

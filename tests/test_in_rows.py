@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from forumloom.functions import porter
 from forumloom.operators import features, tokens
 
 TEXTS = [("1", "dogs run dogs"), ("2", ""), ("3", None), ("3", "cats \u00a0 run"), (None, "dogs"), ("4", "unknown only"), ("5", "dogs " * 4000)]
@@ -51,3 +52,14 @@ def test_tfidf_inside_rows_equals_the_join(spark, docs, monkeypatch, norm, subli
         for key, _, value in ours:
             sums[key] = sums.get(key, 0) + value * value
         assert all(math.isclose(v, 1, abs_tol=1e-6) for v in sums.values())
+
+
+def test_stems_need_no_shuffle_for_large_vocabularies(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_MAPPING", 1)
+    monkeypatch.setattr(tokens, "CACHED_STEMS", 2)
+    rows = [("1", "Running  ponies\tran quickly"), ("1", "Running  ponies\tran quickly"), (None, "relational"), ("2", ""), ("3", None)]
+    docs = spark.createDataFrame(rows, "comment_id string, text string")
+    found = tokens.porter_stem(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    wanted = [(k, None if x is None else " ".join(porter.stem(w) for w in x.split())) for k, x in rows]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(wanted, key=repr)
