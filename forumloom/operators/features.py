@@ -7,7 +7,8 @@ whole documents move rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,11 +25,18 @@ from forumloom.functions import tokens as K
 from forumloom.operators.order import with_positions
 from forumloom.operators.skew import HOT_SHARE, collect_if_small, fits_broadcast, join_lookup
 from forumloom.schema import KEY, TEXT
+from forumloom.session import ship_package
 
 MAX_BROADCAST_TERMS = 500_000
 MAX_BROADCAST_FLOATS = 20_000_000
 MAX_BROADCAST_BYTES = 32 << 20
 
+TERMS_AT_ONCE = 1 << 20
+"""Terms of a batch that are hashed together; one longer text is handled alone."""
+
+CACHED_DIGESTS = 200_000
+"""Terms whose digest a task remembers; terms beyond them are digested once a batch."""
+
 
 @dataclass(frozen=True)
 class Terms:
@@ -286,43 +294,71 @@ def hashed_vectors(
 ) -> DataFrame:
     """Hashed term counts of fixed width. No vocabulary and no shuffle, norms included; works on streams.
 
-    The first eight hex digits of a term's MD5 give its index, the parity of the ninth its sign.
+    The first eight hex digits of a term's MD5 give its index, the parity of the ninth its sign. Each distinct term of a
+    batch of rows is digested once.
     """
-    plain = Terms(**{**terms.__dict__, "binary": False})
-    digest = lambda b: F.md5(b["term"])
-    index = lambda b: F.pmod(F.conv(F.substring(digest(b), 1, 8), 16, 10).cast("long"), F.lit(n_features))
-    parity = lambda b: F.conv(F.substring(digest(b), 9, 1), 16, 10).cast("int") % 2
-    sign = (lambda b: F.when(parity(b) == 0, 1.0).otherwise(-1.0)) if alternate_sign else (lambda b: F.lit(1.0))
-    hashed = term_bags(docs, plain, key, text).select(
-        key,
-        F.sort_array(
-            F.transform("bag", lambda b: F.struct(index(b).alias("i"), (sign(b) * b["n"]).alias("v")))
-        ).alias("_h"),
-    )
-    starts = hashed.select(key, "_h", _run_starts(F.col("_h"), lambda x: x["i"]).alias("_starts"))
-
-    def cell(i: Column, j: Column) -> Column:
-        last = F.coalesce(F.get("_starts", j + 1), F.size("_h")) - 1
-        total = F.aggregate(F.sequence(i, last), F.lit(0.0), lambda acc, k: acc + F.get("_h", k)["v"])
-        return F.struct(F.get("_h", i)["i"].alias("term_idx"), total.alias("value"))
+    if norm not in (None, "l1", "l2"):
+        raise KeyError(norm)
+    binary = terms.binary
+    ship_package(docs.sparkSession)
 
-    summed = starts.select(key, F.filter(F.transform("_starts", cell), lambda c: c["value"] != 0).alias("_v"))
-    if terms.binary:
-        ones = F.transform("_v", lambda c: F.struct(c["term_idx"].alias("term_idx"), F.lit(1.0).alias("value")))
-        summed = summed.select(key, ones.alias("_v"))
-    if norm is not None:
-        part = {"l2": lambda x: x["value"] * x["value"], "l1": lambda x: F.abs(x["value"])}[norm]
-        size = F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + part(x))
-        length = F.sqrt(size) if norm == "l2" else size
+    @F.arrow_udf("array<struct<term_idx:bigint,value:double>>")
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, tuple[int, int]] = {}
+        for lists in batches:
+            ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0), np.int64))
+            parts: list[pa.Array] = []
+            start = 0
+            while start < len(lists) or not parts:  # long texts: some rows of the batch at a time
+                before = ends[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(ends, before + TERMS_AT_ONCE, "right")))
+                some = lists.slice(start, end - start)
+                row = np.repeat(np.arange(len(some)), np.asarray(some.value_lengths().fill_null(0), np.int64))
+                parts.append(_hashed_cells(some.flatten(), row, len(some), known, n_features, alternate_sign, binary, norm))
+                start = end
+            yield pa.concat_arrays(parts)
+
+    summed = _term_arrays(docs, terms, key, text).select(key, hashed("_terms").alias("_v"))
+    return summed.select(key, F.inline_outer("_v")).where(F.col("term_idx").isNotNull())
 
-        def scale(by: Column) -> Column:
-            return F.transform(
-                "_v", lambda c: F.struct(c["term_idx"].alias("term_idx"), (c["value"] / by).alias("value"))
-            )
 
-        # bound in a one-element array: the optimizer would move a column into the lambda and sum per element
-        summed = summed.select(key, F.get(F.transform(F.array(length), scale), F.lit(0)).alias("_v"))
-    return summed.select(key, F.inline_outer("_v")).where(F.col("term_idx").isNotNull())
+def _digest(term: str) -> tuple[int, int]:
+    """The first eight hex digits of a term's MD5 as a number, and the sign that the ninth gives."""
+    found = hashlib.md5(term.encode()).digest()
+    return int.from_bytes(found[:4], "big"), 1 - 2 * (found[4] >> 4 & 1)
+
+
+def _hashed_cells(
+    flat: pa.Array, row: np.ndarray, n_rows: int, known: dict, n_features: int, signed: bool, binary: bool, norm: str | None
+) -> pa.Array:
+    """The hashed cells of each row, by index; sums of whole numbers, so equal in any order."""
+    words = flat.dictionary_encode()
+    pairs = []
+    for word in words.dictionary.to_pylist():
+        pair = known.get(word) or (_digest(word) if word is not None else (0, 0))
+        if len(known) < CACHED_DIGESTS and word is not None and len(word) <= 64:
+            known[word] = pair
+        pairs.append(pair)
+    index, sign = np.array(pairs, np.int64).reshape(-1, 2).T
+    there = np.asarray(words.indices.is_valid())
+    place, row = np.asarray(words.indices.drop_null(), np.int64), row[there]
+    code = row * n_features + (index % n_features)[place]
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    starts = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    weight = (sign[place] if signed else np.ones(len(place), np.int64))[order]
+    value = np.add.reduceat(weight, starts).astype(np.float64) if len(code) else np.zeros(0)
+    row, column = np.divmod(code[starts], n_features)
+    kept = value != 0
+    row, column, value = row[kept], column[kept], value[kept]
+    if binary:
+        value = np.ones(len(value))
+    if norm is not None:
+        length = np.bincount(row, value * value if norm == "l2" else np.abs(value), n_rows)
+        value = value / (np.sqrt(length) if norm == "l2" else length)[row]
+    cells = pa.StructArray.from_arrays([pa.array(column), pa.array(value)], ["term_idx", "value"])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n_rows))])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), cells)
 
 
 # Embeddings ------------------------------------------------------------------------------------------
