@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.linalg import Vector
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.linalg import Vector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ from forumloom.operators import features
 from forumloom.operators.order import with_positions
 from forumloom.operators.skew import HOT_SHARE, fits_broadcast, join_lookup
 from forumloom.schema import KEY
+from forumloom.session import ship_package, stage
+
+MAX_COLUMNS = 1 << 21
+"""Most columns whose numbers are sent to the tasks, 16 bytes each."""
 
 
 @dataclass(frozen=True)
@@ -54,6 +60,39 @@ def compact_vectors(cells: DataFrame, columns: Columns, ids: DataFrame, key: str
     return features.sparse_vectors(renumber(cells, columns), columns.width, key, ids=ids)
 
 
+def vectors_in_rows(bags: DataFrame, columns: Columns, name: str = "features") -> DataFrame:
+    """``bags`` with a sparse vector of ``columns.width`` in place of ``cells``, its cells sorted by ``term_idx``.
+
+    The numbers of up to ``MAX_COLUMNS`` columns go to the tasks, so no row and no cell moves. More columns are joined,
+    and the cells of a row meet again under a number of its own.
+    """
+    others = [c for c in bags.columns if c != "cells"]
+    if not fits_broadcast(columns.table, MAX_COLUMNS):
+        numbered = stage(bags.withColumn("_row", F.monotonically_increasing_id()), "bags")
+        cells = numbered.select("_row", F.inline("cells"))
+        return numbered.join(compact_vectors(cells, columns, numbered, "_row"), "_row").select(*others, F.col("features").alias(name))
+    ship_package(bags.sparkSession)
+    table = columns.table.select("term_idx", "column").orderBy("term_idx").toArrow()  # bounded: checked above
+    known, number = (np.asarray(table.column(c).combine_chunks(), np.int64) for c in ("term_idx", "column"))
+    shared = bags.sparkSession.sparkContext.broadcast((known, number.astype(np.int32)))
+    width = columns.width
+
+    @F.arrow_udf(VectorUDT())
+    def compact(cells: pa.Array) -> pa.Array:
+        known, number = shared.value
+        flat, sizes = cells.flatten(), np.asarray(cells.value_lengths().fill_null(0), np.int64)
+        row, index = np.repeat(np.arange(len(sizes)), sizes), np.asarray(flat.field("term_idx"), np.int64)
+        place = np.minimum(np.searchsorted(known, index), max(len(known) - 1, 0))
+        there = known[place] == index if len(known) else np.zeros(len(index), bool)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[there], minlength=len(sizes)))]).astype(np.int32))
+        indices = pa.ListArray.from_arrays(offsets, pa.array(number[place[there]], pa.int32()))
+        values = pa.ListArray.from_arrays(offsets, pa.array(np.asarray(flat.field("value"), np.float64)[there]))
+        kind, size = np.zeros(len(sizes), np.int8), np.full(len(sizes), width, np.int32)
+        return pa.StructArray.from_arrays([pa.array(kind), pa.array(size), indices, values], ["type", "size", "indices", "values"])
+
+    return bags.select(*others, compact("cells").alias(name))
+
+
 def column_weights(weights: Vector, columns: Columns) -> DataFrame:
     """Fitted weights by their wide column, ``(term_idx, weight)``; columns that are not listed have weight 0."""
     spark = columns.table.sparkSession

@@ -74,15 +74,16 @@ class Vocabulary:
     n_docs: int
 
 
-def _term_arrays(docs: DataFrame, terms: Terms, key: str, text: str) -> DataFrame:
+def _term_arrays(docs: DataFrame, terms: Terms, key: str | Sequence[str], text: str) -> DataFrame:
     """``(key, _terms)``. Word tokens are bound to a column first: n-grams mention them several times."""
+    keys = [key] if isinstance(key, str) else list(key)
     if terms.analyzer == "word" and terms.ngram_range != (1, 1):
         single = K.word_tokens(
             F.col(text), terms.token_pattern, terms.lowercase, terms.strip_accents, list(terms.stop_words)
         )
-        tokens = docs.select(key, single.alias("_tokens"))
-        return tokens.select(key, K.word_ngrams(F.col("_tokens"), *terms.ngram_range).alias("_terms"))
-    return docs.select(key, terms.of(F.col(text)).alias("_terms"))
+        tokens = docs.select(*keys, single.alias("_tokens"))
+        return tokens.select(*keys, K.word_ngrams(F.col("_tokens"), *terms.ngram_range).alias("_terms"))
+    return docs.select(*keys, terms.of(F.col(text)).alias("_terms"))
 
 
 def _run_starts(values: Column, same: Column | None = None) -> Column:
@@ -297,6 +298,19 @@ def hashed_vectors(
     The first eight hex digits of a term's MD5 give its index, the parity of the ninth its sign. Each distinct term of a
     batch of rows is digested once.
     """
+    bags = hashed_bags(docs.select(key, text), n_features, terms, alternate_sign, norm, text)
+    return bags.select(key, F.inline_outer("cells")).where(F.col("term_idx").isNotNull())
+
+
+def hashed_bags(
+    docs: DataFrame,
+    n_features: int = 1 << 20,
+    terms: Terms = Terms(),
+    alternate_sign: bool = True,
+    norm: str | None = "l2",
+    text: str = TEXT,
+) -> DataFrame:
+    """``docs`` with its hashed cells by index, ``cells: array<term_idx, value>``, in place of the text: one row per row."""
     if norm not in (None, "l1", "l2"):
         raise KeyError(norm)
     binary = terms.binary
@@ -318,8 +332,8 @@ def hashed_vectors(
                 start = end
             yield pa.concat_arrays(parts)
 
-    summed = _term_arrays(docs, terms, key, text).select(key, hashed("_terms").alias("_v"))
-    return summed.select(key, F.inline_outer("_v")).where(F.col("term_idx").isNotNull())
+    others = [name for name in docs.columns if name != text]
+    return _term_arrays(docs, terms, others, text).select(*others, hashed("_terms").alias("cells"))
 
 
 def _digest(term: str) -> tuple[int, int]:

@@ -43,6 +43,19 @@ def class_names(index: StringIndexerModel, df: DataFrame, column: str = "predict
     return IndexToString(inputCol=column, outputCol=output, labels=index.labels).transform(df)
 
 
+# Passes ----------------------------------------------------------------------------------------------
+
+
+def few_parts(train: DataFrame) -> DataFrame:
+    """``train`` in no more partitions than there are cores, joined without a shuffle.
+
+    Each pass of Spark's solvers shuffles one dense gradient per partition, as wide as the features whatever the rows
+    in it; with a partition per core that does not grow with the input.
+    """
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    return train.coalesce(cores) if train.rdd.getNumPartitions() > cores else train
+
+
 # Penalties -------------------------------------------------------------------------------------------
 
 
@@ -74,7 +87,7 @@ def _linear(train: DataFrame, l1: float, l2: float, label: str = "label", predic
     estimator = R.LinearRegression(
         labelCol=label, predictionCol=prediction, regParam=total, elasticNetParam=ratio, standardization=False, **params
     )
-    return estimator.fit(train)
+    return estimator.fit(few_parts(train))
 
 
 # Regressors ------------------------------------------------------------------------------------------
@@ -106,7 +119,7 @@ def sgd_regression(train: DataFrame, alpha: float = 1e-4, **params):
 def huber_regression(train: DataFrame, epsilon: float = 1.35, alpha: float = 1e-4, **params):
     return R.LinearRegression(
         loss="huber", epsilon=epsilon, regParam=alpha, standardization=False, **params
-    ).fit(train)
+    ).fit(few_parts(train))
 
 
 # Classifiers -----------------------------------------------------------------------------------------
@@ -116,23 +129,23 @@ def logistic_regression(train: DataFrame, c: float = 1.0, **params):
     """Multinomial, quadratic penalty with inverse strength ``c``."""
     return C.LogisticRegression(
         family="multinomial", regParam=penalty_of_c(c, train.count()), standardization=False, **params
-    ).fit(train)
+    ).fit(few_parts(train))
 
 
 def linear_svm(train: DataFrame, c: float = 1.0, **params):
     """Linear support vectors, one against the rest."""
     machine = C.LinearSVC(regParam=penalty_of_c(c, train.count()), standardization=False, **params)
-    return C.OneVsRest(classifier=machine, parallelism=PARALLEL).fit(train)
+    return C.OneVsRest(classifier=machine, parallelism=PARALLEL).fit(few_parts(train))
 
 
 def sgd_classifier(train: DataFrame, loss: str = "hinge", alpha: float = 1e-4, **params):
     """A linear classifier with hinge or log loss."""
     if loss == "hinge":
         single = C.LinearSVC(regParam=alpha, standardization=False, **params)
-        return C.OneVsRest(classifier=single, parallelism=PARALLEL).fit(train)
+        return C.OneVsRest(classifier=single, parallelism=PARALLEL).fit(few_parts(train))
     if loss == "log_loss":
         single = C.LogisticRegression(regParam=alpha, standardization=False, **params)
-        return C.OneVsRest(classifier=single, parallelism=PARALLEL).fit(train)
+        return C.OneVsRest(classifier=single, parallelism=PARALLEL).fit(few_parts(train))
     raise ValueError(f"unknown loss: {loss}")
 
 
