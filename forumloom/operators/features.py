@@ -115,6 +115,51 @@ def term_counts(docs: DataFrame, terms: Terms = Terms(), key: str = KEY, text: s
     return term_bags(docs, terms, key, text).select(key, F.inline_outer("bag")).where(F.col("term").isNotNull())
 
 
+def term_totals(docs: DataFrame, terms: Terms = Terms(), text: str = TEXT) -> DataFrame:
+    """``(term, n, docs)``: occurrences of each term and the rows that hold it.
+
+    Python counts the terms of up to ``TERMS_AT_ONCE`` at a time, so what is shuffled is one row per distinct term of
+    such a part, not one per term and document.
+    """
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
+        n = 0
+        for batch in batches:
+            lists = batch.column("_terms")
+            ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0), np.int64))
+            start = 0
+            while start < len(lists):
+                before = ends[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(ends, before + TERMS_AT_ONCE - n, "right")))
+                held.append(lists.slice(start, end - start))
+                n += int(ends[end - 1] - before)
+                start = end
+                if n >= TERMS_AT_ONCE or start < len(lists):
+                    yield _totals(held, terms.binary)
+                    held, n = [], 0
+        if held:
+            yield _totals(held, terms.binary)
+
+    parts = _term_arrays(docs, terms, (), text).mapInArrow(run, "term string, n long, docs long")
+    return parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _totals(lists: list[pa.Array], binary: bool) -> pa.RecordBatch:
+    """The distinct terms of some rows, how often they occur and in how many rows."""
+    some = pa.concat_arrays(lists)
+    words = some.flatten().dictionary_encode()
+    there = np.asarray(words.indices.is_valid())
+    row = np.repeat(np.arange(len(some)), np.asarray(some.value_lengths().fill_null(0), np.int64))[there]
+    place, size = np.asarray(words.indices.drop_null(), np.int64), len(words.dictionary)
+    pairs = np.sort(row * size + place)
+    own = pairs[np.append(True, pairs[1:] != pairs[:-1])] % size if len(pairs) else pairs
+    rows = np.bincount(own, minlength=size)
+    count = rows if binary else np.bincount(place, minlength=size)
+    return pa.RecordBatch.from_arrays([words.dictionary, pa.array(count), pa.array(rows)], ["term", "n", "docs"])
+
+
 def _bound(limit: int | float, n_docs: int) -> float:
     return limit if isinstance(limit, int) else limit * n_docs
 
