@@ -23,6 +23,11 @@ _SLICE = 16  # queries measured together; bounds the memory of one step even if
 PIVOTS = 1024
 """Most pivots of an index; they and one row per cell are all that passes the driver."""
 
+BLOCKS = 32
+"""An index has about this many blocks, if that makes them no larger than ``MOST_ROWS``: each is met by every lot of queries."""
+
+MOST_ROWS = 4096
+
 RINGS = 1000
 """Most rings of a cell; a larger cell has rings of more than one block."""
 
@@ -112,7 +117,7 @@ def fit_index(
     """An index of train rows for up to ``k`` neighbours.
 
     Of equal vectors only the ``k`` rows of smallest key can be neighbours, so no more are kept, however many there
-    are. Pivots are drawn from the distinct vectors by hash, at most ``pivots`` of them; every row belongs to its
+    are. Blocks grow with the table, to ``MOST_ROWS`` at most, from ``block_rows``. Pivots are drawn from the distinct vectors by hash, at most ``pivots`` of them; every row belongs to its
     nearest one. A cell of more than ``block_rows`` rows is cut into rings of equal size by distance quantiles, a
     ring that is still larger (ties) into blocks by hash. Null vectors and vectors with a null or non-finite
     component are nobody's neighbour. All vectors must have one length.
@@ -123,6 +128,7 @@ def fit_index(
     ).where(_finite("v"))
     rows = stage(_top(rows, [F.xxhash64("v"), F.col("v")], ["neighbour"], k, "copy"), "neighbours")
     n = rows.count()
+    block_rows = max(block_rows, min(MOST_ROWS, n // BLOCKS))
     size = max(1, min(pivots, math.ceil(4 * n / block_rows)))
     drawn = rows.where("copy = 1").orderBy(F.xxhash64("v"), "neighbour").limit(size).select("v").collect()
     centres = np.array([r.v for r in drawn], float) if drawn else np.zeros((0, 1))
@@ -214,17 +220,31 @@ def _candidates(index: NeighbourIndex, queries: DataFrame) -> DataFrame:
     return cells.join(index.rings, "cell").select("query", "home", "reach", "cell", "ring", "blocks", "n", bound.alias("bound"))
 
 
+def _lots(index: NeighbourIndex, counts: np.ndarray) -> list[int]:
+    """A lot per home cell: cells side by side along the longest axis of the pivots, until they hold ``block_rows`` queries."""
+    spread = index.pivots - index.pivots.mean(axis=0)
+    order = np.argsort(spread @ np.linalg.svd(spread, full_matrices=False)[2][0], kind="stable")
+    lots, lot, held = [0] * len(order), 0, 0
+    for home in order:
+        if held and held + counts[home] > index.block_rows:
+            lot, held = lot + 1, 0
+        lots[home], held = lot, held + int(counts[home])
+    return lots
+
+
 def _meet(index: NeighbourIndex, queries: DataFrame, visits: DataFrame) -> DataFrame:
     """The k nearest rows of every visited block, ``(query, distance, neighbour, target)``.
 
-    Queries of one home cell visit much the same rings, so they travel together, at most about ``block_rows`` to a
-    group; a block of train rows is repeated once per group that visits it.
+    Queries of near home cells visit much the same rings, so they travel together in lots of about ``block_rows``; a
+    block of train rows is repeated once per lot that visits it.
     """
-    homes = visits.select("query", "home").distinct().groupBy("home").agg(
-        F.ceil(F.count(F.lit(1)) / index.block_rows).cast("int").alias("parts")
-    )  # one row per pivot
+    counts = np.zeros(len(index.pivots), "int64")
+    for row in visits.select("query", "home").distinct().groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect():  # one per pivot
+        counts[row.home] = row.n
+    lots = [(home, lot, -(-int(counts[home]) // index.block_rows)) for home, lot in enumerate(_lots(index, counts)) if counts[home]]
+    homes = visits.sparkSession.createDataFrame(lots, "home int, lot int, parts int")
     visits = visits.join(F.broadcast(homes), "home").withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int"))
-    place = ["home", "part", "cell", "ring", "block"]
+    place = ["lot", "part", "cell", "ring", "block"]
     visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     q = visits.select("query", *place).join(queries.select("query", "v"), "query")
     groups = visits.select(*[F.col(c).alias(f"g_{c}") for c in place]).distinct()
