@@ -13,11 +13,17 @@ from workload.registry import query
 from workload.text_queries import NORMAL
 
 
+FILE_ROWS = 20_000
+"""Comments in a file, about; small tables make three files."""
+
+
 def _files(spark, folder, build=t.raw_comments):
-    """Comments in several files, as a crawler would leave them."""
+    """Comments in several files, as a crawler would leave them, and how many of them arrive together."""
     path = staging_path(spark, "arriving")
-    build(spark, folder).repartition(3).write.parquet(path)
-    return path
+    rows = build(spark, folder)
+    files = max(3, rows.count() // FILE_ROWS)
+    rows.repartition(files).write.parquet(path)
+    return path, -(-files // 3)
 
 
 @query(
@@ -27,7 +33,7 @@ def _files(spark, folder, build=t.raw_comments):
 )
 def st1(spark, folder):
     target, progress = staging_path(spark, "stream"), staging_path(spark, "progress")
-    stream = incremental.comment_stream(spark, _files(spark, folder), 1)
+    stream = incremental.comment_stream(spark, *_files(spark, folder))
     incremental.preprocess_stream(stream, target, progress).awaitTermination()
     return readers.read_comments(spark, target)
 
@@ -38,7 +44,7 @@ def st2(spark, folder):
         return t.comments(spark, folder).unionByName(t.refetched(spark, folder))
 
     target, progress = staging_path(spark, "stream"), staging_path(spark, "progress")
-    stream = incremental.comment_stream(spark, _files(spark, folder, twice), 1)
+    stream = incremental.comment_stream(spark, *_files(spark, folder, twice))
     incremental.write_stream(incremental.distinct_comments(stream), target, progress).awaitTermination()
     return spark.read.parquet(target).select("comment_id")
 
@@ -63,6 +69,6 @@ def st2_events(spark, folder):
 @query("st3_running_tally", f"{t.WITH_COMMENTS} SELECT subreddit, count(*) AS n FROM comments GROUP BY subreddit")
 def st3(spark, folder):
     target, progress = staging_path(spark, "stream"), staging_path(spark, "progress")
-    stream = clean.clean(incremental.comment_stream(spark, _files(spark, folder), 1))
+    stream = clean.clean(incremental.comment_stream(spark, *_files(spark, folder)))
     incremental.running_tally(stream, target, progress).awaitTermination()
     return spark.read.parquet(target).select("subreddit", F.col("n"))
