@@ -90,7 +90,11 @@ def predict_bayes(
     ids: DataFrame | None = None,
 ) -> DataFrame:
     """``(key, prediction)``: the best class, ties to the smallest label (scores compared at ``digits``)."""
-    scores = bayes_scores(model, features, label, key, ids)
+    return best_classes(bayes_scores(model, features, label, key, ids), label, key, digits)
+
+
+def best_classes(scores: DataFrame, label: str = "label", key: str = KEY, digits: int | None = None) -> DataFrame:
+    """``(key, prediction)`` from ``(key, label, score)``."""
     score = F.round("score", digits) if digits is not None else F.col("score")
     best = scores.groupBy(key).agg(F.min(F.struct((-score).alias("_s"), F.col(label).alias("_l"))).alias("_best"))
     return best.select(key, F.col("_best._l").alias("prediction"))

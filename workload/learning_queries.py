@@ -472,13 +472,15 @@ def t7(spark, folder):
     vocabulary = features.fit_vocabulary(_train(parts))
     counts = features.count_vectors(parts, vocabulary)
     marked = counts.join(parts.select("comment_id", "split"), "comment_id").join(langs, "comment_id", "left_semi")
+    marked = stage(marked, "marked")  # texts are counted once for the fit and the scores
     train = _train(marked).drop("split")
     train_labels = langs.join(_train(parts).select("comment_id"), "comment_id", "left_semi")
     model = bayes.fit_bayes(train, train_labels, "lang", n_terms=vocabulary.table.count())
     test = marked.where("split = 'test'").drop("split")
     ids = parts.where("split = 'test'").join(langs, "comment_id", "left_semi")
-    best = bayes.predict_bayes(model, test, "lang", digits=6, ids=ids)
-    scores = bayes.bayes_scores(model, test, "lang", ids=ids).withColumnRenamed("lang", "prediction")
+    scored = stage(bayes.bayes_scores(model, test, "lang", ids=ids), "scores")
+    best = bayes.best_classes(scored, "lang", digits=6)
+    scores = scored.withColumnRenamed("lang", "prediction")
     return best.join(scores, ["comment_id", "prediction"]).withColumn("score", F.round("score", 4))
 
 
