@@ -1,5 +1,6 @@
 """Trees, forests and boosting over sparse features, grown level by level from histograms.
 
+Train rows are stored as blocks whose cells are sorted by column and bin, so that sums are added up without sorting.
 A level of all trees that grow together is one job: tasks sum statistics per (tree, node, column, bin) over the cells
 that are there, one shuffle brings the sums of a column together as arrays, and each part merges them as they come and
 returns its best split per node. The rows that lack a column are the node's total less what the column's cells hold, so
@@ -14,18 +15,24 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumloom.operators.skew import HOT_SHARE, fits_broadcast, join_lookup
 from forumloom.session import ship_package, stage
 
 CELLS_PER_TASK = 1 << 20
-"""Cells of train rows that one task sums up for a level."""
+"""Most cells in a block of train rows."""
 
-BROADCAST_NUMBERS = 8_000_000
-"""Most numbers in a broadcast table of bin boundaries."""
+BINS_AT_ONCE = 1 << 21
+"""Sums of a tree's nodes, bins and labels that a task adds up in one array."""
+
+TREES_PER_PART = 4
+"""Whole trees whose sums a part takes."""
+
+MAX_SPLITS = 10_000
+"""Most splits of parts that the driver compares; of more, tasks take the best per node first."""
 
 REFRESH = 20
 """Boosting rounds after which the scores of the train rows are stored."""
@@ -33,7 +40,8 @@ REFRESH = 20
 MIDDLE, SPAN = 1 << 9, 1 << 10
 """Bins are numbered from the one that holds zero; these shift them into whole codes."""
 
-_ROWS = "row long, label double, margin array<double>, columns array<int>, bins array<int>"
+_PIECES = "part int, block long, kind string, a binary, b binary, c binary"
+_BLOCKS = "row binary, label binary, margin binary, codes binary, starts binary, at binary"
 _SUMS = "part int, codes binary, sums binary"
 _SPLITS = "tree int, node int, gain double, column int, bin int, left array<double>, right array<double>"
 
@@ -58,62 +66,222 @@ def vector_cells(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.nd
     return row[there], column[there], value[there]
 
 
-def _exploded(df: DataFrame) -> DataFrame:
-    """``(row, column, value)`` from ``(row, features)``."""
+def cuts_of(column: np.ndarray, value: np.ndarray, max_bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Column and boundary, sorted, from all cells of some columns sorted by column and value.
+
+    Boundaries stand half way between the values of a column, zero among them. All values count where a column has
+    at most ``max_bins``; others give their quantiles.
+    """
+    if not len(column):
+        return column, value
+    fresh = np.concatenate([[True], column[1:] != column[:-1]])
+    first, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    distinct = fresh | np.concatenate([[True], value[1:] != value[:-1]])
+    n, d = np.bincount(group), np.bincount(group, distinct)
+    listed = distinct & (d[group] <= max_bins)
+    many = np.flatnonzero(d > max_bins)
+    rank = np.maximum(np.ceil(np.arange(max_bins + 1) / max_bins * n[many][:, None]), 1).astype(np.int64) - 1
+    owner = np.concatenate([group[listed], np.repeat(many, max_bins + 1), np.arange(len(first))])
+    points = np.concatenate([value[listed], value[first[many][:, None] + rank].ravel(), np.zeros(len(first))])
+    order = np.lexsort((points, owner))
+    owner, points = owner[order], points[order]
+    kept = np.concatenate([[True], (owner[1:] != owner[:-1]) | (points[1:] != points[:-1])])
+    owner, points = owner[kept], points[kept]
+    pair = np.flatnonzero(owner[1:] == owner[:-1])
+    return column[first][owner[pair]], points[pair] + (points[pair + 1] - points[pair]) / 2
+
+
+def bins_of(column: np.ndarray, value: np.ndarray, cut_column: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Boundaries of its column below each value, less those below zero."""
+    is_cut = np.concatenate([np.zeros(len(column), bool), np.ones(len(cut), bool)])
+    both, at = np.concatenate([column, cut_column]), np.concatenate([value, cut])
+    order = np.lexsort((is_cut, at, both))  # a value stands before a boundary that equals it
+    below = np.empty(len(order), np.int64)
+    below[order] = np.cumsum(is_cut[order])
+    before = np.searchsorted(cut_column, column)
+    negative = np.concatenate([[0], np.cumsum(cut < 0)])
+    return below[: len(column)] - before - (negative[np.searchsorted(cut_column, column, "right")] - negative[before])
+
+
+def fit_cuts(cells: DataFrame, max_bins: int = 32) -> DataFrame:
+    """``(column, cuts)`` from cells ``(column, value)``, the cells of a column read by one task."""
+    ship_package(cells.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[np.asarray(batch.column(c)) for c in ("column", "value")] for batch in batches]
+        if held:
+            column, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((value, column))
+            yield _cut_lists(*cuts_of(column[order], value[order], max_bins))
+
+    parted = cells.select(F.col("column").cast("int").alias("column"), F.col("value").cast("double").alias("value"))
+    return parted.repartition("column").mapInArrow(run, "column int, cuts array<double>")
+
+
+def _cut_lists(column: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
+    own, starts = np.unique(column, return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(cut)).astype(np.int32)), pa.array(cut, pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), lists], ["column", "cuts"])
+
+
+def _arrays(kind: str, *arrays: np.ndarray) -> dict:
+    """A row of ``_PIECES`` but for its block and part."""
+    return {"kind": kind} | {name: x.tobytes() for name, x in zip(("a", "b", "c"), arrays, strict=True)}
+
+
+def _pieces(rows: list[dict]) -> pa.RecordBatch:
+    kinds = [("part", pa.int32()), ("block", pa.int64()), ("kind", pa.string()), *[(x, pa.binary()) for x in "abc"]]
+    return pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+
+
+@dataclass(frozen=True)
+class Packing:
+    """Rows become blocks of about ``cells`` cells: a piece per part of the columns, and one with rows and labels."""
+
+    cells: int
+    parts: int
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            row, column, value = vector_cells(batch.column("features"))
-            rows = np.asarray(batch.column("row"))[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(column.astype(np.int32)), pa.array(value)], ["row", "column", "value"]
-            )
+            held = _offsets(batch.column("features").field("values"))
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(int(np.searchsorted(held, held[begin] + self.cells, "right")) - 1, begin + 1)
+                yield self._packed(batch.slice(begin, end - begin), block)
+                block, begin = block + 1, end
+
+    def _packed(self, batch: pa.RecordBatch, block: int) -> pa.RecordBatch:
+        at, column, value = vector_cells(pa.concat_arrays([batch.column("features")]))
+        lists = _by_part(column, self.parts)
+        cells = [_arrays("cells", column[x].astype(np.int64), value[x], at[x].astype(np.int32)) for x in lists]
+        rows, labels = (np.asarray(batch.column(c)) for c in ("row", "label"))
+        head = {"part": block % self.parts, "block": block} | _arrays("rows", rows.astype(np.int64), labels.astype(np.float64), np.zeros(0))
+        return _pieces([head, *[{"part": p, "block": block} | x for p, x in enumerate(cells) if x["a"]]])
+
+
+def _by_part(column: np.ndarray, parts: int) -> list[np.ndarray]:
+    """Positions of each part's columns, in order."""
+    if parts == 1:
+        return [np.arange(len(column))]
+    part = column % parts
+    part = part.astype(np.uint16) if parts < 1 << 16 else part  # few parts are sorted by their digits
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    return [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    return df.select("row", "features").mapInArrow(run, "row long, column int, value double")
 
+@dataclass(frozen=True)
+class Binning:
+    """Finds the boundaries of a part's columns and puts bins in place of values."""
 
-def fit_cuts(cells: DataFrame, max_bins: int = 32) -> DataFrame:
-    """``(column, cuts)``: boundaries half way between the values of a column, zero among them.
+    max_bins: int
 
-    All values count where a column has at most ``max_bins``; others give their quantiles. Distinct values are
-    counted per task before they are shuffled; a column with very many is an aggregate of sketches.
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            for piece in batch.to_pylist():
+                if piece["kind"] == "rows":
+                    yield _pieces([piece])
+                    continue
+                if piece["part"] != current and held:
+                    yield from self._binned(held)
+                    held = []
+                current = piece["part"]
+                held.append(piece)
+        if held:
+            yield from self._binned(held)
+
+    def _binned(self, held: list[dict]) -> Iterator[pa.RecordBatch]:
+        column = np.concatenate([np.frombuffer(x["a"], np.int64) for x in held])
+        value = np.concatenate([np.frombuffer(x["b"], np.float64) for x in held])
+        order = np.lexsort((value, column))
+        cut_column, cut = cuts_of(column[order], value[order], self.max_bins)
+        bins = bins_of(column, value, cut_column, cut)
+        yield _pieces([{"part": held[0]["part"], "block": -1} | _arrays("cuts", cut_column, cut, np.zeros(0))])
+        ends = np.cumsum([len(x["a"]) // 8 for x in held])
+        for piece, own in zip(held, np.split(bins, ends[:-1]), strict=True):
+            yield _pieces([piece | {"b": own.astype(np.int64).tobytes()}])
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with their cells sorted by column, bin and row."""
+    current, held = None, []
+    for batch in batches:
+        for piece in batch.to_pylist():
+            if piece["block"] != current and held:
+                yield _block(held)
+                held = []
+            current = piece["block"]
+            held.append(piece)
+    if held:
+        yield _block(held)
+
+
+def _block(held: list[dict]) -> pa.RecordBatch:
+    head = next(x for x in held if x["kind"] == "rows")
+    cells = [x for x in held if x["kind"] == "cells"]
+    column, bins = (np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x[c], np.int64) for x in cells]]) for c in "ab")
+    at = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(x["c"], np.int32) for x in cells]])
+    code = column * SPAN + bins + MIDDLE
+    order = np.lexsort((at, code))
+    codes, starts = np.unique(code[order], return_index=True)
+    arrays = [head["a"], head["b"], b"", codes.tobytes(), np.append(starts, len(at)).astype(np.int64).tobytes(), at[order].tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in arrays], [c.split()[0] for c in _BLOCKS.split(", ")])
+
+
+def _binned(train: DataFrame, label: str, max_bins: int) -> tuple[DataFrame, DataFrame, int]:
+    """Blocks of train rows with binned cells, the table of boundaries, both stored once, and the width.
+
+    The cells of a part of the columns meet in one task, as arrays: it finds the boundaries and sends bins back to the
+    blocks. There are no rows per cell, and no table of boundaries is sent to the tasks.
     """
-    pairs = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    sizes = stage(pairs.groupBy("column").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")), "columns")
-    few, many = sizes.where(F.col("d") <= max_bins).select("column"), sizes.where(F.col("d") > max_bins)
-    hot = many.where(F.col("n") * HOT_SHARE > sizes.agg(F.sum("n")).scalar()).select("column")
-    listed = pairs.join(few, "column").groupBy("column").agg(F.collect_list("value").alias("v"))
-    shares = [i / max_bins for i in range(max_bins + 1)]
-    sketch = join_lookup(cells.select("column", "value"), many.select("column"), ["column"], hot=hot)
-    sketch = sketch.groupBy("column").agg(F.percentile_approx("value", shares, 10_000).alias("v"))
-    points = listed.unionByName(sketch).withColumn("v", F.array_sort(F.array_distinct(F.concat("v", F.array(F.lit(0.0))))))
-    middle = F.zip_with(
-        F.slice("v", 1, F.size("v") - 1), F.slice("v", 2, F.size("v") - 1), lambda a, b: a + (b - a) / 2
-    )
-    return points.select("column", middle.alias("cuts"))
-
-
-def _binned(train: DataFrame, label: str, max_bins: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """Train rows with binned cells, and the table of boundaries; both stored once."""
     rows = train.select(F.col("features"), F.col(label).cast("double").alias("label"))
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "tree-rows")
-    cells = _exploded(rows)
-    cuts = stage(fit_cuts(cells, max_bins), "cuts")
-    if fits_broadcast(cuts, BROADCAST_NUMBERS // max_bins):
-        joined = cells.join(F.broadcast(cuts), "column")
-    else:
-        joined = join_lookup(cells, cuts, ["column"])
-    below = lambda x: F.size(F.filter("cuts", lambda c: c < x))
-    binned = joined.select("row", F.struct("column", (below(F.col("value")) - below(F.lit(0.0))).alias("bin")).alias("c"))
-    packed = binned.groupBy("row").agg(F.sort_array(F.collect_list("c")).alias("c"))
-    empty = F.array().cast("array<int>")
-    wide = rows.select("row", "label").join(packed, "row", "left").select(
-        "row", "label", F.array().cast("array<double>").alias("margin"),
-        F.coalesce("c.column", empty).alias("columns"), F.coalesce("c.bin", empty).alias("bins"),
-    )
-    total = cells.count()
-    parts = max(1, -(-total // CELLS_PER_TASK))
-    return stage(wide.repartition(parts), "binned"), cuts
+    widest, sizes = F.arrow_udf(widths, "long"), F.arrow_udf(_sizes, "long")
+    width, total = rows.agg(F.coalesce(F.max(widest("features")), F.lit(0)), F.coalesce(F.sum(sizes("features")), F.lit(0))).first()
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    cells = max(min(CELLS_PER_TASK, -(-total // cores)), 1)
+    parts = max(1, -(-total // cells))
+    packed = rows.select("row", "label", "features").mapInArrow(Packing(cells, parts).run, _PIECES)
+    binned = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(Binning(max_bins).run, _PIECES)
+    pieces = stage(binned, "pieces")
+    blocks = pieces.where("block >= 0").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_assembled, _BLOCKS)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in batch.to_pylist():
+                yield _cut_lists(np.frombuffer(piece["a"], np.int64), np.frombuffer(piece["b"], np.float64))
+
+    cuts = pieces.where("block < 0").mapInArrow(listed, "column int, cuts array<double>")
+    return stage(blocks, "binned"), stage(cuts, "cuts"), int(width) or 1
+
+
+class Cells:
+    """A block of rows whose cells are found by column and bin."""
+
+    def __init__(self, n: int, codes: np.ndarray, starts: np.ndarray, at: np.ndarray, width: int):
+        self.n, self.codes, self.starts, self.at, self.width = n, codes, starts, at, width
+        self.columns, self.first = np.unique(codes // SPAN, return_index=True)
+        self.code = np.repeat(np.arange(len(codes)), np.diff(starts))
+
+    def walk(self, column: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+        """The node of each tree (first axis) in which each row ends; a bin above ``at`` goes right."""
+        found = np.zeros((len(column), self.n), np.int64)
+        for node, split, last in zip(found, column, at, strict=True):
+            for level in range(depth):
+                own = [i for i in range(2**level - 1, 2 ** (level + 1) - 1) if split[i] >= 0]
+                if not own:
+                    continue
+                right = 0 > last[node]
+                for i in own:
+                    low, high = np.searchsorted(self.codes, [split[i] * SPAN, (split[i] + 1) * SPAN])
+                    cells = slice(self.starts[low], self.starts[high])
+                    rows = self.at[cells]
+                    here = node[rows] == i
+                    right[rows[here]] = (self.codes[self.code[cells][here]] % SPAN - MIDDLE) > last[i]
+                node[:] = np.where(split[node] >= 0, 2 * node + 1 + right, node)
+        return found
 
 
 class Block:
@@ -259,39 +427,83 @@ class Growth:
 
     def sums(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from self._sums(*read_rows(batch, self.width))
-
-    def _sums(self, block: Block, row: np.ndarray, label: np.ndarray, margin: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(batch.num_rows):
+                held, n = [], 0
+                for found in self._sums(*read_block(batch, i, self.width)):
+                    held.append(found)
+                    n += len(found[0])
+                    if n >= CELLS_PER_TASK:
+                        yield from self._parted(held)
+                        held, n = [], 0
+                yield from self._parted(held)
+
+    def _parted(self, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The sums of some trees as a row per part, with the totals of their nodes in each."""
+        if not held:
+            return
+        codes, sums, totals, over = (np.concatenate(x) for x in zip(*held, strict=True))
+        lists = _by_part(block_column(codes, self.target.n_labels, self.width), self.parts)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(self.parts, dtype=np.int32)),
+                pa.array([np.concatenate([totals, codes[x]]).tobytes() for x in lists], pa.binary()),
+                pa.array([np.concatenate([over, sums[x]]).tobytes() for x in lists], pa.binary()),
+            ],
+            ["part", "codes", "sums"],
+        )
+
+    def _sums(self, block: Cells, row: np.ndarray, label: np.ndarray, margin: np.ndarray) -> Iterator[tuple]:
+        """Codes and sums of each tree's cells and of its nodes."""
         where = block.walk(self.trees.column, self.trees.at, self.trees.depth)
-        size = self.trees.column.shape[1]
+        size, n_labels = self.trees.column.shape[1], self.target.n_labels
         for t, (counted, stat, values) in enumerate(self.target.parts(block, row, label, margin, len(where))):
-            node = where[t]
-            counted = counted & self.live[t][node]
-            if not counted.any():
+            nodes = np.flatnonzero(self.live[t])
+            number = np.full(size, -1)
+            number[nodes] = np.arange(len(nodes))
+            place = np.where(counted, number[where[t]], -1)
+            rows = np.flatnonzero(place >= 0)
+            if not len(rows):
                 continue
-            cells = counted[block.row]
-            if self.share < 1:
-                cells = cells & (_uniform(t, node[block.row], block.column, self.seed) < self.share)
-            cells = np.flatnonzero(cells)
-            at = block.row[cells]
-            code = ((t * size + node[at]) * (self.width + 1) + block.column[cells] + 1) * SPAN + block.value[cells] + MIDDLE
-            rows = np.flatnonzero(counted)
-            whole = (t * size + node[rows]) * (self.width + 1) * SPAN  # column 0 holds the totals of the nodes
-            codes, sums = _summed(code * self.target.n_labels + stat[at], values[:, at])
-            totals, over = _summed(whole * self.target.n_labels + stat[rows], values[:, rows])
-            part = block_column(codes, self.target.n_labels, self.width) % self.parts
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
-            lists = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(self.parts, dtype=np.int32)),
-                    pa.array([np.concatenate([totals, codes[x]]).tobytes() for x in lists], pa.binary()),
-                    pa.array([np.concatenate([over, sums[x]]).tobytes() for x in lists], pa.binary()),
-                ],
-                ["part", "codes", "sums"],
-            )
+            whole = (t * size + where[t][rows]) * (self.width + 1) * SPAN  # column 0 holds the totals of the nodes
+            totals, over = _summed(whole * n_labels + stat[rows], values[:, rows])
+            found = list(self._cell_sums(t, block, nodes, place, stat, values))
+            codes = np.concatenate([np.zeros(0, np.int64), *[x for x, _ in found]])
+            yield codes, np.concatenate([np.zeros((0, len(values))), *[x for _, x in found]]), totals, over
+
+    def _cell_sums(self, t: int, block: Cells, nodes, place, stat, values) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Sums by node, column, bin and label, added up in arrays of a bounded number of bins at a time."""
+        size, n_labels = self.trees.column.shape[1], self.target.n_labels
+        n_codes = len(block.codes)
+        tried = None
+        if self.share < 1:  # by node and column; the bins of a column are neighbours
+            tried = _uniform(t, nodes[:, None], block.columns[None, :], self.seed) < self.share
+            columns = np.flatnonzero(tried.any(axis=0))
+            column_of = np.repeat(np.arange(len(block.columns)), np.diff(np.append(block.first, n_codes)))
+            used = np.flatnonzero(tried.any(axis=0)[column_of]) if len(columns) < len(block.columns) else np.arange(n_codes)
+        else:
+            used = np.arange(n_codes)
+        step = max(1, BINS_AT_ONCE // (len(nodes) * n_labels))
+        for begin in range(0, len(used), step):
+            some = used[begin : begin + step]
+            low, high = block.starts[some], block.starts[some + 1]
+            if some[-1] - some[0] + 1 == len(some):
+                cells = np.arange(low[0], high[-1])
+            else:
+                cells = np.repeat(high - np.cumsum(high - low), high - low) + np.arange((high - low).sum())
+            at, own = block.at[cells], np.repeat(np.arange(len(some)), high - low)
+            node = place[at]
+            here = node >= 0
+            if tried is not None:
+                here &= tried[node, column_of[some][own]]
+            at, own, node = at[here], own[here], node[here]
+            key = (node * len(some) + own) * n_labels + stat[at]
+            n = len(nodes) * len(some) * n_labels
+            added = [np.bincount(key, v[at], n) for v in values]
+            there = np.flatnonzero(added[0] > 0)  # the first statistic is the weight of the rows
+            group, label = np.divmod(there, n_labels)
+            node, own = np.divmod(group, len(some))
+            code = (t * size + nodes[node]) * (self.width + 1) * SPAN + block.codes[some[own]] + SPAN
+            yield code * n_labels + label, np.stack([x[there] for x in added], axis=1)
 
 
 def block_column(codes: np.ndarray, n_labels: int, width: int) -> np.ndarray:
@@ -307,14 +519,13 @@ def _summed(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found, np.stack([np.bincount(inverse, v, len(found)) for v in values], axis=1)
 
 
-def read_rows(batch: pa.RecordBatch, width: int) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
-    offsets = _offsets(batch.column("columns"))
-    row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-    column = np.asarray(batch.column("columns").flatten(), np.int64)
-    block = Block(batch.num_rows, row, column, np.asarray(batch.column("bins").flatten(), np.int64), width)
-    margin = np.asarray(batch.column("margin").flatten(), np.float64)
-    margin = margin.reshape(batch.num_rows, -1) if len(margin) else margin
-    return block, np.asarray(batch.column("row")), np.asarray(batch.column("label")), margin
+def read_block(batch: pa.RecordBatch, i: int, width: int) -> tuple[Cells, np.ndarray, np.ndarray, np.ndarray]:
+    """Cells, rows, labels and margins of the ``i``-th block of a batch."""
+    kinds = {"row": np.int64, "label": np.float64, "margin": np.float64, "codes": np.int64, "starts": np.int64, "at": np.int32}
+    found = {c: np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in kinds.items()}
+    n, margin = len(found["row"]), found["margin"]
+    block = Cells(n, found["codes"], found["starts"], found["at"], width)
+    return block, found["row"], found["label"], margin.reshape(n, -1) if len(margin) else margin
 
 
 # Splits ----------------------------------------------------------------------------------------------
@@ -429,13 +640,13 @@ def grow(
     rows: DataFrame, width: int, target: ClassCounts | Residuals, n_trees: int, depth: int, share: float = 1.0, seed: int = 42,
     min_rows: float = 1.0,
 ) -> Trees:
-    """Grow trees together, one job per level. The driver gets one row per node of the level."""
+    """Grow trees together, one job per level. The driver gets one row per node of the level, or ``MAX_SPLITS`` at most."""
     n_stats = target.n_labels if target.gini else 3
     trees = Trees.roots(n_trees, depth, n_stats)
     live = np.zeros(trees.column.shape, bool)
     live[:, 0] = True
     maps = rows.rdd.getNumPartitions()
-    parts = maps * max(1, int(n_trees * share)) if maps > 1 else 1  # sums per part stay alike for more trees
+    parts = maps * max(1, int(n_trees * share) // TREES_PER_PART) if maps > 1 else 1  # sums per part stay alike for more trees
     for _ in range(depth):
         sums = rows.mapInArrow(Growth(trees, live, target, width, parts, share, seed).sums, _SUMS)
         if parts > 1:
@@ -443,7 +654,7 @@ def grow(
         search = Search(target.n_labels, live.shape[1], width, target.gini, min_rows)
         rank = F.struct("gain", (-F.col("column")).alias("c"), (-F.col("bin")).alias("b"), "left", "right").alias("s")
         found = sums.mapInArrow(search.run, _SPLITS).select("tree", "node", rank)
-        if parts > 1:
+        if parts * live.sum() > MAX_SPLITS:
             found = found.groupBy("tree", "node").agg(F.max("s").alias("s"))
         following = np.zeros_like(live)
         chosen: dict[tuple[int, int], tuple] = {}
@@ -527,10 +738,11 @@ class TreeModel:
 
 def _prepared(train: DataFrame, label: str, max_bins: int) -> tuple[DataFrame, DataFrame, int]:
     ship_package(train.sparkSession)
-    widest = F.arrow_udf(widths, "long")
-    width = int(train.agg(F.coalesce(F.max(widest("features")), F.lit(0))).first()[0]) or 1
-    rows, cuts = _binned(train, label, max_bins, width)
-    return rows, cuts, width
+    return _binned(train, label, max_bins)
+
+
+def _sizes(vectors: pa.Array) -> pa.Array:
+    return vectors.field("values").value_lengths()
 
 
 def widths(vectors: pa.Array) -> pa.Array:
@@ -538,8 +750,20 @@ def widths(vectors: pa.Array) -> pa.Array:
     return pa.array(np.maximum(sizes, np.diff(_offsets(vectors.field("values")))))
 
 
+def _labels(rows: DataFrame) -> DataFrame:
+    """``(label, n)`` per block and label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                label, n = np.unique(np.frombuffer(batch.column("label")[i].as_buffer(), np.float64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(n.astype(np.int64))], ["label", "n"])
+
+    return rows.select("label").mapInArrow(run, "label double, n long")
+
+
 def _n_classes(rows: DataFrame) -> int:
-    return int(rows.agg(F.coalesce(F.max("label"), F.lit(0.0))).first()[0]) + 1
+    return int(_labels(rows).agg(F.coalesce(F.max("label"), F.lit(0.0))).first()[0]) + 1
 
 
 def tree_classifier(train: DataFrame, max_depth: int = 5, max_bins: int = 32, min_rows: int = 1, label: str = "label") -> TreeModel:
@@ -594,12 +818,12 @@ def forest_regression(
 def _boosted(train, rounds, max_depth, learning_rate, max_bins, min_rows, label, classes, refresh) -> TreeModel:
     rows, cuts, width = _prepared(train, label, max_bins)
     if classes:
-        counts = {int(r.label): r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # one per class
+        counts = {int(r.label): r.n for r in _labels(rows).groupBy("label").agg(F.sum("n").alias("n")).collect()}  # one per class
         outputs = max(counts, default=0) + 1
         total = max(sum(counts.values()), 1)
         start = np.log(np.array([max(counts.get(k, 0), 1e-9) for k in range(outputs)]) / total)
     else:
-        outputs, start = 1, np.array([rows.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0]])
+        outputs, start = 1, np.array([train.agg(F.coalesce(F.avg(label), F.lit(0.0))).first()[0]])
     target, made = Residuals(start, classes), []
     for turn in range(rounds):
         trees = grow(rows, width, target, outputs, max_depth, min_rows=min_rows)
@@ -626,14 +850,13 @@ def _boosted(train, rounds, max_depth, learning_rate, max_bins, min_rows, label,
 def _rescored(rows: DataFrame, target: Residuals, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                block, _, _, margin = read_rows(batch, width)
-                score = target.scores(block, margin).T
-                offsets = pa.array(np.arange(len(score) + 1) * score.shape[1], pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(score).ravel()))
-                yield batch.set_column(batch.schema.get_field_index("margin"), "margin", lists)
-
-    return rows.mapInArrow(run, _ROWS)
+            scores = []
+            for i in range(batch.num_rows):
+                block, _, _, margin = read_block(batch, i, width)
+                scores.append(np.ascontiguousarray(target.scores(block, margin).T).tobytes())
+            yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(scores, pa.binary()))
+
+    return rows.mapInArrow(run, _BLOCKS)
 
 
 def boosted_classifier(

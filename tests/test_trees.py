@@ -178,3 +178,19 @@ def test_many_values_are_cut_at_quantiles(spark):
     df = spark.range(n).select(F.lit(3).alias("column"), ((F.col("id") - n / 4) / 7).alias("value"))
     cuts = np.array(trees.fit_cuts(df, 16).first()["cuts"])
     assert 14 <= len(cuts) <= 17 and (np.diff(cuts) > 0).all() and (cuts < 0).sum() in range(3, 6)
+
+
+def test_blocks_use_every_core_and_hold_exact_bins(spark):
+    """A small input is a block per core, its bins counted from the boundaries that the same pass found."""
+    x, y = data(8, n=200)
+    blocks, cuts, width = trees._binned(frame(spark, x, y).withColumn("label", F.col("i").cast("double")), "label", 4)
+    assert blocks.count() >= spark.sparkContext.defaultParallelism and width == WIDTH
+    of = {r.column: np.array(r.cuts) for r in cuts.collect()}
+    found = set()
+    for batch in blocks.toArrow().to_batches():
+        for i in range(batch.num_rows):
+            block, _, label, _ = trees.read_block(batch, i, width)
+            column, bins = np.divmod(block.codes[block.code], trees.SPAN)
+            found |= {(int(label[a]), int(c), int(b) - trees.MIDDLE) for a, c, b in zip(block.at, column, bins, strict=True)}
+    cells = ((i, 1009 * c + 3, v) for i, r in enumerate(x) for c, v in enumerate(r) if v)
+    assert found == {(i, c, int((of[c] < v).sum()) - int((of[c] < 0).sum())) for i, c, v in cells}
