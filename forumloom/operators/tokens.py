@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,11 +19,14 @@ from forumloom.functions import tokens as K
 from forumloom.operators.order import with_positions
 from forumloom.operators.skew import collect_if_small, fits_broadcast, join_lookup
 from forumloom.schema import FORUM, KEY, TEXT
-from forumloom.session import stage
+from forumloom.session import ship_package, stage
 
 MAX_WORD_LIST = 10_000
 MAX_MAPPING, MAX_MAPPING_BYTES = 500_000, 16 << 20
 
+CHUNK_BYTES, CHUNKS_PER_TASK = 8 << 20, 1 << 20
+"""Text whose distinct tokens travel together to a large mapping, and the most such chunks of a task."""
+
 CACHED_STEMS = 200_000
 """Stems that a task remembers; words beyond them are stemmed once a batch."""
 
@@ -107,15 +111,66 @@ def map_tokens(
 
     Serves lemmas and stem dictionaries alike. A mapping of checked size goes to the tasks, where the tokens of a
     batch of rows are looked up together and put back as arrays, so no row moves and no row is made per token. With a
-    larger one tokens are joined, the frequent ones spread out.
+    larger one the distinct tokens of a chunk of rows are joined, not their occurrences, and the rows of a chunk meet
+    their own small mapping: a text moves once.
     """
     lookup = mapping.select(F.col(source).alias("_token"), F.col(target).alias("_to")).where("_token IS NOT NULL")
     small = collect_if_small(lookup, MAX_MAPPING, MAX_MAPPING_BYTES)
-    if small is not None:
-        return _map_in_rows(docs, small, text)
-    joined = join_lookup(_carried_tokens(docs, text), lookup, ["_token"], "left")
-    mapped = joined.withColumn("_keep", F.col("_token") != "").withColumn("_token", F.coalesce("_to", "_token"))
-    return _texts_again(mapped, docs, text)
+    return _map_in_rows(docs, small, text) if small is not None else _map_in_chunks(docs, lookup, text)
+
+
+def _map_in_chunks(docs: DataFrame, lookup: DataFrame, text: str) -> DataFrame:
+    ship_package(docs.sparkSession)
+    numbered = stage(chunked(docs, text), "chunks")  # written once: a retried task must not number its rows anew
+    wanted = numbered.select("_chunk", "_tokens").mapInArrow(distinct_tokens, "_chunk long, _token string")
+    found = wanted.join(lookup.where("_to IS NOT NULL").dropDuplicates(["_token"]), "_token")  # a chunk names a token once: none is hot
+    kind = docs.schema
+
+    def mapped(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+        known, becomes = (pairs.column(c).combine_chunks() for c in ("_token", "_to"))
+        tokens = rows.column("_tokens").combine_chunks()
+        new = pc.binary_join(_looked_up(tokens, known, becomes), " ")
+        return pa.table([new if name == text else rows.column(name) for name in kind.names], kind.names)
+
+    return numbered.groupBy("_chunk").cogroup(found.select("_chunk", "_token", "_to").groupBy("_chunk")).applyInArrow(mapped, kind)
+
+
+def chunked(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with their tokens in place of the text, and the number of a chunk of about ``CHUNK_BYTES`` of text."""
+
+    @F.arrow_udf("long")
+    def chunk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        before = TaskContext.get().partitionId() * CHUNKS_PER_TASK * CHUNK_BYTES
+        for sizes in batches:
+            upto = before + np.cumsum(np.asarray(sizes.fill_null(0)))
+            yield pa.array(np.concatenate([[before], upto[:-1]]) // CHUNK_BYTES)
+            before = int(upto[-1]) if len(upto) else before
+
+    others = [name for name in docs.columns if name != text]
+    tokens = F.when(F.col(text).isNotNull(), K.whitespace_tokens(F.col(text)))
+    numbered = docs.withColumn("_chunk", chunk((F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 64).cast("long")))
+    return numbered.select("_chunk", *others, tokens.alias("_tokens"))
+
+
+def distinct_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each token once per chunk of a batch."""
+    for batch in batches:
+        chunk = np.asarray(batch.column("_chunk"))
+        starts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else []
+        for begin, end in zip(starts, [*starts[1:], len(chunk)], strict=True):
+            token = pc.unique(batch.column("_tokens").slice(begin, end - begin).flatten())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), chunk[begin])), token], ["_chunk", "_token"])
+
+
+def _looked_up(tokens: pa.ListArray, known: pa.Array, becomes: pa.Array) -> pa.ListArray:
+    """Lists of tokens with those in ``known`` replaced, missing lists kept."""
+    flat = tokens.flatten()
+    if len(known):
+        found = becomes.take(pc.index_in(flat, value_set=known.cast(flat.type)))
+        flat = pc.coalesce(found.cast(flat.type), flat)
+    sizes = np.asarray(tokens.value_lengths().fill_null(0))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(np.asarray(tokens.is_null()), False))
+    return pa.ListArray.from_arrays(offsets, flat)
 
 
 def _map_in_rows(docs: DataFrame, mapping: pa.Table, text: str) -> DataFrame:
