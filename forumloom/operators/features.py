@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 from forumloom.functions import tokens as K
 from forumloom.operators.order import with_positions
 from forumloom.operators.skew import HOT_SHARE, collect_if_small, fits_broadcast, join_lookup
+from forumloom.operators.tokens import chunked, distinct_tokens
 from forumloom.schema import KEY, TEXT
-from forumloom.session import ship_package
+from forumloom.session import ship_package, stage
 
 MAX_BROADCAST_TERMS = 500_000
 MAX_BROADCAST_FLOATS = 20_000_000
@@ -437,8 +438,13 @@ def document_vectors(docs: DataFrame, vectors: DataFrame, key: str = KEY, text:
 
     A document without tokens has the zero vector.
 
-    Tokens are counted per document before the join, and vectors are summed per task before the shuffle.
+    A table of checked size is broadcast, and tokens are counted per document before they meet it. Of a larger one a
+    chunk of rows gets the vectors of its distinct tokens, so vectors do not travel per occurrence.
     """
+    width = vectors.agg(F.max(F.size("vector"))).first()[0] or 1
+    known = vectors.select("token", "vector")
+    if not fits_broadcast(known, MAX_BROADCAST_FLOATS // width):
+        return _means_in_chunks(docs.select(key, text), known, width, key, text)
     whitespace = docs.select(key, F.sort_array(K.whitespace_tokens(F.col(text))).alias("_s"))
     runs = whitespace.select(key, "_s", _run_starts(F.col("_s")).alias("_starts"))
     counts = runs.select(
@@ -453,12 +459,7 @@ def document_vectors(docs: DataFrame, vectors: DataFrame, key: str = KEY, text:
             )
         ),
     )
-    width = vectors.agg(F.max(F.size("vector"))).first()[0] or 1
-    known = vectors.select("token", "vector")
-    if fits_broadcast(known, MAX_BROADCAST_FLOATS // width):
-        joined = counts.join(F.broadcast(known), "token", "left")
-    else:
-        joined = join_lookup(counts, known, ["token"], "left")
+    joined = counts.join(F.broadcast(known), "token", "left")
     zero = F.array_repeat(F.lit(0.0), width)
     vector = array_to_vector(F.coalesce(F.col("vector").cast("array<double>"), zero))
     summed = joined.select(key, F.coalesce("n", F.lit(1.0)).alias("n"), vector.alias("_v")).groupBy(key).agg(
@@ -467,6 +468,34 @@ def document_vectors(docs: DataFrame, vectors: DataFrame, key: str = KEY, text:
     return summed.select(key, vector_to_array("_mean").alias("vector"))
 
 
+def _means_in_chunks(docs: DataFrame, known: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    ship_package(docs.sparkSession)
+    numbered = stage(chunked(docs, text), "chunks")  # written once: a retried task must not number its rows anew
+    wanted = numbered.select("_chunk", "_tokens").mapInArrow(distinct_tokens, "_chunk long, _token string")
+    wanted = wanted.join(known.select(F.col("token").alias("_token"), "vector"), "_token")  # a chunk names a token once: none is hot
+    kind = T.StructType([docs.schema[key], T.StructField("n", T.DoubleType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def means(rows: pa.Table, vectors: pa.Table) -> pa.Table:
+        tokens, names = rows.column("_tokens").combine_chunks(), vectors.column("_token").combine_chunks()
+        sizes = np.asarray(tokens.value_lengths().fill_null(0), np.int64)
+        lists = vectors.column("vector").combine_chunks()
+        matrix = np.asarray(lists.flatten().fill_null(0), np.float64).reshape(-1, width)  # a name per row
+        flat = tokens.flatten()
+        place = np.asarray(pc.index_in(flat, value_set=names.cast(flat.type)).fill_null(-1)) if len(names) else np.full(len(flat), -1)
+        out = np.zeros((len(sizes), width))
+        ends = np.cumsum(sizes)
+        for i in np.flatnonzero(sizes):
+            own = place[ends[i] - sizes[i] : ends[i]]
+            out[i] = matrix[own[own >= 0]].sum(axis=0) / sizes[i]
+        offsets = pa.array((np.arange(len(sizes) + 1) * width).astype(np.int32))
+        vector = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+        return pa.table([rows.column(key), pa.array(np.maximum(sizes, 1).astype(np.float64)), vector], kind.names)
+
+    found = numbered.groupBy("_chunk").cogroup(wanted.groupBy("_chunk")).applyInArrow(means, kind)
+    whole = found.groupBy(key).agg(Summarizer.mean(array_to_vector("v"), F.col("n")).alias("_mean"))  # ids may repeat
+    return whole.select(key, vector_to_array("_mean").alias("vector"))
+
+
 # Scaling ---------------------------------------------------------------------------------------------
 
 
