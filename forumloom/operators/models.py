@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forumloom.operators.least_squares import ridge_classifier
+from forumloom.operators.network import perceptron
 from forumloom.operators.trees import (
     ada_boost,
     boosted_classifier,
@@ -149,15 +150,6 @@ def sgd_classifier(train: DataFrame, loss: str = "hinge", alpha: float = 1e-4, *
     raise ValueError(f"unknown loss: {loss}")
 
 
-def perceptron(train: DataFrame, hidden: tuple[int, ...] = (100,), **params):
-    """Feed-forward network; input and output widths come from the data."""
-    width = len(train.select("features").first()[0])
-    classes = int(train.agg(F.max("label")).first()[0]) + 1
-    return C.MultilayerPerceptronClassifier(**{"layers": [width, *hidden, classes], "seed": 42, "maxIter": 200, **params}).fit(
-        train
-    )
-
-
 CLASSIFIERS = {
     "ada_boost": ada_boost,
     "boosted_trees": boosted_classifier,
