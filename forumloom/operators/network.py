@@ -1,8 +1,8 @@
 """Spark's multi-layer perceptron fitted over sparse rows.
 
 Spark's own fit keeps every train row as a dense vector, 8 bytes a feature whatever the row holds. Here the train rows are
-stored once as blocks of cells on the executors' disks, and a pass makes one block at a time dense, over the columns that
-occur in it. Initial weights, blocks, objective, optimiser and the fitted model are Spark's.
+stored once as blocks of cells on the executors' disks, and a pass makes a few blocks at a time dense; a wide block is dense
+over the columns that occur in it alone. Initial weights, blocks, objective, optimiser and the fitted model are Spark's.
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ SEARCH = 10
 ENOUGH, FLATTER = 1e-4, 0.9
 """The strong Wolfe conditions: decrease and slope that end a line search."""
 
+DENSE = 1 << 21
+"""Most numbers of blocks that are made dense together; a block alone may have more."""
+
+_KINDS = (np.int32, np.int32, np.int32, np.float64, np.int64)
 _BLOCKS = "labels binary, sizes binary, places binary, cells binary, columns binary"
 
 Weights = np.ndarray
@@ -90,13 +94,35 @@ def _layers(flat: np.ndarray, layers: list[int]) -> list[tuple[np.ndarray, np.nd
     return found
 
 
-def _add_block(block: list[bytes], weights: list, gradient: list) -> float:
-    """Adds the gradient of the block's mean loss to ``gradient`` and returns that loss."""
-    labels, sizes, places = (np.frombuffer(x, np.int32) for x in block[:3])
-    values, columns = np.frombuffer(block[3]), np.frombuffer(block[4], np.int64)
-    n = len(labels)
-    x = np.zeros((n, len(columns)))
-    x[np.repeat(np.arange(n), sizes), places] = values
+def _stacks(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
+    """Consecutive blocks that are made dense together: labels, shares, dense rows and which columns those are."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for block in zip(*batch.columns, strict=True):
+        arrays = [np.frombuffer(x.as_buffer(), kind) for x, kind in zip(block, _KINDS, strict=True)]
+        if held and (rows + len(arrays[0])) * width > DENSE:
+            yield _stacked(held, width)
+            held, rows = [], 0
+        held.append(arrays)
+        rows += len(arrays[0])
+    if held:
+        yield _stacked(held, width)
+
+
+def _stacked(blocks: list[list[np.ndarray]], width: int) -> tuple:
+    labels, sizes, places, values, columns = ([*x] for x in zip(*blocks, strict=True))
+    alone = len(blocks) == 1
+    place = places[0] if alone else np.concatenate([c[p] for c, p in zip(columns, places, strict=True)])
+    size, n = np.concatenate(sizes), sum(map(len, labels))
+    x = np.zeros((n, len(columns[0]) if alone else width))
+    x[np.repeat(np.arange(n), size), place] = np.concatenate(values)
+    share = np.concatenate([np.full(len(y), 1 / len(y)) for y in labels])
+    return np.concatenate(labels), share, x, columns[0] if alone else slice(0, width)
+
+
+def _add(labels: np.ndarray, share: np.ndarray, x: np.ndarray, columns: np.ndarray | slice, weights: list, gradient: list) -> float:
+    """Adds the gradient of the rows' losses times their shares to ``gradient`` and returns their sum."""
+    rows = np.arange(len(labels))
     outputs, own = [x], [(weights[0][0][columns], weights[0][1]), *weights[1:]]
     for k, (w, b) in enumerate(own, 1):
         z = outputs[-1] @ w + b
@@ -107,9 +133,9 @@ def _add_block(block: list[bytes], weights: list, gradient: list) -> float:
                 outputs.append(1 / (1 + np.exp(-z)))
     delta = outputs.pop()
     with np.errstate(divide="ignore"):
-        loss = -np.log(delta[np.arange(n), labels]).sum() / n
-    delta[np.arange(n), labels] -= 1
-    delta /= n
+        loss = -float(share @ np.log(delta[rows, labels]))
+    delta[rows, labels] -= 1
+    delta *= share[:, None]
     for k in range(len(own) - 1, -1, -1):
         inputs, (w, b) = outputs[k], gradient[k]
         b += delta.sum(axis=0)
@@ -128,8 +154,8 @@ def loss_and_gradient(blocks: DataFrame, weights: Weights, layers: list[int], n_
     def part(batch: pa.RecordBatch) -> np.ndarray:
         total = np.zeros(len(shared.value) + 1)
         own, gradient = _layers(shared.value, layers), _layers(total, layers)
-        for block in zip(*batch.columns, strict=True):
-            total[-1] += _add_block([x.as_buffer() for x in block], own, gradient)
+        for stack in _stacks(batch, layers[0]):
+            total[-1] += _add(*stack, own, gradient)
         return total
 
     try:
