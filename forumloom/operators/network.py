@@ -58,6 +58,8 @@ def _packed(batch: pa.RecordBatch, width: int, classes: int) -> pa.RecordBatch:
     if (np.asarray(widths(vectors)) != width).any():
         raise ValueError(f"features are not all {width} wide")
     row, column, value = vector_cells(vectors)
+    if ((np.diff(row) == 0) & (np.diff(column) <= 0)).any():
+        raise ValueError("columns of a vector repeat")
     columns, place = np.unique(column, return_inverse=True)
     arrays = (labels.astype(np.int32), np.bincount(row, minlength=len(labels)).astype(np.int32), place.astype(np.int32), value, columns)
     return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], [f.split()[0] for f in _BLOCKS.split(", ")])

@@ -1,9 +1,10 @@
 """The perceptron over sparse blocks equals Spark's dense fit, without giving Spark's fit the train rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import classification as C
-from pyspark.ml.linalg import DenseVector, SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
 from pyspark.sql import types as T
 
 from forumloom.operators import models, network
@@ -23,12 +24,12 @@ def table(spark, n=70, width=30, classes=3, parts=3):
 
 def test_sparks_fit_meets_one_row_and_the_result_is_the_same(spark, monkeypatch):
     df = table(spark)
-    expected = C.MultilayerPerceptronClassifier(layers=[30, 5, 4, 3], seed=42, maxIter=6, blockSize=16).fit(df)
+    expected = C.MultilayerPerceptronClassifier(layers=[30, 5, 4, 3], seed=42, maxIter=4, blockSize=16).fit(df)
     met, fit = [], C.MultilayerPerceptronClassifier._fit
     monkeypatch.setattr(C.MultilayerPerceptronClassifier, "_fit", lambda self, rows: met.append(rows.count()) or fit(self, rows))
-    model = models.fit("perceptron", df, hidden=(5, 4), maxIter=6, blockSize=16)
+    model = models.fit("perceptron", df, hidden=(5, 4), maxIter=4, blockSize=16)
     assert np.allclose(model.weights.toArray(), expected.weights.toArray(), atol=1e-9)
-    assert model.getMaxIter() == 6 and not model.hasSummary
+    assert model.getMaxIter() == 4 and not model.hasSummary
     judged, known = ({r.id: r.prediction for r in m.transform(df).collect()} for m in (model, expected))
     assert judged == known
     assert max(met) == 1  # all of it is kept dense
@@ -57,11 +58,38 @@ def test_blocks_hold_the_cells_of_a_partitions_rows_in_order(spark, at_once):
     assert sum(len(x) for b in blocks for x in b) <= 20 * cells + 8 * 45  # nothing as wide as the features
 
 
-@pytest.mark.parametrize("odd", [(None, 1.0), (Vectors.dense([1.0, 2.0]), 0.5), (Vectors.dense([1.0, 2.0]), None), (Vectors.dense([1.0]), 0.0)])
-def test_rows_that_cannot_be_fitted_are_an_error(spark, odd):
-    rows = [(0, Vectors.dense([0.0, 1.0]), 0.0), (1, Vectors.dense([1.0, 0.0]), 1.0), (2, *odd)]
-    with pytest.raises(Exception, match="perceptron needs features|features are not all"):
-        models.fit("perceptron", spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), SCHEMA), hidden=(2,), maxIter=2)
+def _record(vectors, labels):
+    kinds = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+    return pa.RecordBatch.from_arrays([pa.array(vectors, kinds), pa.array(labels, pa.float64())], ["features", "label"])
+
+
+def _sparse(size, indices):
+    return {"type": 0, "size": size, "indices": indices, "values": [1.0] * len(indices)}
+
+
+def test_rows_that_cannot_be_fitted_are_an_error():
+    good = _sparse(4, [1, 3])
+    assert len(network._packed(_record([good, _sparse(4, [])], [0.0, 1.0]), 4, 2)) == 1
+    for vector, label in [(None, 1.0), (good, 0.5), (good, None), (good, 2.0), (good, -1.0), (_sparse(3, [1]), 0.0), (_sparse(4, [1, 1]), 0.0)]:
+        with pytest.raises(ValueError):
+            network._packed(_record([good, vector], [0.0, label]), 4, 2)
+
+
+def test_blocks_made_dense_together_or_alone_add_up_to_the_same(monkeypatch):
+    draw, parts = np.random.default_rng(3), []
+    for n in (5, 5, 2):
+        rows = [_sparse(9, np.sort(draw.choice(9, 3, replace=False)).tolist()) for _ in range(n)]
+        parts.append(network._packed(_record(rows, draw.integers(0, 3, n).astype(float)), 9, 3))
+    layers, found = [9, 4, 3], []
+    weights = draw.normal(size=9 * 4 + 4 + 4 * 3 + 3)
+    for dense in (1 << 21, 9 * 10, 1):
+        monkeypatch.setattr(network, "DENSE", dense)
+        total = np.zeros(len(weights))
+        stacks = [*network._stacks(pa.concat_batches(parts), 9)]
+        loss = sum(network._add(*s, network._layers(weights, layers), network._layers(total, layers)) for s in stacks)
+        found.append((len(stacks), np.append(total, loss)))
+    assert [n for n, _ in found] == [1, 2, 3]
+    assert all(np.allclose(x, found[0][1], atol=1e-12) for _, x in found)
 
 
 def test_the_optimiser_ends_where_nothing_falls():
