@@ -1,10 +1,14 @@
 """Trees, forests and boosting over sparse features, grown level by level from histograms.
 
 Train rows are stored as blocks whose cells are sorted by column and bin, so that sums are added up without sorting.
-A level of all trees that grow together is one job: tasks sum statistics per (tree, node, column, bin) over the cells
-that are there, one shuffle brings the sums of a column together as arrays, and each part merges them as they come and
-returns its best split per node. The rows that lack a column are the node's total less what the column's cells hold, so
-no cell is ever made for a zero and the width of the features does not matter. The driver holds the trees alone.
+A level of all trees that grow together is one job. The rows that lack a column are the node's total less what the
+column's cells hold, so no cell is ever made for a zero and the width of the features does not matter.
+
+Up to ``ROWS_HELD`` numbers of rows a block has all cells of some columns, and tasks know the node of every row. Each finds
+the best splits of its own columns and says which rows go right, as bits: a level is a job without a shuffle, and cells
+are passed over where a bound on the gain shows that their column cannot win. The driver holds the trees and a few numbers
+a row. Of more rows a block has some rows with all their cells: tasks sum statistics per (tree, node, column, bin), a shuffle
+brings the sums of a column together, each part returns its best split per node, and the driver holds the trees alone.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import RDD, Broadcast, StorageLevel, TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +39,23 @@ MAX_SPLITS = 10_000
 """Most splits of parts that the driver compares; of more, tasks take the best per node first."""
 
 REFRESH = 20
-"""Boosting rounds after which the scores of the train rows are stored."""
+"""Boosting rounds after which the scores of the train rows are stored, where the driver does not hold them."""
+
+ROWS_HELD = 1 << 24
+"""Most numbers (rows times outputs, 8 bytes each) that the driver and every task hold of the train rows."""
+
+NODES_SENT = 1 << 25
+"""Most nodes of rows that are sent to the tasks at once, a byte each; trees beyond that grow later."""
+
+LEADERS = 64
+"""Columns of a block that are tried first, for a gain that the others must be able to reach."""
 
 MIDDLE, SPAN = 1 << 9, 1 << 10
 """Bins are numbered from the one that holds zero; these shift them into whole codes."""
 
 _PIECES = "part int, block long, kind string, a binary, b binary, c binary"
 _BLOCKS = "row binary, label binary, margin binary, codes binary, starts binary, at binary"
+_COLUMNS = "codes binary, starts binary, at binary, column binary, cut binary"
 _SUMS = "part int, codes binary, sums binary"
 _SPLITS = "tree int, node int, gain double, column int, bin int, left array<double>, right array<double>"
 
@@ -103,6 +117,20 @@ def bins_of(column: np.ndarray, value: np.ndarray, cut_column: np.ndarray, cut:
     return below[: len(column)] - before - (negative[np.searchsorted(cut_column, column, "right")] - negative[before])
 
 
+def sorted_bins(column: np.ndarray, value: np.ndarray, cut_column: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """As ``bins_of``, of cells sorted by column and value."""
+    before = np.searchsorted(cut_column, column)
+    negative = np.concatenate([[0], np.cumsum(cut < 0)])
+    below = np.searchsorted(_pairs(cut_column, cut), _pairs(column, value))  # pairs are ordered by column, then value
+    return below - before - (negative[np.searchsorted(cut_column, column, "right")] - negative[before])
+
+
+def _pairs(column: np.ndarray, value: np.ndarray) -> np.ndarray:
+    found = np.empty(len(column), np.complex128)
+    found.real, found.imag = column, value
+    return found
+
+
 def fit_cuts(cells: DataFrame, max_bins: int = 32) -> DataFrame:
     """``(column, cuts)`` from cells ``(column, value)``, the cells of a column read by one task."""
     ship_package(cells.sparkSession)
@@ -136,10 +164,14 @@ def _pieces(rows: list[dict]) -> pa.RecordBatch:
 
 @dataclass(frozen=True)
 class Packing:
-    """Rows become blocks of about ``cells`` cells: a piece per part of the columns, and one with rows and labels."""
+    """Rows become blocks of about ``cells`` cells: a piece per part of the columns, and one with rows and labels.
+
+    With ``firsts``, the number of the first row of each partition, cells name rows by their number among all.
+    """
 
     cells: int
     parts: int
+    firsts: dict[int, int] | None = None
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -154,12 +186,22 @@ class Packing:
     def _packed(self, batch: pa.RecordBatch, block: int) -> pa.RecordBatch:
         at, column, value = vector_cells(pa.concat_arrays([batch.column("features")]))
         lists = _by_part(column, self.parts)
-        cells = [_arrays("cells", column[x].astype(np.int64), value[x], at[x].astype(np.int32)) for x in lists]
         rows, labels = (np.asarray(batch.column(c)) for c in ("row", "label"))
+        if self.firsts is not None:
+            at = row_numbers(rows, self.firsts)[at]
+            cells = [_arrays("cells", column[x].astype(np.int32), value[x], at[x].astype(np.int32)) for x in lists]
+            return _pieces([{"part": p, "block": block} | x for p, x in enumerate(cells) if x["a"]])
+        cells = [_arrays("cells", column[x].astype(np.int64), value[x], at[x].astype(np.int32)) for x in lists]
         head = {"part": block % self.parts, "block": block} | _arrays("rows", rows.astype(np.int64), labels.astype(np.float64), np.zeros(0))
         return _pieces([head, *[{"part": p, "block": block} | x for p, x in enumerate(cells) if x["a"]]])
 
 
+def row_numbers(rows: np.ndarray, firsts: dict[int, int]) -> np.ndarray:
+    """Numbers from 0 of rows with Spark's increasing ids."""
+    known, first = (np.array(x, np.int64) for x in zip(*sorted(firsts.items()), strict=True))
+    return first[np.searchsorted(known, rows >> 33)] + (rows & ((1 << 33) - 1))
+
+
 def _by_part(column: np.ndarray, parts: int) -> list[np.ndarray]:
     """Positions of each part's columns, in order."""
     if parts == 1:
@@ -230,19 +272,33 @@ def _block(held: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in arrays], [c.split()[0] for c in _BLOCKS.split(", ")])
 
 
+def _stored(train: DataFrame, label: str) -> DataFrame:
+    """Train rows stored once, with ids and labels."""
+    rows = train.select(F.col("features"), F.col(label).cast("double").alias("label"))
+    return stage(rows.withColumn("row", F.monotonically_increasing_id()), "tree-rows")
+
+
+def _extent(rows: DataFrame) -> tuple[int, int, int]:
+    """Width of the features, most cells of a block and parts of the columns: one per core at least."""
+    widest, sizes = F.arrow_udf(widths, "long"), F.arrow_udf(_sizes, "long")
+    width, total = rows.agg(F.coalesce(F.max(widest("features")), F.lit(0)), F.coalesce(F.sum(sizes("features")), F.lit(0))).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    cells = max(min(CELLS_PER_TASK, -(-total // cores)), 1)
+    return int(width) or 1, cells, max(1, -(-total // cells))
+
+
 def _binned(train: DataFrame, label: str, max_bins: int) -> tuple[DataFrame, DataFrame, int]:
-    """Blocks of train rows with binned cells, the table of boundaries, both stored once, and the width.
+    """Blocks of train rows with binned cells, the table of boundaries, both stored once, and the width."""
+    return _row_blocks(_stored(train, label), max_bins)
+
+
+def _row_blocks(rows: DataFrame, max_bins: int) -> tuple[DataFrame, DataFrame, int]:
+    """As ``_binned``, of stored rows.
 
     The cells of a part of the columns meet in one task, as arrays: it finds the boundaries and sends bins back to the
     blocks. There are no rows per cell, and no table of boundaries is sent to the tasks.
     """
-    rows = train.select(F.col("features"), F.col(label).cast("double").alias("label"))
-    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "tree-rows")
-    widest, sizes = F.arrow_udf(widths, "long"), F.arrow_udf(_sizes, "long")
-    width, total = rows.agg(F.coalesce(F.max(widest("features")), F.lit(0)), F.coalesce(F.sum(sizes("features")), F.lit(0))).first()
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    cells = max(min(CELLS_PER_TASK, -(-total // cores)), 1)
-    parts = max(1, -(-total // cells))
+    width, cells, parts = _extent(rows)
     packed = rows.select("row", "label", "features").mapInArrow(Packing(cells, parts).run, _PIECES)
     binned = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(Binning(max_bins).run, _PIECES)
     pieces = stage(binned, "pieces")
@@ -254,7 +310,42 @@ def _binned(train: DataFrame, label: str, max_bins: int) -> tuple[DataFrame, Dat
                 yield _cut_lists(np.frombuffer(piece["a"], np.int64), np.frombuffer(piece["b"], np.float64))
 
     cuts = pieces.where("block < 0").mapInArrow(listed, "column int, cuts array<double>")
-    return stage(blocks, "binned"), stage(cuts, "cuts"), int(width) or 1
+    return stage(blocks, "binned"), stage(cuts, "cuts"), width
+
+
+@dataclass(frozen=True)
+class ColumnBinning:
+    """Finds the boundaries of a part's columns and makes a block of their cells, sorted by column, value and row."""
+
+    max_bins: int
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            for part, a, b, c in zip(*(batch.column(x) for x in ("part", "a", "b", "c")), strict=True):
+                if part.as_py() != current and held:
+                    yield self._block(held)
+                    held = []
+                current = part.as_py()
+                held.append((np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(b.as_buffer()), np.frombuffer(c.as_buffer(), np.int32)))
+        if held:
+            yield self._block(held)
+
+    def _block(self, held: list[tuple]) -> pa.RecordBatch:
+        column, value, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, value, column))
+        column, value, at = column[order].astype(np.int64), value[order], at[order]
+        cut_column, cut = cuts_of(column, value, self.max_bins)
+        code = column * SPAN + sorted_bins(column, value, cut_column, cut) + MIDDLE
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        arrays = (code[starts], np.append(starts, len(code)).astype(np.int64), at, cut_column, cut)
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], [c.split()[0] for c in _COLUMNS.split(", ")])
+
+
+def _listed_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for column, cut in zip(batch.column("column"), batch.column("cut"), strict=True):
+            yield _cut_lists(np.frombuffer(column.as_buffer(), np.int64), np.frombuffer(cut.as_buffer(), np.float64))
 
 
 class Cells:
@@ -360,6 +451,16 @@ class ClassCounts:
         for weight in self.weights(block, row, label, n_trees):
             yield weight > 0, label.astype(np.int64), weight[None, :]
 
+    def drawn(self, t: int, row: np.ndarray, label: np.ndarray, given: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Weight and label of each row in a tree; ``given`` are weights."""
+        weight = np.ones(len(row)) if given is None else given
+        if self.bootstrap:
+            weight = np.searchsorted(_POISSON, _uniform(row, t, self.seed)).astype(np.float64)
+        return weight, label.astype(np.int64)
+
+    def statistics(self, rows: np.ndarray, weight: np.ndarray, value: np.ndarray) -> np.ndarray:
+        return np.bincount(value[rows], weight[rows], self.n_classes)
+
 
 @dataclass(frozen=True)
 class Residuals:
@@ -393,6 +494,15 @@ class Residuals:
             size = np.abs(residual)
             yield everyone, none, np.stack([one, residual, size * (1 - size)])
 
+    def drawn(self, t: int, row: np.ndarray, label: np.ndarray, given: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Weight and value of each row in a tree; ``given`` are the residuals of every tree."""
+        return np.ones(len(row)), given[t]
+
+    def statistics(self, rows: np.ndarray, weight: np.ndarray, value: np.ndarray) -> np.ndarray:
+        own, value = weight[rows], value[rows]
+        size = np.abs(value)
+        return np.array([own.sum(), (own * value).sum(), (size * (1 - size)).sum() if self.classes else own.sum()])
+
 
 def softmax(score: np.ndarray) -> np.ndarray:
     e = np.exp(score - score.max(axis=0))
@@ -674,6 +784,327 @@ def grow(
     return trees
 
 
+# Blocks of columns ------------------------------------------------------------------------------------
+
+
+class Columns:
+    """All train cells of some columns, sorted by column and bin; rows go by their number among all."""
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray, at: np.ndarray):
+        self.codes, self.starts, self.at = codes, starts, at
+        column = codes // SPAN
+        self.first = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
+        self.column, self.ends = column[self.first], np.append(self.first[1:], len(codes))
+        self.cells = starts[self.ends] - starts[self.first]
+
+    def right(self, column: int, last: int, n: int) -> np.ndarray:
+        """Which of ``n`` rows have a bin above ``last``."""
+        found = np.full(n, 0 > last)
+        low, high = np.searchsorted(self.codes, [column * SPAN, (column + 1) * SPAN])
+        above = low + int(np.searchsorted(self.codes[low:high], column * SPAN + MIDDLE + last, "right"))
+        found[self.at[self.starts[low] : self.starts[above]]] = False
+        found[self.at[self.starts[above] : self.starts[high]]] = True
+        return found
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray | slice:
+    """The numbers of all ranges, one after the other."""
+    if len(low) and (low[1:] == high[:-1]).all():
+        return slice(int(low[0]), int(high[-1]))
+    sizes = high - low
+    return np.repeat(high - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+
+
+@dataclass
+class Found:
+    """The best split of a node so far: gains are compared to ten digits, equal ones go to the smallest column and bin."""
+
+    gain: float = -1.0
+    column: int = -1
+    bin: int = 0
+    block: Columns | None = None
+
+    def better(self, gain: float, column: int, last: int) -> bool:
+        return (gain, -column, -last) > (self.gain, -self.column, -self.bin) if gain > 0 else False
+
+
+class Level:
+    """The rows of one tree in the nodes that are to be split, and the best splits that its blocks have shown.
+
+    ``sums`` are statistics of the rows that a gain needs: with ``gini`` a row counts by its label, else weight and
+    weighted value.
+    """
+
+    def __init__(self, node: np.ndarray, nodes: np.ndarray, weight: np.ndarray, value: np.ndarray, n_labels: int, gini: bool, min_rows: float):
+        number = np.full(int(max(node.max(initial=0), nodes.max(initial=0))) + 2, -1)  # the last one: rows of no node
+        number[nodes] = np.arange(len(nodes))
+        self.place, self.nodes, self.gini, self.min_rows = number[node], nodes, gini, min_rows
+        self.place[weight <= 0] = -1
+        self.n_labels, self.weight, self.value = n_labels, weight, value
+        there = self.place >= 0
+        self.everywhere = len(nodes) == 1 and bool(there.all())
+        place, self.plain = self.place[there], bool((weight[there] == 1).all())
+        if gini:
+            key = place * n_labels + value[there]
+            self.total = np.bincount(key, weight[there], len(nodes) * n_labels).reshape(len(nodes), n_labels)
+            self.size = self.total.sum(axis=1)
+            share = self.total / np.where(self.size > 0, self.size, 1)[:, None]
+            apart = 1 - 2 * share[place, value[there]] + (share * share).sum(axis=1)[place]
+        else:
+            sums = [np.bincount(place, x, len(nodes)) for x in (weight[there], weight[there] * value[there])]
+            self.total, self.size = np.stack(sums, axis=1), sums[0]
+            apart = (value[there] - (sums[1] / np.where(sums[0] > 0, sums[0], 1))[place]) ** 2
+        self.apart = np.zeros(len(weight))
+        self.apart[there] = weight[there] * apart
+        self.heaviest = float(weight[there].max(initial=0))
+        self.found = [Found() for _ in nodes]
+
+    def search(self, block: Columns, tried: np.ndarray | None) -> None:
+        """Compares the splits of a block's columns; ``tried`` says which columns (second axis) a node tries."""
+        some = np.arange(len(block.column)) if tried is None else np.flatnonzero(tried.any(axis=0))
+        for apart in (False, True)[: len(self.nodes)]:  # all nodes together show which columns need a look at each node
+            if len(some) <= 4 * LEADERS:
+                break
+            reach, weight = self._reach(block, some, apart)
+            each = LEADERS // len(reach) + 1
+            leaders = np.unique(np.argpartition(-reach, each, axis=1)[:, :each])
+            self._compare(block, some[leaders], tried)
+            least, left = np.array([x.gain for x in self.found])[:, None], self.size[:, None] - weight
+            able = ((left <= 0) | (reach * (1 + 1e-9) >= (least - 1e-9) * left)).any(axis=0)
+            able[leaders] = False
+            some = some[able]
+        self._compare(block, some, tried)
+
+    def _reach(self, block: Columns, some: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances from the mean of their node, and weights, of some columns' cells in each node, or bounds in all.
+
+        A side S of any split lies within the cells of its column, and a split gains at most the squared distances in S times
+        W / (W - W_S), by the inequality of Cauchy and Schwarz: what cannot reach the best gain so far need not be summed.
+        """
+        if not apart:
+            return np.add.reduceat(self.apart[block.at], block.starts[block.first])[None, some], self.heaviest * block.cells[None, some]
+        n, m = len(some), len(self.nodes)
+        at = block.at[_ranges(block.starts[block.first[some]], block.starts[block.ends[some]])]
+        key = (np.where(self.place >= 0, self.place, m) * n)[at] + np.repeat(np.arange(n), block.cells[some])
+        sums = [np.bincount(key, x, (m + 1) * n) for x in (self.apart[at], None if self.plain else self.weight[at])]
+        return tuple(x.reshape(m + 1, n)[:m] for x in sums)
+
+    def _compare(self, block: Columns, some: np.ndarray, tried: np.ndarray | None) -> None:
+        """In lots whose sums stay below ``BINS_AT_ONCE``."""
+        most = max(1, BINS_AT_ONCE // (len(self.nodes) * self.n_labels))
+        codes = np.cumsum(block.ends[some] - block.first[some])
+        begin = 0
+        while begin < len(some):
+            end = max(int(np.searchsorted(codes, (codes[begin - 1] if begin else 0) + most, "right")), begin + 1)
+            self._lot(block, some[begin:end], tried)
+            begin = end
+
+    def _sums(self, block: Columns, codes: np.ndarray | slice) -> list[np.ndarray]:
+        """Sums of nodes and codes: of each label, or weights and weighted values."""
+        low, high = block.starts[:-1][codes], block.starts[1:][codes]
+        n, sizes = len(low), high - low
+        at = block.at[_ranges(low, high)]
+        if self.everywhere and not self.gini:
+            begin = np.cumsum(sizes) - sizes
+            weight = sizes.astype(np.float64) if self.plain else np.add.reduceat(self.weight[at], begin)
+            value = self.value if self.plain else self.weight * self.value
+            return [weight[None, :], np.add.reduceat(value[at], begin)[None, :]]
+        m = len(self.nodes)
+        offset = np.where(self.place >= 0, self.place, m) * n  # rows of no node are added up apart
+        key = offset[at] + np.repeat(np.arange(n), sizes)
+        if self.gini:
+            label = self.value * ((m + 1) * n)
+            key += label[at]
+            sums = np.bincount(key, None if self.plain else self.weight[at], (m + 1) * n * self.n_labels)
+            return list(sums.reshape(self.n_labels, m + 1, n)[:, :m].astype(np.float64))
+        value = self.value if self.plain else self.weight * self.value
+        found = [np.bincount(key, None if self.plain else self.weight[at], (m + 1) * n), np.bincount(key, value[at], (m + 1) * n)]
+        return [x.reshape(m + 1, n)[:m].astype(np.float64) for x in found]
+
+    def _score(self, sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a side, and its sum of squared sums per row."""
+        if not self.gini:
+            return sums[0], sums[1] * sums[1] / sums[0]
+        n, top = sums[0].copy(), sums[0] * sums[0]
+        for x in sums[1:]:
+            n += x
+            top += x * x
+        return n, top / n
+
+    def _gains(self, left: list[np.ndarray]) -> np.ndarray:
+        right = [t[:, None] - x for t, x in zip(self.total.T, left, strict=True)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            (n_left, s_left), (n_right, s_right) = self._score(left), self._score(right)
+            whole = self._score([t[:, None] for t in self.total.T])[1]
+            gain = np.round((s_left + s_right - whole) / self.size[:, None], 10)
+        gain[~((n_left >= self.min_rows) & (n_right >= self.min_rows) & (n_left > 0) & (n_right > 0))] = -1.0
+        return gain
+
+    def _lot(self, block: Columns, some: np.ndarray, tried: np.ndarray | None) -> None:
+        codes = _ranges(block.first[some], block.ends[some])
+        sums = self._sums(block, codes)
+        bins = block.codes[codes] % SPAN - MIDDLE
+        sizes = block.ends[some] - block.first[some]
+        first = np.cumsum(sizes) - sizes
+        negative = np.add.reduceat((bins < 0).astype(np.int64), first)
+        run = [np.concatenate([np.zeros((len(x), 1)), np.cumsum(x, axis=1)], axis=1) for x in sums]
+        zero = [t[:, None] - (r[:, first + sizes] - r[:, first]) for t, r in zip(self.total.T, run, strict=True)]
+        none = np.abs(sum(zero) if self.gini else zero[0]) < 1e-9
+        for x in zero:
+            x[none] = 0
+        # the rows without the column stand between a column's bins below zero and the others
+        halves = np.stack([negative, sizes - negative], axis=1).ravel()
+        left, between = [], []
+        for r, z in zip(run, zero, strict=True):
+            shift = np.stack([-r[:, first], z - r[:, first]], axis=2).reshape(len(r), -1)
+            left.append(r[:, 1:] + np.repeat(shift, halves, axis=1))
+            between.append(r[:, first + negative] - r[:, first] + z)
+        gain, apart = self._gains(left), self._gains(between)
+        own = np.zeros(len(some), bool)  # columns with cells in the bin of zero: those go left with the rows without the column
+        low = first + negative
+        own[negative < sizes] = bins[low[negative < sizes]] == 0
+        apart[:, own] = -1.0
+        if tried is not None:
+            here = tried[:, some]
+            apart[~here] = -1.0
+            gain[~np.repeat(here, sizes, axis=1)] = -1.0
+        column = block.column[some]
+        at, zero_at = gain.argmax(axis=1), apart.argmax(axis=1)
+        of = np.searchsorted(first, at, "right") - 1
+        for k, best in enumerate(self.found):
+            for g, c, b in ((gain[k, at[k]], column[of[k]], bins[at[k]]), (apart[k, zero_at[k]], column[zero_at[k]], 0)):
+                if best.better(float(g), int(c), int(b)):
+                    best.gain, best.column, best.bin, best.block = float(g), int(c), int(b), block
+
+
+def read_columns(row: tuple) -> Columns:
+    return Columns(*[np.frombuffer(x, kind) for x, kind in zip(row, (np.int64, np.int64, np.int32), strict=True)])
+
+
+@dataclass
+class Held:
+    """Train rows for fits whose driver and tasks know a few numbers of every row: blocks of columns, ids and labels by number."""
+
+    blocks: RDD
+    cuts: DataFrame
+    width: int
+    row: np.ndarray
+    label: np.ndarray
+    shared: Broadcast
+
+    def release(self) -> None:
+        self.blocks.unpersist()
+        self.shared.destroy()
+
+
+def _column_blocks(rows: DataFrame, max_bins: int) -> Held:
+    """The cells of a part of the columns meet in one task, which finds the boundaries and keeps them as a block."""
+    spark = rows.sparkSession
+    width, cells, parts = _extent(rows)
+    table = rows.select("row", "label").toArrow()  # bounded: the caller has counted the rows
+    row, label = (np.asarray(table.column(c).combine_chunks()) for c in ("row", "label"))
+    order = np.argsort(row, kind="stable")
+    row, label = row[order].astype(np.int64), label[order].astype(np.float64)
+    partition, first = np.unique(row >> 33, return_index=True)
+    firsts = dict(zip(partition.tolist(), first.tolist(), strict=True))
+    packed = rows.select("row", "label", "features").mapInArrow(Packing(cells, parts, firsts).run, _PIECES)
+    binned = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(ColumnBinning(max_bins).run, _COLUMNS)
+    found = stage(binned, "columns")
+    cuts = found.select("column", "cut").mapInArrow(_listed_cuts, "column int, cuts array<double>")
+    cores = spark.sparkContext.defaultParallelism
+    blocks = found.select("codes", "starts", "at").repartition(cores).rdd.map(lambda r: (bytes(r[0]), bytes(r[1]), bytes(r[2])))
+    return Held(blocks.persist(StorageLevel.MEMORY_AND_DISK), cuts, width, row, label, spark.sparkContext.broadcast((row, label)))
+
+
+@dataclass(frozen=True)
+class Splitting:
+    """What tasks need to split a level over blocks of columns: the growth, the shared rows, their nodes and the round's numbers."""
+
+    growth: Growth
+    shared: Broadcast
+    node: Broadcast
+    given: Broadcast | None
+    min_rows: float
+    first: int = 0
+
+    def run(self, blocks: Iterator[tuple]) -> Iterator[tuple]:
+        """Per tree and node the best split of the task's columns: gain, column, bin, statistics of both sides, rows going right."""
+        row, label = self.shared.value
+        target, live = self.growth.target, self.growth.live
+        given = None if self.given is None else self.given.value
+        node = self.node.value
+        held = [read_columns(x) for x in blocks]
+        for t in range(len(node)):
+            nodes = np.flatnonzero(live[t])
+            if not len(nodes):
+                continue
+            weight, value = target.drawn(self.first + t, row, label, given)
+            level = Level(node[t], nodes, weight, value, target.n_labels, target.gini, self.min_rows)
+            for block in held:
+                tried = None
+                if self.growth.share < 1:
+                    tried = _uniform(self.first + t, nodes[:, None], block.column[None, :], self.growth.seed) < self.growth.share
+                level.search(block, tried)
+            yield from self._splits(t, level)
+
+    def _splits(self, t: int, level: Level) -> Iterator[tuple]:
+        target, node = self.growth.target, self.node.value[t]
+        for k, best in zip(level.nodes, level.found, strict=True):
+            rows = np.flatnonzero(node == k)
+            counted = level.weight[rows] > 0
+            if best.block is None:
+                whole = target.statistics(rows[counted], level.weight, level.value)
+                yield t, int(k), -2.0, 1, 0, whole, np.zeros_like(whole), b""
+                continue
+            right = best.block.right(best.column, best.bin, len(node))[rows]
+            sides = [target.statistics(rows[counted & x], level.weight, level.value) for x in (~right, right)]
+            yield t, int(k), best.gain, -best.column, -best.bin, *sides, np.packbits(right).tobytes()
+
+
+def grow_held(
+    held: Held, target: ClassCounts | Residuals, n_trees: int, depth: int, share: float = 1.0, seed: int = 42, min_rows: float = 1.0,
+    given: np.ndarray | None = None,
+) -> tuple[Trees, np.ndarray]:
+    """As ``grow``, over blocks of columns, and the node in which each row ends; ``given`` are numbers of the rows for the target.
+
+    More trees than ``NODES_SENT`` allows grow one lot after the other.
+    """
+    together = max(1, NODES_SENT // max(len(held.row), 1))
+    numbers = None if given is None else held.blocks.context.broadcast(given)
+    lots = [_grown(held, target, min(together, n_trees - i), i, depth, share, seed, min_rows, numbers) for i in range(0, n_trees, together)]
+    if numbers is not None:
+        numbers.destroy()
+    return _joined([trees for trees, _ in lots]), np.concatenate([node for _, node in lots])
+
+
+def _grown(held: Held, target, n_trees: int, first: int, depth: int, share: float, seed: int, min_rows: float, given) -> tuple[Trees, np.ndarray]:
+    trees = Trees.roots(n_trees, depth, target.n_labels if target.gini else 3)
+    live = np.zeros(trees.column.shape, bool)
+    live[:, 0] = True
+    node = np.zeros((n_trees, len(held.row)), np.min_scalar_type(-live.shape[1]))
+    for _ in range(depth):
+        growth = Growth(trees, live, target, held.width, 1, share, seed)
+        sent = held.blocks.context.broadcast(node)
+        found: dict[tuple[int, int], tuple] = {}
+        for split in held.blocks.mapPartitions(Splitting(growth, held.shared, sent, given, min_rows, first).run).collect():
+            found[split[:2]] = max(found.get(split[:2], split), split, key=lambda x: x[2:5])
+        sent.destroy()
+        live = np.zeros_like(live)
+        for (t, k), (_, _, gain, column, last, left, right, bits) in found.items():
+            trees.stats[t, k] = left + right
+            if gain > 0:
+                trees.column[t, k], trees.at[t, k] = -column, -last
+                rows = np.flatnonzero(node[t] == k)
+                goes = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(rows))
+                node[t, rows] = 2 * k + 1 + goes
+                for child, stats in ((2 * k + 1, left), (2 * k + 2, right)):
+                    trees.stats[t, child] = stats
+                    live[t, child] = True
+        if not live.any():
+            break
+    return trees, node
+
+
 # Models ----------------------------------------------------------------------------------------------
 
 
@@ -736,9 +1167,26 @@ class TreeModel:
         return judged.withColumn("prediction", first.cast("double")).withColumn("probability", array_to_vector("_s")).drop("_s")
 
 
-def _prepared(train: DataFrame, label: str, max_bins: int) -> tuple[DataFrame, DataFrame, int]:
+def _prepared(train: DataFrame, label: str, max_bins: int, numbers: int | None = 1) -> tuple[Held | DataFrame, DataFrame, int]:
+    """Train rows for growing, the boundaries and the width; ``numbers`` are held of each row, or of each row and class."""
     ship_package(train.sparkSession)
-    return _binned(train, label, max_bins)
+    rows = _stored(train, label)
+    most, n = rows.agg(F.coalesce(F.max("label"), F.lit(0.0)), F.count(F.lit(1))).first()
+    if n * (numbers or int(most) + 1) > ROWS_HELD:
+        return _row_blocks(rows, max_bins)
+    held = _column_blocks(rows, max_bins)
+    return held, held.cuts, held.width
+
+
+def _grow(rows: Held | DataFrame, width: int, target, n_trees: int, depth: int, share: float, seed: int, min_rows: float) -> Trees:
+    if isinstance(rows, Held):
+        return grow_held(rows, target, n_trees, depth, share, seed, min_rows)[0]
+    return grow(rows, width, target, n_trees, depth, share, seed, min_rows)
+
+
+def _release(rows: Held | DataFrame) -> None:
+    if isinstance(rows, Held):
+        rows.release()
 
 
 def _sizes(vectors: pa.Array) -> pa.Array:
@@ -750,6 +1198,13 @@ def widths(vectors: pa.Array) -> pa.Array:
     return pa.array(np.maximum(sizes, np.diff(_offsets(vectors.field("values")))))
 
 
+def _label_counts(rows: Held | DataFrame) -> dict[float, int]:
+    """Rows of each label."""
+    if isinstance(rows, Held):
+        return dict(zip(*(x.tolist() for x in np.unique(rows.label, return_counts=True)), strict=True))
+    return {r.label: r.n for r in _labels(rows).groupBy("label").agg(F.sum("n").alias("n")).collect()}  # one per class
+
+
 def _labels(rows: DataFrame) -> DataFrame:
     """``(label, n)`` per block and label."""
 
@@ -762,7 +1217,9 @@ def _labels(rows: DataFrame) -> DataFrame:
     return rows.select("label").mapInArrow(run, "label double, n long")
 
 
-def _n_classes(rows: DataFrame) -> int:
+def _n_classes(rows: Held | DataFrame) -> int:
+    if isinstance(rows, Held):
+        return int(rows.label.max(initial=0)) + 1
     return int(_labels(rows).agg(F.coalesce(F.max("label"), F.lit(0.0))).first()[0]) + 1
 
 
@@ -779,7 +1236,8 @@ def forest_classifier(
     rows, cuts, width = _prepared(train, label, max_bins)
     share = 1 / math.sqrt(max(cuts.count(), 1)) if share is None else share
     target = ClassCounts(_n_classes(rows), seed, bootstrap)
-    trees = grow(rows, width, target, n_trees, max_depth, share, seed, min_rows)
+    trees = _grow(rows, width, target, n_trees, max_depth, share, seed, min_rows)
+    _release(rows)
     shares = trees.stats / np.maximum(trees.stats.sum(axis=2, keepdims=True), 1e-300)
     return TreeModel(_with_cuts(trees, cuts), shares, np.zeros(target.n_classes), width, "share")
 
@@ -798,6 +1256,11 @@ class _Means(Residuals):
                 weight = np.searchsorted(_POISSON, _uniform(row, t, self.seed)).astype(np.float64)
             yield weight > 0, np.zeros(block.n, np.int64), np.stack([weight, weight * label, weight])
 
+    def drawn(self, t: int, row: np.ndarray, label: np.ndarray, given: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        if not self.bootstrap:
+            return np.ones(len(row)), label
+        return np.searchsorted(_POISSON, _uniform(row, t, self.seed)).astype(np.float64), label
+
 
 def tree_regression(train: DataFrame, max_depth: int = 5, max_bins: int = 32, min_rows: int = 1, label: str = "label") -> TreeModel:
     """One tree by variance."""
@@ -810,31 +1273,42 @@ def forest_regression(
 ) -> TreeModel:
     """Trees on bootstrap rows, each node trying a third of the columns; predictions are averaged."""
     rows, cuts, width = _prepared(train, label, max_bins)
-    trees = grow(rows, width, _Means(np.zeros(1), False, (), seed, bootstrap), n_trees, max_depth, share, seed, min_rows)
+    trees = _grow(rows, width, _Means(np.zeros(1), False, (), seed, bootstrap), n_trees, max_depth, share, seed, min_rows)
+    _release(rows)
     means = np.divide(trees.stats[..., 1], trees.stats[..., 0], out=np.zeros(trees.column.shape), where=trees.stats[..., 0] > 0)
     return TreeModel(_with_cuts(trees, cuts), means[..., None] / n_trees, np.zeros(1), width)
 
 
 def _boosted(train, rounds, max_depth, learning_rate, max_bins, min_rows, label, classes, refresh) -> TreeModel:
-    rows, cuts, width = _prepared(train, label, max_bins)
+    rows, cuts, width = _prepared(train, label, max_bins, None if classes else 1)
     if classes:
-        counts = {int(r.label): r.n for r in _labels(rows).groupBy("label").agg(F.sum("n").alias("n")).collect()}  # one per class
+        counts = {int(k): n for k, n in _label_counts(rows).items()}
         outputs = max(counts, default=0) + 1
         total = max(sum(counts.values()), 1)
         start = np.log(np.array([max(counts.get(k, 0), 1e-9) for k in range(outputs)]) / total)
     else:
         outputs, start = 1, np.array([train.agg(F.coalesce(F.avg(label), F.lit(0.0))).first()[0]])
     target, made = Residuals(start, classes), []
+    held = isinstance(rows, Held)
+    score = np.repeat(start[:, None], len(rows.label), axis=1) if held else None
     for turn in range(rounds):
-        trees = grow(rows, width, target, outputs, max_depth, min_rows=min_rows)
+        if held:
+            trees, node = grow_held(rows, target, outputs, max_depth, min_rows=min_rows, given=_residuals(rows.label, score, classes))
+        else:
+            trees = grow(rows, width, target, outputs, max_depth, min_rows=min_rows)
         top, low = trees.stats[..., 1], trees.stats[..., 2]
         step = np.divide(top, low, out=np.zeros_like(top), where=low > 1e-12) * ((outputs - 1) / outputs if classes else 1.0)
         if not np.abs(step).max(initial=0) > 0:
             break
         made.append((trees, learning_rate * step))
+        if held:
+            for own, amount, ends in zip(score, made[-1][1], node, strict=True):
+                own += amount[ends]
+            continue
         target = replace(target, since=(*target.since, made[-1]))
         if len(target.since) >= refresh and turn + 1 < rounds:
             rows, target = stage(_rescored(rows, target, width), "binned"), replace(target, since=())
+    _release(rows)
     size = 2 ** (max_depth + 1) - 1
     every = Trees(
         max_depth, *[np.concatenate([getattr(t, x) for t, _ in made] or [np.full((0, size), -1)]) for x in ("column", "at")],
@@ -847,6 +1321,11 @@ def _boosted(train, rounds, max_depth, learning_rate, max_bins, min_rows, label,
     return TreeModel(_with_cuts(every, cuts), values, start, width, "softmax" if classes else "sum")
 
 
+def _residuals(label: np.ndarray, score: np.ndarray, classes: bool) -> np.ndarray:
+    """What each tree of a round is fitted to."""
+    return (label[None, :] == np.arange(len(score))[:, None]) - softmax(score) if classes else label - score
+
+
 def _rescored(rows: DataFrame, target: Residuals, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -887,9 +1366,14 @@ def ada_boost(
     n_classes = _n_classes(rows)
     made: list[Trees] = []
     amounts: list[float] = []
+    held = isinstance(rows, Held)
+    missed = np.zeros(len(rows.label)) if held else None  # amounts of the trees that miss a row
     for _ in range(rounds):
-        votes = (_joined(made), np.array(amounts)) if made else None
-        trees = grow(rows, width, ClassCounts(n_classes, votes=votes), 1, max_depth)
+        if held:
+            trees, node = grow_held(rows, ClassCounts(n_classes), 1, max_depth, given=np.exp(missed - sum(amounts) / 2))
+        else:
+            votes = (_joined(made), np.array(amounts)) if made else None
+            trees = grow(rows, width, ClassCounts(n_classes, votes=votes), 1, max_depth)
         leaves = (trees.column[0] < 0) & (trees.stats[0].sum(axis=1) > 0)
         total = trees.stats[0][leaves].sum()
         error = (total - trees.stats[0][leaves].max(axis=1).sum()) / total if total else 1.0
@@ -901,6 +1385,9 @@ def ada_boost(
             break
         made.append(trees)
         amounts.append(learning_rate * (math.log((1 - error) / error) + math.log(n_classes - 1)))
+        if held:
+            missed += amounts[-1] * (trees.stats[0].argmax(axis=1)[node[0]] != rows.label)
+    _release(rows)
     if not made:
         raise ValueError("the first tree is no better than chance")
     every = _joined(made)
