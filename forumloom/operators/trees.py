@@ -55,7 +55,7 @@ MIDDLE, SPAN = 1 << 9, 1 << 10
 
 _PIECES = "part int, block long, kind string, a binary, b binary, c binary"
 _BLOCKS = "row binary, label binary, margin binary, codes binary, starts binary, at binary"
-_COLUMNS = "codes binary, starts binary, at binary, column binary, cut binary"
+_COLUMNS = "codes binary, starts binary, at binary, first binary, column binary, cut binary"
 _SUMS = "part int, codes binary, sums binary"
 _SPLITS = "tree int, node int, gain double, column int, bin int, left array<double>, right array<double>"
 
@@ -278,27 +278,39 @@ def _stored(train: DataFrame, label: str) -> DataFrame:
     return stage(rows.withColumn("row", F.monotonically_increasing_id()), "tree-rows")
 
 
-def _extent(rows: DataFrame) -> tuple[int, int, int]:
-    """Width of the features, most cells of a block and parts of the columns: one per core at least."""
+@dataclass(frozen=True)
+class Extent:
+    """Rows, the greatest label, the width of the features, most cells of a block and parts of the columns: one per core at least."""
+
+    n: int
+    label: float
+    width: int
+    cells: int
+    parts: int
+
+
+def _extent(rows: DataFrame) -> Extent:
     widest, sizes = F.arrow_udf(widths, "long"), F.arrow_udf(_sizes, "long")
-    width, total = rows.agg(F.coalesce(F.max(widest("features")), F.lit(0)), F.coalesce(F.sum(sizes("features")), F.lit(0))).first()
+    wanted = F.max("label"), F.max(widest("features")), F.sum(sizes("features"))
+    n, label, width, total = rows.agg(F.count(F.lit(1)), *[F.coalesce(x, F.lit(0)) for x in wanted]).first()
     cores = rows.sparkSession.sparkContext.defaultParallelism
     cells = max(min(CELLS_PER_TASK, -(-total // cores)), 1)
-    return int(width) or 1, cells, max(1, -(-total // cells))
+    return Extent(n, label, int(width) or 1, cells, max(1, -(-total // cells)))
 
 
 def _binned(train: DataFrame, label: str, max_bins: int) -> tuple[DataFrame, DataFrame, int]:
     """Blocks of train rows with binned cells, the table of boundaries, both stored once, and the width."""
-    return _row_blocks(_stored(train, label), max_bins)
+    rows = _stored(train, label)
+    return _row_blocks(rows, _extent(rows), max_bins)
 
 
-def _row_blocks(rows: DataFrame, max_bins: int) -> tuple[DataFrame, DataFrame, int]:
+def _row_blocks(rows: DataFrame, extent: Extent, max_bins: int) -> tuple[DataFrame, DataFrame, int]:
     """As ``_binned``, of stored rows.
 
     The cells of a part of the columns meet in one task, as arrays: it finds the boundaries and sends bins back to the
     blocks. There are no rows per cell, and no table of boundaries is sent to the tasks.
     """
-    width, cells, parts = _extent(rows)
+    cells, parts = extent.cells, extent.parts
     packed = rows.select("row", "label", "features").mapInArrow(Packing(cells, parts).run, _PIECES)
     binned = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(Binning(max_bins).run, _PIECES)
     pieces = stage(binned, "pieces")
@@ -310,7 +322,7 @@ def _row_blocks(rows: DataFrame, max_bins: int) -> tuple[DataFrame, DataFrame, i
                 yield _cut_lists(np.frombuffer(piece["a"], np.int64), np.frombuffer(piece["b"], np.float64))
 
     cuts = pieces.where("block < 0").mapInArrow(listed, "column int, cuts array<double>")
-    return stage(blocks, "binned"), stage(cuts, "cuts"), width
+    return stage(blocks, "binned"), stage(cuts, "cuts"), extent.width
 
 
 @dataclass(frozen=True)
@@ -338,7 +350,8 @@ class ColumnBinning:
         cut_column, cut = cuts_of(column, value, self.max_bins)
         code = column * SPAN + sorted_bins(column, value, cut_column, cut) + MIDDLE
         starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        arrays = (code[starts], np.append(starts, len(code)).astype(np.int64), at, cut_column, cut)
+        fresh = np.concatenate([[True], column[starts[1:]] != column[starts[:-1]]])
+        arrays = (code[starts], np.append(starts, len(code)).astype(np.int64), at, np.flatnonzero(fresh), cut_column, cut)
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], [c.split()[0] for c in _COLUMNS.split(", ")])
 
 
@@ -790,11 +803,9 @@ def grow(
 class Columns:
     """All train cells of some columns, sorted by column and bin; rows go by their number among all."""
 
-    def __init__(self, codes: np.ndarray, starts: np.ndarray, at: np.ndarray):
-        self.codes, self.starts, self.at = codes, starts, at
-        column = codes // SPAN
-        self.first = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
-        self.column, self.ends = column[self.first], np.append(self.first[1:], len(codes))
+    def __init__(self, codes: np.ndarray, starts: np.ndarray, at: np.ndarray, first: np.ndarray):
+        self.codes, self.starts, self.at, self.first = codes, starts, at, first
+        self.column, self.ends = codes[first] // SPAN, np.append(first[1:], len(codes))
         self.cells = starts[self.ends] - starts[self.first]
 
     def right(self, column: int, last: int, n: int) -> np.ndarray:
@@ -978,7 +989,7 @@ class Level:
 
 
 def read_columns(row: tuple) -> Columns:
-    return Columns(*[np.frombuffer(x, kind) for x, kind in zip(row, (np.int64, np.int64, np.int32), strict=True)])
+    return Columns(*[np.frombuffer(x, kind) for x, kind in zip(row, (np.int64, np.int64, np.int32, np.int64), strict=True)])
 
 
 @dataclass
@@ -997,10 +1008,10 @@ class Held:
         self.shared.destroy()
 
 
-def _column_blocks(rows: DataFrame, max_bins: int) -> Held:
+def _column_blocks(rows: DataFrame, extent: Extent, max_bins: int) -> Held:
     """The cells of a part of the columns meet in one task, which finds the boundaries and keeps them as a block."""
     spark = rows.sparkSession
-    width, cells, parts = _extent(rows)
+    width, cells, parts = extent.width, extent.cells, extent.parts
     table = rows.select("row", "label").toArrow()  # bounded: the caller has counted the rows
     row, label = (np.asarray(table.column(c).combine_chunks()) for c in ("row", "label"))
     order = np.argsort(row, kind="stable")
@@ -1012,7 +1023,7 @@ def _column_blocks(rows: DataFrame, max_bins: int) -> Held:
     found = stage(binned, "columns")
     cuts = found.select("column", "cut").mapInArrow(_listed_cuts, "column int, cuts array<double>")
     cores = spark.sparkContext.defaultParallelism
-    blocks = found.select("codes", "starts", "at").repartition(cores).rdd.map(lambda r: (bytes(r[0]), bytes(r[1]), bytes(r[2])))
+    blocks = found.select("codes", "starts", "at", "first").repartition(cores).rdd.map(lambda r: tuple(map(bytes, r)))
     return Held(blocks.persist(StorageLevel.MEMORY_AND_DISK), cuts, width, row, label, spark.sparkContext.broadcast((row, label)))
 
 
@@ -1171,10 +1182,10 @@ def _prepared(train: DataFrame, label: str, max_bins: int, numbers: int | None =
     """Train rows for growing, the boundaries and the width; ``numbers`` are held of each row, or of each row and class."""
     ship_package(train.sparkSession)
     rows = _stored(train, label)
-    most, n = rows.agg(F.coalesce(F.max("label"), F.lit(0.0)), F.count(F.lit(1))).first()
-    if n * (numbers or int(most) + 1) > ROWS_HELD:
-        return _row_blocks(rows, max_bins)
-    held = _column_blocks(rows, max_bins)
+    extent = _extent(rows)
+    if extent.n * (numbers or int(extent.label) + 1) > ROWS_HELD:
+        return _row_blocks(rows, extent, max_bins)
+    held = _column_blocks(rows, extent, max_bins)
     return held, held.cuts, held.width
 
 

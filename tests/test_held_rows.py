@@ -81,7 +81,7 @@ def test_columns_left_out_cannot_win(monkeypatch, gini, drawn):
         cells = [(c, int(b), r) for c in range(60) for r in np.flatnonzero(draw.random(n) < 0.3 * draw.random()) for b in [draw.integers(-2, 3)]]
         code, at = (np.array(x) for x in zip(*sorted((c * trees.SPAN + b + trees.MIDDLE, r) for c, b, r in cells), strict=True))
         codes, starts = np.unique(code, return_index=True)
-        block = trees.Columns(codes, np.append(starts, len(code)), at)
+        block = trees.Columns(codes, np.append(starts, len(code)), at, np.unique(codes // trees.SPAN, return_index=True)[1])
         node, weight = draw.integers(0, 1 + turn % 3, n) + (turn > 2), np.ones(n) if not drawn else draw.integers(0, 3, n).astype(float)
         strong = np.isin(np.arange(n), at[(code // trees.SPAN == 7) & (code % trees.SPAN > trees.MIDDLE)])
         value = strong.astype(int) + 2 * (draw.random(n) < 0.1) if gini else 3 * strong + draw.normal(size=n)
