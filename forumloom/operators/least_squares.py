@@ -1,4 +1,8 @@
-"""Ridge fits of many targets at once: conjugate gradients in which all targets share each pass over the rows."""
+"""Ridge fits of many targets at once: conjugate gradients in which all targets share each pass over the rows.
+
+The rows are stored once as blocks whose cells are sorted by column: a pass reads the weights of a block's columns in order,
+and adds up what comes back column by column, so that neither is looked up cell by cell over the whole width.
+"""
 
 from __future__ import annotations
 
@@ -21,6 +25,39 @@ PIECE = 1 << 15
 
 MAX_ITER, TOLERANCE = 500, 1e-8
 
+BLOCK_ROWS = 1 << 14
+"""Most rows of a block, numbered in two bytes."""
+
+_BLOCKS = "labels binary, rows binary, cells binary, starts binary, columns binary"
+_KINDS = (np.float64, np.uint16, np.float64, np.int64, np.int32)
+
+
+def pack(rows: DataFrame) -> DataFrame:
+    """Blocks of rows ``(features, label)``: labels, and rows and values of the cells by column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, BLOCK_ROWS):
+                yield packed(batch.slice(first, BLOCK_ROWS))
+
+    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, column, value = vector_cells(pa.concat_arrays([batch.column("features")]))
+        order = np.argsort(column, kind="stable")
+        columns, starts = np.unique(column[order], return_index=True)
+        arrays = (np.asarray(batch.column("label"), np.float64), row[order], value[order], np.append(starts, len(row)), columns)
+        made = [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(arrays, _KINDS, strict=True)]
+        return pa.RecordBatch.from_arrays(made, [f.split()[0] for f in _BLOCKS.split(", ")])
+
+    return rows.select("features", "label").mapInArrow(run, _BLOCKS)
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """Labels, rows and values of the cells, cells of each column, where they start, and the columns of each block with cells."""
+    for block in zip(*batch.columns, strict=True):
+        label, row, value, starts, columns = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(block, _KINDS, strict=True))
+        if len(row):
+            yield label, row.astype(np.intp), value, np.diff(starts), starts[:-1], columns
+
 
 def _pass(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], length: int) -> np.ndarray:
     """The sum of ``part``, ``length`` numbers, over all batches.
@@ -59,40 +96,45 @@ def _pass(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], length:
 
 
 def column_moments(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sum and sum of squares of every column."""
+    """Sum and sum of squares of every column of blocks."""
 
     def part(batch: pa.RecordBatch) -> np.ndarray:
-        _, column, value = vector_cells(batch.column("features"))
-        return np.concatenate([np.bincount(column, value, width), np.bincount(column, value * value, width)])
+        out = np.zeros((2, width))
+        for _, _, value, _, starts, columns in _blocks(batch):
+            out[0, columns] += np.add.reduceat(value, starts)
+            out[1, columns] += np.add.reduceat(value * value, starts)
+        return out.ravel()
 
     total = _pass(rows, part, 2 * width)
     return total[:width], total[width:]
 
 
 def class_sums(rows: DataFrame, width: int, classes: np.ndarray) -> np.ndarray:
-    """Column sums over the rows of each class, one column per class."""
+    """Column sums over the rows of each class, one column per class, of blocks."""
 
     def part(batch: pa.RecordBatch) -> np.ndarray:
-        label = np.asarray(batch.column("label"), np.float64)
-        place = np.minimum(np.searchsorted(classes, label), len(classes) - 1)
-        row, column, value = vector_cells(batch.column("features"))
-        own = classes[place[row]] == label[row]
-        return np.bincount(column[own] * len(classes) + place[row[own]], value[own], width * len(classes))
+        out = np.zeros((width, len(classes)))
+        for label, row, value, _, starts, columns in _blocks(batch):
+            for k, c in enumerate(classes):
+                out[columns, k] += np.add.reduceat(value * (label == c)[row], starts)
+        return out.ravel()
 
     return _pass(rows, part, width * len(classes)).reshape(width, len(classes))
 
 
 def gram_times(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """X'(XP) for the columns of ``weights``, in one pass."""
+    """X'(XP) for the columns of ``weights``, in one pass over blocks."""
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def part(batch: pa.RecordBatch) -> np.ndarray:
         p = shared.value
-        row, column, value = vector_cells(batch.column("features"))
-        out = np.empty(p.shape)
-        for k in range(p.shape[1]):
-            score = np.bincount(row, value * p[column, k], batch.num_rows)
-            out[:, k] = np.bincount(column, value * score[row], len(p))
+        out = np.zeros(p.shape)
+        for label, row, value, sizes, starts, columns in _blocks(batch):
+            own, sums = p[columns], np.empty((len(columns), p.shape[1]))
+            for k in range(p.shape[1]):
+                score = np.bincount(row, value * np.repeat(own[:, k], sizes), len(label))
+                sums[:, k] = np.add.reduceat(value * score[row], starts)
+            out[columns] += sums
         return out.ravel()
 
     try:
@@ -167,7 +209,10 @@ def ridge_classifier(
     """
     ship_package(train.sparkSession)
     rows = train.select("features", F.col("label").cast("double").alias("label")).where("features IS NOT NULL AND label IS NOT NULL")
-    rows = stage(rows, "ridge").persist()
+    rows = stage(rows, "ridge")
+    blocks = pack(rows).persist()
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    parts = blocks.coalesce(cores) if blocks.rdd.getNumPartitions() > cores else blocks  # each sends sums as wide as the features
     try:
         counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # one per class
         if not counts:
@@ -175,22 +220,22 @@ def ridge_classifier(
         widest = F.arrow_udf(widths, "long")
         width = max(int(rows.agg(F.max(widest("features"))).first()[0]), 1)
         classes, n = np.array(sorted(counts)), sum(counts.values())
-        sums, squares = column_moments(rows, width)
+        sums, squares = column_moments(parts, width)
         mean = sums / n
         diagonal = np.maximum(squares - n * mean * mean, 0.0) + alpha
         diagonal[diagonal <= 0] = 1.0
 
         def times(p: np.ndarray) -> np.ndarray:
-            return gram_times(rows, p) - n * np.outer(mean, mean @ p) + alpha * p
+            return gram_times(parts, p) - n * np.outer(mean, mean @ p) + alpha * p
 
         together = max(1, BLOCK_BYTES // (8 * width))
         weights, intercepts = np.zeros((width, len(classes))), np.zeros(len(classes))
         for start in range(0, len(classes), together):
             own = slice(start, start + together)
             target_mean = np.array([2.0 * counts[c] / n - 1.0 for c in classes[own]])
-            right = 2.0 * class_sums(rows, width, classes[own]) - sums[:, None] - n * np.outer(mean, target_mean)
+            right = 2.0 * class_sums(parts, width, classes[own]) - sums[:, None] - n * np.outer(mean, target_mean)
             weights[:, own] = solve(times, right, diagonal, tolerance, max_iter)
             intercepts[own] = target_mean - mean @ weights[:, own]
         return RidgeClassifier(classes, weights, intercepts)
     finally:
-        rows.unpersist()
+        blocks.unpersist()

@@ -92,3 +92,32 @@ def test_passes_leave_nothing_on_the_driver(spark, monkeypatch):
     _, w, b = closed_form(x, labels, 1.0)
     assert np.allclose(model.weights, w, atol=1e-6) and np.allclose(model.intercepts, b, atol=1e-6)
     assert not alive
+
+
+def test_products_over_blocks_equal_dense_ones(spark, monkeypatch):
+    """Blocks of few rows, among them rows without a cell, a block without one, and labels of another group."""
+    monkeypatch.setattr(least_squares, "BLOCK_ROWS", 7)
+    x, labels = data()
+    x[40:60] = 0.0
+    blocks = least_squares.pack(table(spark, x, labels))
+    p = np.random.default_rng(2).normal(size=(12, 3))
+    assert np.allclose(least_squares.gram_times(blocks, p), x.T @ (x @ p))
+    sums, squares = least_squares.column_moments(blocks, 12)
+    assert np.allclose(sums, x.sum(axis=0)) and np.allclose(squares, (x * x).sum(axis=0))
+    some = np.array([2.0, 6.0])
+    expected = np.stack([x[np.array(labels) == c].sum(axis=0) for c in some], axis=1)
+    assert np.allclose(least_squares.class_sums(blocks, 12, some), expected)
+
+
+def test_a_pass_sends_sums_per_core_not_per_partition(spark, monkeypatch):
+    x, labels = data()
+    seen, inner = [], least_squares._pass
+    monkeypatch.setattr(least_squares, "_pass", lambda rows, *args: seen.append(rows.rdd.getNumPartitions()) or inner(rows, *args))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        least_squares.ridge_classifier(table(spark, x, labels, parts=9), max_iter=40)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen and max(seen) <= spark.sparkContext.defaultParallelism
