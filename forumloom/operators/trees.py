@@ -706,6 +706,8 @@ def best_splits(codes: np.ndarray, values: np.ndarray, n_labels: int, size: int,
     gain = np.round((s_left + s_right - s) / all_rows, 10)
     last = np.append(begin[1:], n) - 1
     gain[last] = -1.0
+    after = np.minimum(between + 1, n - 1)  # cells in the bin of zero go left with the rows without the column
+    gain[between[(groups[after] == groups[between]) & (after > between) & (bin_of[after] == 0)]] = -1.0
     gain[(n_left < min_rows) | (n_right < min_rows)] = -1.0
     owner, column = owner[starts], column[starts]
     heads = begin[np.concatenate([[True], owner[1:] != owner[:-1]])]
@@ -808,13 +810,17 @@ class Columns:
         self.column, self.ends = codes[first] // SPAN, np.append(first[1:], len(codes))
         self.cells = starts[self.ends] - starts[self.first]
 
+    def sides(self, column: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a column's cells, those with a bin above ``last`` apart."""
+        low, high = np.searchsorted(self.codes, [column * SPAN, (column + 1) * SPAN])
+        above = low + int(np.searchsorted(self.codes[low:high], column * SPAN + MIDDLE + last, "right"))
+        return self.at[self.starts[low] : self.starts[above]], self.at[self.starts[above] : self.starts[high]]
+
     def right(self, column: int, last: int, n: int) -> np.ndarray:
         """Which of ``n`` rows have a bin above ``last``."""
         found = np.full(n, 0 > last)
-        low, high = np.searchsorted(self.codes, [column * SPAN, (column + 1) * SPAN])
-        above = low + int(np.searchsorted(self.codes[low:high], column * SPAN + MIDDLE + last, "right"))
-        found[self.at[self.starts[low] : self.starts[above]]] = False
-        found[self.at[self.starts[above] : self.starts[high]]] = True
+        for rows, above in zip(self.sides(column, last), (False, True), strict=True):
+            found[rows] = above
         return found
 
 
@@ -1060,16 +1066,18 @@ class Splitting:
 
     def _splits(self, t: int, level: Level) -> Iterator[tuple]:
         target, node = self.growth.target, self.node.value[t]
-        for k, best in zip(level.nodes, level.found, strict=True):
-            rows = np.flatnonzero(node == k)
-            counted = level.weight[rows] > 0
+        for i, (k, best) in enumerate(zip(level.nodes, level.found, strict=True)):
+            here = level.place == i
+            whole = target.statistics(np.flatnonzero(here), level.weight, level.value)
             if best.block is None:
-                whole = target.statistics(rows[counted], level.weight, level.value)
                 yield t, int(k), -2.0, 1, 0, whole, np.zeros_like(whole), b""
                 continue
-            right = best.block.right(best.column, best.bin, len(node))[rows]
-            sides = [target.statistics(rows[counted & x], level.weight, level.value) for x in (~right, right)]
-            yield t, int(k), best.gain, -best.column, -best.bin, *sides, np.packbits(right).tobytes()
+            # sums of cells: the rows without the column are on the other side; a cell that comes twice counts twice
+            cells = best.block.sides(best.column, best.bin)[int(best.bin >= 0)]
+            some = target.statistics(cells[here[cells]], level.weight, level.value)
+            left, right = (whole - some, some) if best.bin >= 0 else (some, whole - some)
+            goes = best.block.right(best.column, best.bin, len(node))[node == k]
+            yield t, int(k), best.gain, -best.column, -best.bin, left, right, np.packbits(goes).tobytes()
 
 
 def grow_held(

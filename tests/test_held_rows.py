@@ -98,3 +98,19 @@ def test_columns_left_out_cannot_win(monkeypatch, gini, drawn):
         got = [(x.gain, -x.column, -x.bin) if x.block else (-1.0, 0, 0) for x in level.found]
         assert np.allclose(np.array(got), np.array(plain(level, block)), atol=1e-9)
     assert sum(summed) < 6 * 60  # some columns were left out
+
+
+@pytest.mark.parametrize("held", [0, 1 << 24])
+def test_leaves_hold_the_rows_that_reach_them(spark, monkeypatch, held):
+    """With few bins a column's small values share the bin of zero, and go to the side of the rows without the column."""
+    monkeypatch.setattr(trees, "ROWS_HELD", held, raising=False)
+    draw = np.random.default_rng(8)
+    x = np.round(draw.normal(size=(120, 4)), 3) * (draw.random((120, 4)) < 0.8)
+    y = 3.0 * (x[:, 0] > 0.0) + (np.abs(x[:, 1]) < 0.1) + x[:, 2]
+    rows = [(Vectors.dense(v), float(t)) for v, t in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, ["features", "label"])
+    found = trees.tree_regression(df, max_depth=4, max_bins=4).transform(df).select("label", "prediction").collect()
+    leaves = {}
+    for label, prediction in found:
+        leaves.setdefault(round(prediction, 9), []).append(label)
+    assert len(leaves) > 4 and all(abs(np.mean(own) - mean) < 1e-6 for mean, own in leaves.items())
